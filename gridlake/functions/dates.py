@@ -22,97 +22,64 @@ SPANISH_MONTHS = {
     "noviembre": 11, "diciembre": 12,
 }
 
-_MON = "(?:" + "|".join(MONTHS) + ")[a-z]*"
-_DAY = "(?:(?:" + "|".join(WEEKDAYS) + f")[a-z]*,?[{WS}]+)"
+_MON = "(?:" + "|".join(MONTHS) + ")"
+_WEEKDAY = "(?:" + "|".join(WEEKDAYS) + f")[a-z]*,?[{WS}]+"
 _S = f"[{WS}]+"
 
-NUMERIC_DMY = r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\z"
-NUMERIC_YMD = r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}\z"
-STAMP_YMD = r"^\d{4}[/-]\d{1,2}[/-]\d{1,2}[T ]\d{1,2}:\d{2}"
-MONTH_DAY_YEAR = rf"(?i)^{_MON}{_S}\d{{1,2}},?{_S}\d{{4}}"
-DAY_MONTH_YEAR = rf"(?i)^\d{{1,2}}{_S}{_MON}{_S}\d{{4}}\z"
-DAY_DASH_MONTH = r"^\d{1,2}-[A-Za-z]{3}-\d{4}\z"
-SPANISH = rf"(?i)^\d{{1,2}}{_S}de{_S}[a-záéíóú]+{_S}de{_S}\d{{4}}\z"
-MONTH_YEAR = rf"(?i)^{_MON}\.?,?{_S}\d{{4}}\z"
-WEEKDAY_FIRST = (
-    rf"(?i)^{_DAY}(?:{_MON}{_S}\d{{1,2}},?{_S}\d{{4}}|\d{{1,2}}{_S}{_MON}{_S}\d{{4}})"
+#: the shapes that make a value "a date" for column typing, by first character
+DIGIT_FIRST = (
+    r"(?i)^(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
+    r"|\d{4}[/-]\d{1,2}[/-]\d{1,2}"
+    rf"|\d{{1,2}}{_S}{_MON}[a-z]*{_S}\d{{4}}"
+    r"|\d{1,2}-[a-z]{3}-\d{4}"
+    rf"|\d{{1,2}}{_S}de{_S}[a-záéíóú]+{_S}de{_S}\d{{4}})\z"
+)
+LETTER_FIRST = (
+    rf"(?i)^(?:(?:{_WEEKDAY})?{_MON}[a-z]*{_S}\d{{1,2}},?{_S}\d{{4}}"
+    rf"|{_WEEKDAY}\d{{1,2}}{_S}{_MON}[a-z]*{_S}\d{{4}}"
+    rf"|{_MON}[a-z]*\.?,?{_S}\d{{4}}\z)"
 )
-
-#: the shapes that make a value "a date" for column typing
-TYPE_PATTERNS = [
-    NUMERIC_DMY, NUMERIC_YMD, MONTH_DAY_YEAR, DAY_MONTH_YEAR, DAY_DASH_MONTH, SPANISH,
-    MONTH_YEAR, WEEKDAY_FIRST,
-]
-_NUMERIC_TYPES = [NUMERIC_DMY, NUMERIC_YMD, DAY_MONTH_YEAR, DAY_DASH_MONTH, SPANISH]
-_WORD_TYPES = [MONTH_DAY_YEAR, MONTH_YEAR, WEEKDAY_FIRST]
-
-
-def _any(value: Column, patterns: list[str]) -> Column:
-    hit = value.rlike(patterns[0])
-    for p in patterns[1:]:
-        hit = hit | value.rlike(p)
-    return hit
 
 
 def looks_like_date(trimmed: Column) -> Column:
     """Column typing test on an already trimmed value."""
-    return F.when(trimmed.rlike("^[0-9]"), _any(trimmed, _NUMERIC_TYPES)).otherwise(
-        _any(trimmed, _WORD_TYPES)
+    return F.when(trimmed.rlike("^[0-9]"), trimmed.rlike(DIGIT_FIRST)).otherwise(
+        trimmed.rlike(LETTER_FIRST)
     )
 
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    dash = F.lit("-")
-    return F.concat(year, dash, month, dash, day).try_cast("date")
-
-
-def _month_number(word: Column) -> Column:
-    names = F.array(*[F.lit(m) for m in MONTHS])
-    return F.nullif(F.array_position(names, F.lower(F.substring(word, 1, 3))), F.lit(0))
+def _rewrites(dayfirst: bool) -> list[tuple[str, str]]:
+    """Each accepted shape rewritten to ``year-month-day``; the month may still be a word."""
+    dm = "$2-$1" if dayfirst else "$1-$2"
+    numbers = r"^(\d{1,2})[/-](\d{1,2})[/-]"
+    return [
+        (numbers + r"(\d{4})\z", f"$3-{dm}"),
+        (numbers + r"([0-4]\d)\z", f"20$3-{dm}"),
+        (numbers + r"([5-9]\d)\z", f"19$3-{dm}"),
+        (r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?:[T ]\d{1,2}:\d{2}.*)?\z", "$1-$2-$3"),
+        (rf"(?i)^{_WEEKDAY}(?={_MON}|\d)", ""),
+        (rf"(?i)^(\d{{1,2}})(?:-({_MON})-|{_S}({_MON})[a-z]*{_S})(\d{{4}})\z", "$4-$2$3-$1"),
+        (rf"(?is)^({_MON})[a-z]*{_S}(\d{{1,2}}),?{_S}(\d{{4}}).*", "$3-$1-$2"),
+        (rf"(?i)^({_MON})[a-z]*\.?,?{_S}(\d{{4}})\z", "$2-$1-1"),
+        (rf"(?i)^(\d{{1,2}}){_S}de{_S}([a-záéíóú]+){_S}de{_S}(\d{{4}})\z", "$3-$2-$1"),
+    ]
 
 
 def parse_date(value: Column | str, dayfirst: bool = True) -> Column:
-    v = js_trim(col(value))
-    part = F.split(v, "[/-]")
-    a, b, c = (F.get(part, F.lit(i)) for i in range(3))
-    year = (
-        F.when(F.length(c) == 4, c)
-        .when((F.length(c) == 2) & (c < "50"), F.concat(F.lit("20"), c))
-        .when(F.length(c) == 2, F.concat(F.lit("19"), c))
-    )
-    dmy = F.when(year.isNotNull(), _ymd(year, b, a) if dayfirst else _ymd(year, a, b))
-
-    ymd_text = F.split(F.regexp_extract(v, r"^(\d{4}[/-]\d{1,2}[/-]\d{1,2})", 1), "[/-]")
-    ymd = _ymd(*(F.get(ymd_text, F.lit(i)) for i in range(3)))
-
-    dash_mon = _ymd(c, _month_number(b).cast("string"), a)
-    es = F.split(F.lower(v), f"{_S}(?:de{_S})?")
-    es_names = F.create_map(*[F.lit(x) for pair in SPANISH_MONTHS.items() for x in pair])
-    spanish = _ymd(
-        F.get(es, F.lit(2)),
-        F.try_element_at(es_names, F.coalesce(F.get(es, F.lit(1)), F.lit(""))).cast("string"),
-        F.get(es, F.lit(0)),
-    )
-    bare = F.regexp_replace(v, f"(?i)^{_DAY}", "")
-    word = F.split(bare, f",?{_S}")
-    w = [F.get(word, F.lit(i)) for i in range(3)]
-    dmon = _ymd(F.substring(w[2], 1, 4), _month_number(w[1]).cast("string"), w[0])
-    mond = _ymd(F.substring(w[2], 1, 4), _month_number(w[0]).cast("string"), w[1])
-    mony = _ymd(w[1], _month_number(w[0]).cast("string"), F.lit("1"))
-
-    numeric = (
-        F.when(v.rlike(NUMERIC_DMY), dmy)
-        .when(v.rlike(NUMERIC_YMD) | v.rlike(STAMP_YMD), ymd)
-        .when(v.rlike(DAY_MONTH_YEAR), dmon)
-        .when(v.rlike(DAY_DASH_MONTH), dash_mon)
-        .when(v.rlike(SPANISH), spanish)
-    )
-    words = (
-        F.when(v.rlike(MONTH_DAY_YEAR), mond)
-        .when(v.rlike(MONTH_YEAR), mony)
-        .when(v.rlike(WEEKDAY_FIRST), F.when(bare.rlike("^[0-9]"), dmon).otherwise(mond))
-    )
-    return F.when(v.rlike("^[0-9]"), numeric).otherwise(words)
+    canon = js_trim(col(value))
+    for shape, order in _rewrites(dayfirst):
+        canon = F.regexp_replace(canon, shape, order)
+    names = {**{m: i + 1 for i, m in enumerate(MONTHS)}, **SPANISH_MONTHS}
+    numbers = F.create_map(*[F.lit(x) for n, i in names.items() for x in (n, str(i))])
+    month = F.lower(F.regexp_extract(canon, r"^\d{4}-([^-]+)-\d{1,2}\z", 1))
+    dash = F.lit("-")
+    return F.concat(
+        F.substring(canon, 1, 4),
+        dash,
+        F.coalesce(F.try_element_at(numbers, month), month),
+        dash,
+        F.substring_index(canon, "-", -1),
+    ).try_cast("date")
 
 
 def next_reset(moment: Column | str) -> Column:

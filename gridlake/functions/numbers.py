@@ -18,21 +18,20 @@ def parse_number(value: Column | str, decimal: Column | str = ".", on_bad: str =
     if on_bad not in ("zero", "null"):
         raise ValueError("on_bad must be 'zero' or 'null'")
     text = F.coalesce(col(value), F.lit(""))
-    sep = F.lit(decimal) if isinstance(decimal, str) else decimal
-    kept = F.regexp_replace(text, "[^0-9.,]", "")
-    has_sep = F.contains(kept, sep)
-    tail = F.when(has_sep, F.call_function("substring_index", kept, sep, F.lit(-1))).otherwise("")
-    head = F.when(
-        has_sep, F.substring(kept, F.lit(1), F.length(kept) - F.length(tail) - 1)
-    ).otherwise(kept)
-    plain = F.concat(
-        F.lit("0"), F.translate(head, ".,", ""), F.lit("."), F.translate(tail, ".,", ""), F.lit("0")
-    )
-    size = plain.cast("double")
-    number = F.when(text.rlike(f"^[{WS}{CUR}%]*-"), F.lit(0.0) - size).otherwise(size)
-    return F.when(kept.rlike("[0-9]"), number).otherwise(
-        F.lit(0.0) if on_bad == "zero" else F.lit(None).cast("double")
-    )
+
+    def digits(sep: str) -> Column:
+        # drop everything but digits and the last separator: one regex per value
+        return F.regexp_replace(text, f"[^0-9{sep}]|[{sep}](?=[^{sep}]*[{sep}])", "")
+
+    comma = F.translate(digits(","), ",", ".")
+    if isinstance(decimal, str):
+        plain = comma if decimal == "," else digits(".")
+    else:
+        plain = F.when(decimal == ",", comma).otherwise(digits("."))
+    size = plain.try_cast("double")
+    minus = text.contains("-") & text.rlike(f"^[{WS}{CUR}%]*-")
+    number = size * F.when(minus, F.lit(-1.0)).otherwise(F.lit(1.0)) + 0.0
+    return number if on_bad == "null" else F.coalesce(number, F.lit(0.0))
 
 
 def format_number(

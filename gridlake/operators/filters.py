@@ -24,23 +24,27 @@ def _bound(text) -> float | None:
 
 def numeric_range(number: Column, low=None, high=None) -> Column:
     """Inclusive; either end may be missing."""
-    test = F.lit(True)
     lo, hi = _bound(low), _bound(high)
+    if lo is not None and hi is not None:
+        return number.between(lo, hi)
     if lo is not None:
-        test = test & (number >= lo)
-    if hi is not None:
-        test = test & (number <= hi)
-    return test
+        return number >= lo
+    return number <= hi if hi is not None else F.lit(True)
 
 
 def date_range(day: Column, start=None, end=None, dayfirst: bool = True) -> Column:
     """Inclusive; values that are no date pass."""
-    test = F.lit(True)
-    if start:
-        test = test & (day >= parse_date(F.lit(str(start)), dayfirst))
-    if end:
-        test = test & (day <= parse_date(F.lit(str(end)), dayfirst))
-    return day.isNull() | F.coalesce(test, F.lit(True))
+    lo = parse_date(F.lit(str(start)), dayfirst) if start else None
+    hi = parse_date(F.lit(str(end)), dayfirst) if end else None
+    if lo is not None and hi is not None:
+        test = day.between(lo, hi)
+    elif lo is not None:
+        test = day >= lo
+    elif hi is not None:
+        test = day <= hi
+    else:
+        return F.lit(True)
+    return F.coalesce(test, F.lit(True))
 
 
 def membership(value: Column, selected: list[str]) -> Column:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import html as _html
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import WHITE_SPACE
 
+# executors need not have this package installed: the scanner travels with the plan
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
