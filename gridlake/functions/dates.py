@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, col, js_trim
+from .text import WS, col, js_trim, let
 
 # Month and weekday names.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -48,38 +48,74 @@ def looks_like_date(trimmed: Column) -> Column:
     )
 
 
-def _rewrites(dayfirst: bool) -> list[tuple[str, str]]:
-    """Each accepted shape rewritten to ``year-month-day``; the month may still be a word."""
+def _rewrite(text: Column, shapes: list[tuple[str, str]]) -> Column:
+    for shape, order in shapes:
+        text = F.regexp_replace(text, shape, order)
+    return text
+
+
+def _canonical(v: Column, dayfirst: bool) -> Column:
+    """An accepted shape rewritten to ``year-month-day``; the month may still be a word.
+
+    The branches are told apart by the first characters, so a value meets two to four
+    patterns and not all of them.
+    """
     dm = "$2-$1" if dayfirst else "$1-$2"
     numbers = r"^(\d{1,2})[/-](\d{1,2})[/-]"
-    return [
-        (numbers + r"(\d{4})\z", f"$3-{dm}"),
-        (numbers + r"([0-4]\d)\z", f"20$3-{dm}"),
-        (numbers + r"([5-9]\d)\z", f"19$3-{dm}"),
-        (r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?:[T ]\d{1,2}:\d{2}.*)?\z", "$1-$2-$3"),
-        (rf"(?i)^{_WEEKDAY}(?={_MON}|\d)", ""),
-        (rf"(?i)^(\d{{1,2}})(?:-({_MON})-|{_S}({_MON})[a-z]*{_S})(\d{{4}})\z", "$4-$2$3-$1"),
-        (rf"(?is)^({_MON})[a-z]*{_S}(\d{{1,2}}),?{_S}(\d{{4}}).*", "$3-$1-$2"),
-        (rf"(?i)^({_MON})[a-z]*\.?,?{_S}(\d{{4}})\z", "$2-$1-1"),
-        (rf"(?i)^(\d{{1,2}}){_S}de{_S}([a-záéíóú]+){_S}de{_S}(\d{{4}})\z", "$3-$2-$1"),
-    ]
+    day_month = (
+        rf"(?i)^(\d{{1,2}})(?:-({_MON})-|{_S}({_MON})[a-z]*{_S})(\d{{4}})\z", "$4-$2$3-$1",
+    )
+    spanish = (rf"(?i)^(\d{{1,2}}){_S}de{_S}([a-záéíóú]+){_S}de{_S}(\d{{4}})\z", "$3-$2-$1")
+    return (
+        F.when(
+            v.rlike(r"^\d{1,2}[/-]\d"),
+            _rewrite(
+                v,
+                [
+                    (numbers + r"(\d{4})\z", f"$3-{dm}"),
+                    (numbers + r"([0-4]\d)\z", f"20$3-{dm}"),
+                    (numbers + r"([5-9]\d)\z", f"19$3-{dm}"),
+                ],
+            ),
+        )
+        .when(
+            v.rlike(r"^\d{4}[/-]"),
+            _rewrite(
+                v,
+                [(r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?:[T ]\d{1,2}:\d{2}.*)?\z", "$1-$2-$3")],
+            ),
+        )
+        .when(v.rlike(r"^\d"), _rewrite(v, [day_month, spanish]))
+        .otherwise(
+            _rewrite(
+                v,
+                [
+                    (rf"(?i)^{_WEEKDAY}(?={_MON}|\d)", ""),
+                    day_month,
+                    (rf"(?is)^({_MON})[a-z]*{_S}(\d{{1,2}}),?{_S}(\d{{4}}).*", "$3-$1-$2"),
+                    (rf"(?i)^({_MON})[a-z]*\.?,?{_S}(\d{{4}})\z", "$2-$1-1"),
+                ],
+            )
+        )
+    )
 
 
 def parse_date(value: Column | str, dayfirst: bool = True) -> Column:
-    canon = js_trim(col(value))
-    for shape, order in _rewrites(dayfirst):
-        canon = F.regexp_replace(canon, shape, order)
     names = {**{m: i + 1 for i, m in enumerate(MONTHS)}, **SPANISH_MONTHS}
     numbers = F.create_map(*[F.lit(x) for n, i in names.items() for x in (n, str(i))])
-    month = F.lower(F.regexp_extract(canon, r"^\d{4}-([^-]+)-\d{1,2}\z", 1))
     dash = F.lit("-")
-    return F.concat(
-        F.substring(canon, 1, 4),
-        dash,
-        F.coalesce(F.try_element_at(numbers, month), month),
-        dash,
-        F.substring_index(canon, "-", -1),
-    ).try_cast("date")
+
+    def assemble(c: Column) -> Column:
+        month = F.lower(F.regexp_extract(c, r"^\d{4}-([^-]+)-\d{1,2}\z", 1))
+        return F.concat(
+            F.substring(c, 1, 4),
+            dash,
+            F.coalesce(F.try_element_at(numbers, month), month),
+            dash,
+            F.substring_index(c, "-", -1),
+        ).try_cast("date")
+
+    return let(js_trim(col(value)), lambda v: let(_canonical(v, dayfirst), assemble))
 
 
 def next_reset(moment: Column | str) -> Column:

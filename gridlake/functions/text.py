@@ -31,6 +31,11 @@ def col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside conditional branches."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def js_trim(value: Column | str) -> Column:
     return F.btrim(col(value), F.lit(WHITE_SPACE))
 

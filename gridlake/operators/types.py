@@ -179,14 +179,14 @@ def typed_cells(
     grid: DataFrame, profile: DataFrame, on_bad: str = "zero", dayfirst: bool = True
 ) -> DataFrame:
     """Body cells with header, type, decimal separator and the typed value (num or dt)."""
+    # the header's columns come first in every row, so cells and columns line up by position
+    pairs = F.arrays_zip(F.col("cols").alias("c"), F.col("cells").alias("value"))
     cells = (
         attach_profile(grid, profile)
-        .select(*KEY, "row_idx", "cells", F.explode("cols").alias("_c"))
-        .select(
-            *KEY, "row_idx", "_c.col_idx", "_c.header", "_c.type", "_c.decimal",
-            F.get("cells", F.col("_c.col_idx")).alias("value"),
-        )
-    )
+        .select(*KEY, "row_idx", F.inline(pairs))
+        .where(F.col("c").isNotNull())
+        .select(*KEY, "row_idx", "c.col_idx", "c.header", "c.type", "c.decimal", "value")
+    )
     decimal = F.coalesce("decimal", F.lit("."))
     return cells.withColumn(
         "num", F.when(is_numeric_kind(F.col("type")), parse_number("value", decimal, on_bad))

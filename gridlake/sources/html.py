@@ -24,18 +24,25 @@ from ..functions.text import WHITE_SPACE
 # executors need not have this package installed: the scanner travels with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_QUOTED = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(script|style)(?=[\s/>]){_QUOTED}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    rf"|<(/?)([a-z][^\s/>]*){_QUOTED}>"
-    r"|<[!?/][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+_INSIDE = r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+"""
+#: one tag with the text after it; scripts, styles, comments and declarations vanish
+_TAG = re.compile(
+    rf"<(?:(/?)((?!(?i:script|style)[\s/>])[a-zA-Z][^\s/>]*+)({_INSIDE})>([^<]*+)"
+    rf"|((?i:script|style))(?=[\s/>]){_INSIDE}>.*?(?:</(?i:\5)(?=[\s/>])[^>]*>|\Z)"
+    r"|!--.*?(?:-->|\Z)"
+    r"|[!?/][^>]*>)",
+    re.DOTALL,
 )
+_GROUPS = 5
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _LEADING_INT = re.compile(rf"[{WHITE_SPACE}]*([+-]?\d+)")
-_STRUCTURE = {"table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption", "colgroup"}
-_BLOCKS = {"pre", "code"}
+
+CELL, ROW, SECTION, TABLE, CAPTION, BLOCK = 1, 2, 3, 4, 5, 6
+_KIND = {
+    "td": CELL, "th": CELL, "tr": ROW, "tbody": SECTION, "thead": SECTION, "tfoot": SECTION,
+    "colgroup": SECTION, "table": TABLE, "caption": CAPTION, "pre": BLOCK, "code": BLOCK,
+}
+_KIND.update({name.upper(): kind for name, kind in list(_KIND.items())})
 # The largest spans a browser honours.
 MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 #: cells per Arrow batch handed back to the JVM
@@ -52,11 +59,10 @@ ATTRS = T.StructType(
 )
 
 
-def _attributes(tag: str) -> dict[str, str]:
+def _attributes(inside: str) -> dict[str, str]:
     found: dict[str, str] = {}
-    body = re.sub(r"^<[^\s/>]+", "", tag)[:-1]
-    for name, value in _ATTR.findall(body):
-        if value[:1] in "\"'" and value:
+    for name, value in _ATTR.findall(inside):
+        if value[:1] in ('"', "'"):
             value = value[1:-1]
         found.setdefault(name.lower(), _html.unescape(value))
     return found
@@ -67,134 +73,179 @@ def _span(attrs: dict[str, str], name: str, limit: int) -> int:
     return min(limit, max(1, int(m.group(1)))) if m else 1
 
 
+class _Table:
+    """One table element; its rows also hold the rows and cells of tables inside it."""
+
+    __slots__ = ("attrs", "rows", "row", "cell", "caption", "nested", "spans")
+
+    def __init__(self, attrs: dict[str, str]) -> None:
+        self.attrs = attrs
+        self.rows: list[list[list]] = []
+        self.row: list[list] | None = None
+        self.cell: list | None = None
+        self.caption = False
+        self.nested = 0
+        self.spans = False
+
+
+class _Block:
+    __slots__ = ("attrs", "tag", "depth", "start", "end")
+
+    def __init__(self, attrs: dict[str, str], tag: str, depth: int, start: int) -> None:
+        self.attrs, self.tag, self.depth, self.start = attrs, tag, depth, start
+        self.end: int | None = None
+
+
 class _Page:
-    """Open-element bookkeeping of one page; text lives once in ``buf``."""
+    """Open elements of one page.  Text lives once in ``buf``; a cell is a slice of it.
+
+    A cell is ``[start, end, colspan, rowspan, text or None]``.
+    """
+
+    __slots__ = ("buf", "tables", "blocks", "open", "open_blocks")
 
     def __init__(self) -> None:
         self.buf: list[str] = []
-        self.tables: list[dict] = []
-        self.blocks: list[dict] = []
-        self.open: list[dict] = []
-        self.open_blocks: list[dict] = []
-
-    def _close_cell(self) -> None:
-        top = self.open[-1]
-        if top["cell"] is not None:
-            while self.open_blocks and self.open_blocks[-1]["depth"] >= len(self.open):
-                self.open_blocks.pop()["end"] = len(self.buf)
-            top["cell"]["end"] = len(self.buf)
-            top["cell"] = None
-        top["caption"] = False
-
-    def _close_table(self) -> None:
-        self._close_cell()
+        self.tables: list[_Table] = []
+        self.blocks: list[_Block] = []
+        self.open: list[_Table] = []
+        self.open_blocks: list[_Block] = []
+
+    def close_cell(self, top: _Table) -> None:
+        """End the open cell or caption; blocks opened inside the cell end with it."""
+        if top.cell is not None:
+            depth = len(self.open)
+            while self.open_blocks and self.open_blocks[-1].depth >= depth:
+                self.open_blocks.pop().end = len(self.buf)
+            top.cell[1] = len(self.buf)
+            top.cell = None
+        top.caption = False
+
+    def open_row(self, top: _Table) -> None:
+        top.row = row = []
+        for table in self.open:
+            table.rows.append(row)
+
+    def open_cell(self, top: _Table, inside: str) -> None:
+        self.close_cell(top)
+        if top.row is None:
+            self.open_row(top)
+        cell = [len(self.buf), None, 1, 1, None]
+        if inside and "span" in inside.lower():
+            attrs = _attributes(inside)
+            cell[2] = _span(attrs, "colspan", MAX_COLSPAN)
+            cell[3] = _span(attrs, "rowspan", MAX_ROWSPAN)
+            for table in self.open:
+                table.spans = True
+        if len(self.open) == 1:
+            top.row.append(cell)
+        else:
+            for table in self.open:
+                if table.row is not None:
+                    table.row.append(cell)
+        top.cell = cell
+
+    def close_table(self) -> None:
+        self.close_cell(self.open[-1])
         self.open.pop()
 
-    def start(self, name: str, tag: str) -> None:
-        if name in _BLOCKS:
-            block = {
-                "attrs": _attributes(tag), "tag": name, "depth": len(self.open),
-                "start": len(self.buf), "end": None,
-            }
+    def start(self, kind: int, name: str, inside: str) -> None:
+        if kind == BLOCK:
+            block = _Block(_attributes(inside), name.lower(), len(self.open), len(self.buf))
             self.blocks.append(block)
             self.open_blocks.append(block)
-        elif name == "table":
-            if self.open and self.open[-1]["cell"] is None and not self.open[-1]["caption"]:
-                self._close_table()
+        elif kind == TABLE:
+            if self.open and self.open[-1].cell is None and not self.open[-1].caption:
+                self.close_table()  # a table cannot sit between cells: it ends the open one
             for outer in self.open:
-                outer["nested"] += 1
-            table = {
-                "attrs": _attributes(tag), "rows": [], "row": None, "cell": None,
-                "caption": False, "nested": 0,
-            }
+                outer.nested += 1
+            table = _Table(_attributes(inside))
             self.tables.append(table)
             self.open.append(table)
         elif self.open:
             top = self.open[-1]
-            self._close_cell()
-            if name == "caption":
-                top["caption"] = True
-            elif name in ("td", "th"):
-                if top["row"] is None:
-                    self._open_row()
-                attrs = _attributes(tag) if "span" in tag.lower() else {}
-                cell = {
-                    "start": len(self.buf), "end": None,
-                    "colspan": _span(attrs, "colspan", MAX_COLSPAN),
-                    "rowspan": _span(attrs, "rowspan", MAX_ROWSPAN),
-                }
-                for t in self.open:
-                    if t["row"] is not None:
-                        t["row"].append(cell)
-                top["cell"] = cell
-            else:
-                top["row"] = None
-                if name == "tr":
-                    self._open_row()
-
-    def _open_row(self) -> None:
-        row: list[dict] = []
-        self.open[-1]["row"] = row
-        for t in self.open:
-            t["rows"].append(row)
-
-    def end(self, name: str) -> None:
-        if name in _BLOCKS:
+            if kind == CELL:
+                self.open_cell(top, inside)
+                return
+            self.close_cell(top)
+            if kind == CAPTION:
+                top.caption = True
+                return
+            top.row = None
+            if kind == ROW:
+                self.open_row(top)
+
+    def end(self, kind: int, name: str) -> None:
+        if kind == BLOCK:
+            name = name.lower()
             for i in range(len(self.open_blocks) - 1, -1, -1):
-                if self.open_blocks[i]["tag"] == name:
-                    self.open_blocks.pop(i)["end"] = len(self.buf)
+                if self.open_blocks[i].tag == name:
+                    self.open_blocks.pop(i).end = len(self.buf)
                     break
         elif self.open:
-            if name == "table":
-                self._close_table()
-            elif name in ("td", "th", "caption"):
-                self._close_cell()
-            elif name in ("tr", "tbody", "thead", "tfoot"):
-                self._close_cell()
-                self.open[-1]["row"] = None
-
-    def text(self, piece: str) -> None:
-        if piece and (self.open or self.open_blocks):
-            self.buf.append(_html.unescape(piece) if "&" in piece else piece)
-
-    def slice(self, part: dict) -> str:
-        return "".join(self.buf[part["start"] : part["end"]])
+            top = self.open[-1]
+            self.close_cell(top)
+            if kind == TABLE:
+                self.open.pop()
+            elif kind in (ROW, SECTION):
+                top.row = None
+
+    def cell_text(self, cell: list) -> str:
+        text = cell[4]
+        if text is None:
+            start, end = cell[0], cell[1]
+            if end - start == 1:
+                text = self.buf[start].strip(WHITE_SPACE)
+            else:
+                text = "".join(self.buf[start:end]).strip(WHITE_SPACE)
+            cell[4] = text
+        return text
 
 
 def read_page(source: str) -> _Page:
     if "\r" in source:
         source = source.replace("\r\n", "\n").replace("\r", "\n")
     page = _Page()
-    pos = 0
-    for m in _TOKEN.finditer(source):
-        page.text(source[pos : m.start()])
-        pos = m.end()
-        name = m.group(3)
-        if name:
-            name = name.lower()
-            if name in _STRUCTURE or name in _BLOCKS:
-                if m.group(2):
-                    page.end(name)
-                else:
-                    page.start(name, m.group(0))
-    page.text(source[pos:])
-    while page.open:
-        page._close_table()
+    keep, tables, blocks = page.buf.append, page.open, page.open_blocks
+    pieces = iter(_TAG.split(source))
+    next(pieces)  # text before the first tag is in no table
+    for slash, name, inside, text, _, between in zip(*[pieces] * (_GROUPS + 1)):
+        kind = _KIND.get(name)
+        if kind is None and name:
+            kind = _KIND.get(name.lower())
+        if kind:
+            if slash:
+                page.end(kind, name)
+            else:
+                page.start(kind, name, inside)
+        if text and (tables or blocks):
+            keep(_html.unescape(text) if "&" in text else text)
+        if between and (tables or blocks):
+            keep(_html.unescape(between) if "&" in between else between)
+    while tables:
+        page.close_table()
     return page
 
 
-def grid_rows(page: _Page, rows: list[list[dict]]) -> Iterator[list[str]]:
+def grid_rows(page: _Page, table: _Table) -> Iterator[list[str]]:
     """Lay cells out row by row; only the spans still running are remembered.
 
     The width is the largest colspan total.  A cell starts at the first blank
     column at or after the cursor.  A rowspan repeats its text in its first column;
     the other columns of a colspan are blank.  Rowspans past the last row add rows.
     """
-    filled = [r for r in rows if r]
+    filled = [r for r in table.rows if r]
     if not filled:
         return
-    width = max(sum(c["colspan"] for c in r) for r in filled)
-    height = max(i + c["rowspan"] for i, r in enumerate(filled) for c in r)
+    text_of = page.cell_text
+    if not table.spans:
+        width = max(map(len, filled))
+        for row in filled:
+            line = [text_of(cell) for cell in row]
+            yield line if len(line) == width else line + [""] * (width - len(line))
+        return
+    width = max(sum(c[2] for c in r) for r in filled)
+    height = max(i + c[3] for i, r in enumerate(filled) for c in r)
     running: dict[int, list[tuple[int, str]]] = {}
     for r in range(max(height, len(filled))):
         line = [""] * width
@@ -208,13 +259,11 @@ def grid_rows(page: _Page, rows: list[list[dict]]) -> Iterator[list[str]]:
         for cell in filled[r] if r < len(filled) else ():
             while at < width and line[at] != "":
                 at += 1
-            if "text" not in cell:
-                cell["text"] = page.slice(cell).strip(WHITE_SPACE)
-            for c in range(at, min(at + cell["colspan"], width)):
-                line[c] = cell["text"] if c == at else ""
-                if cell["rowspan"] > 1:
-                    running.setdefault(c, []).append((r + cell["rowspan"] - 1, line[c]))
-            at += cell["colspan"]
+            for c in range(at, min(at + cell[2], width)):
+                line[c] = text_of(cell) if c == at else ""
+                if cell[3] > 1:
+                    running.setdefault(c, []).append((r + cell[3] - 1, line[c]))
+            at += cell[2]
         yield line
 
 
@@ -223,15 +272,15 @@ def _records(page_id, url: str | None, source: str, want: str) -> Iterator[tuple
     if want in ("table", "both"):
         for idx, table in enumerate(page.tables):
             held = None
-            for r, line in enumerate(grid_rows(page, table["rows"])):
-                a = table["attrs"]
+            for r, line in enumerate(grid_rows(page, table)):
+                a = table.attrs
                 attrs = (
                     {
                         "url": url,
                         "element_id": a.get("id") or None,
                         "element_name": a.get("name") or None,
                         "role": a.get("role"),
-                        "nested_tables": table["nested"],
+                        "nested_tables": table.nested,
                     }
                     if r == 0
                     else None
@@ -246,10 +295,10 @@ def _records(page_id, url: str | None, source: str, want: str) -> Iterator[tuple
                 yield record
     if want in ("block", "both"):
         for idx, block in enumerate(page.blocks):
-            text = page.slice(block)
-            if block["tag"] == "pre" and text.startswith("\n"):
+            text = "".join(page.buf[block.start : block.end])
+            if block.tag == "pre" and text.startswith("\n"):
                 text = text[1:]
-            a = block["attrs"]
+            a = block.attrs
             attrs = {
                 "url": url,
                 "element_id": a.get("id") or None,

@@ -84,7 +84,7 @@ def _line(cells: str | Column = "cells") -> Column:
 def html_order_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Pages -> tables -> clean -> types -> typed amounts -> total per order."""
     grid = stage(extract_html_tables(data.shipment_pages(spark, sf)), "shipments")
-    tidy = clean_tables(grid)
+    tidy = stage(clean_tables(grid), "tidy")
     rows = typed_rows(tidy, infer_types(tidy))
     return (
         rows.select(
