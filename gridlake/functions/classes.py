@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import looks_like_date
-from .text import CUR, WS, col, js_trim
+from .text import CUR, WS, col, js_trim, let
 
 # Currency codes accepted before or after an amount.
 CODES = (
@@ -42,12 +42,15 @@ def value_class(trimmed: Column) -> Column:
     )
 
 
+def looks_like_money(trimmed: Column) -> Column:
+    hit = trimmed.rlike(MONEY_VALUE[0])
+    for pattern in MONEY_VALUE[1:]:
+        hit = hit | trimmed.rlike(pattern)
+    return hit
+
+
 def is_money(value: Column | str) -> Column:
-    v = js_trim(col(value))
-    hit = F.lit(False)
-    for pattern in MONEY_VALUE:
-        hit = hit | v.rlike(pattern)
-    return F.coalesce(hit, F.lit(False))
+    return F.coalesce(let(js_trim(col(value)), looks_like_money), F.lit(False))
 
 
 def is_numeric_kind(type_: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
+from ..plans.staging import stage
 from .grid import KEY, attach, bucket
 
 
@@ -26,9 +27,11 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     """Pad, drop columns that are empty everywhere, drop empty body rows, renumber rows.
 
     A row is non-empty in the kept columns exactly when it has any text at all, so one
-    aggregate over (table, bucket) yields the kept columns and the surviving row counts
-    together; rows are then renumbered inside their bucket.  A table without any text
-    is only padded.
+    aggregate over (table, bucket) yields the filled columns and the surviving row counts
+    together.  That aggregate has one row per 65 536 grid rows of a table; it is staged,
+    because both the kept columns of the table and the row offsets of its buckets come
+    from it.  Rows are then renumbered inside their bucket.  A table without any text is
+    only padded.
     """
     own = grid.columns
     filled = F.filter(
@@ -37,28 +40,34 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     marked = grid.withColumn("_bucket", bucket(size=bucket_rows)).withColumn(
         "_alive", (F.col("row_idx") == 0) | F.exists("cells", has_text)
     )
-    per_bucket = (
-        marked.select(*KEY, "_bucket", "_alive", F.size("cells").alias("_w"), F.posexplode_outer(filled).alias("_p", "_c"))
+    first = F.coalesce("_p", F.lit(0)) == 0  # one exploded row stands for its grid row
+    per_bucket = stage(
+        marked.select(
+            *KEY, "_bucket", "_alive", F.size("cells").alias("_w"), F.posexplode_outer(filled).alias("_p", "_c")
+        )
         .groupBy(*KEY, "_bucket")
         .agg(
             F.collect_set("_c").alias("_cols"),
             F.max("_w").alias("_w"),
-            F.count_if(F.coalesce("_p", F.lit(0)) == 0).alias("_rows"),
-            F.count_if((F.coalesce("_p", F.lit(0)) == 0) & F.col("_alive")).alias("_live"),
-        )
+            F.count_if(first).alias("_rows"),
+            F.count_if(first & F.col("_alive")).alias("_live"),
+        ),
+        "clean",
+    )
+    kept = (
+        per_bucket.select(*KEY, "_w", F.explode_outer("_cols").alias("_c"))
+        .groupBy(*KEY)
+        .agg(F.sort_array(F.collect_set("_c")).alias("_keep"), F.max("_w").alias("_width"))
+    )
+    before = (
+        Window.partitionBy(*KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # one row per 65 536 grid rows: the windows below are over buckets, not rows
-    table = Window.partitionBy(*KEY)
-    before = table.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    keep = F.sort_array(F.array_distinct(F.flatten(F.collect_list("_cols").over(table))))
     facts = per_bucket.select(
         *KEY,
         "_bucket",
-        keep.alias("_keep"),
-        F.max("_w").over(table).alias("_width"),
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_live").over(before), F.lit(0)).alias("_live_before"),
-    )
+    ).join(kept, KEY)
     blank = F.size("_keep") == 0
     columns = F.when(
         blank, F.sequence(F.lit(0), F.greatest(F.col("_width") - 1, F.lit(0)))

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import site_name
-from .grid import KEY, rank_within
+from ..plans.staging import stage
+from .grid import KEY, attach, rank_within
 
 # Name limits of the export format.
 SOURCE_CHARS, SHEET_CHARS = 20, 31
+#: most tables that are written as a folder each
+MAX_FOLDERS = 10_000
 #: order of table kinds in a page's list
 KIND_ORDER = ["html", "csv", "markdown"]
 
@@ -70,16 +73,20 @@ def wide_lines(df: DataFrame, columns: list[str], fmt: str, row: str = "row_idx"
     return df.select((F.col(row).cast("bigint") + shift).alias("line_no"), _line(cells, fmt).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """One folder per table; its files, read in name order, give the table's lines in order."""
+def write_lines(lines: DataFrame, path: str, folders: bool = True) -> None:
+    """Write export lines so that each table's lines stay in order.
+
+    ``folders`` makes one text folder per table, whose files read in name order give the
+    table; that suits thousands of tables.  Without it the lines go to one Parquet table
+    sorted by (table, line), which suits any number.  Both are range-partitioned, so a
+    huge table is written by many tasks.
+    """
     order = [*KEY, "line_no"]
-    (
-        lines.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .select(*KEY, "line")
-        .write.partitionBy(*KEY)
-        .text(path)
-    )
+    placed = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    if folders:
+        placed.select(*KEY, "line").write.partitionBy(*KEY).text(path)
+    else:
+        placed.write.parquet(path)
 
 
 def list_positions(tables: DataFrame) -> DataFrame:
@@ -125,13 +132,22 @@ def export_manifest(
 
 
 def export_all(
-    grid: DataFrame, tables: DataFrame, path: str, export_date: str, fmt: str = "csv", source: str | None = None
+    grid: DataFrame,
+    tables: DataFrame,
+    path: str,
+    export_date: str,
+    fmt: str = "csv",
+    source: str | None = None,
 ) -> DataFrame:
-    """Write every table's lines and the manifest under ``path``; refuse an empty export."""
-    manifest = export_manifest(tables, export_date, source=source)
-    if manifest.isEmpty():
+    """Write every table's lines and the manifest under ``path``; refuse an empty export.
+
+    Up to ``MAX_FOLDERS`` tables get a folder each; more share one sorted Parquet table.
+    """
+    manifest = stage(export_manifest(tables, export_date, source=source), "manifest")
+    n = manifest.count()
+    if n == 0:
         raise ValueError("no valid table data to export")
-    kept = grid.join(manifest.select(*KEY), KEY, "left_semi")
-    write_lines(export_lines(kept, fmt), f"{path}/tables")
+    facts = manifest.select(*KEY).join(tables.select(*KEY, (F.col("n_rows") - 1).alias("last_row")), KEY)
+    write_lines(export_lines(attach(grid, facts), fmt), f"{path}/tables", folders=n <= MAX_FOLDERS)
     manifest.write.parquet(f"{path}/manifest")
     return manifest.sparkSession.read.parquet(f"{path}/manifest")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -32,10 +33,19 @@ def numeric_range(number: Column, low=None, high=None) -> Column:
     return number <= hi if hi is not None else F.lit(True)
 
 
-def date_range(day: Column, start=None, end=None, dayfirst: bool = True) -> Column:
+def _day(text) -> Column | None:
+    """A typed-in day (``yyyy-mm-dd``) as a literal; anything else is no bound."""
+    if isinstance(text, dt.date):
+        return F.lit(text)
+    try:
+        return F.lit(dt.date.fromisoformat(str(text).strip()[:10])) if text else None
+    except ValueError:
+        return None
+
+
+def date_range(day: Column, start=None, end=None) -> Column:
     """Inclusive; values that are no date pass."""
-    lo = parse_date(F.lit(str(start)), dayfirst) if start else None
-    hi = parse_date(F.lit(str(end)), dayfirst) if end else None
+    lo, hi = _day(start), _day(end)
     if lo is not None and hi is not None:
         test = day.between(lo, hi)
     elif lo is not None:
@@ -61,7 +71,7 @@ def predicate(value: Column, spec: dict, decimal: Column | str = ".", dayfirst:
     if kind == "numeric":
         return numeric_range(parse_number(value, decimal), spec.get("min"), spec.get("max"))
     if kind == "date":
-        return date_range(parse_date(value, dayfirst), spec.get("from"), spec.get("to"), dayfirst)
+        return date_range(parse_date(value, dayfirst), spec.get("from"), spec.get("to"))
     test = F.lit(True)
     if kind == "categorical":
         if spec.get("selected"):

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classes import PERCENT_SAMPLE, is_money, is_numeric_kind, value_class
+from ..functions.classes import PERCENT_SAMPLE, is_numeric_kind, looks_like_money, value_class
 from ..functions.dates import looks_like_date, parse_date
 from ..functions.numbers import FORMAT_EVIDENCE, decide_format, format_evidence, parse_number
 from ..functions.text import CUR, WS, js_trim
@@ -195,23 +195,26 @@ def typed_cells(
 
 def detect_column_types(grid: DataFrame) -> DataFrame:
     """Header-aware guess: a share above 0.7 of the first 50 values, or a header word."""
-    value, row = F.col("value"), F.col("row_idx")
-    v = js_trim(value)
+    value, row, v = F.col("value"), F.col("row_idx"), F.col("_v")
     in_sample = (row > 0) & (row <= HEADER_SAMPLE_ROWS)
     bare = F.regexp_replace(v, f"[{CUR}{WS}]", "")
     kind = F.when(
         in_sample & (v != ""),
-        F.when(is_money(v), F.lit("money"))
+        F.when(looks_like_money(v), F.lit("money"))
         .when(v.rlike(PERCENT_SAMPLE), F.lit("percentage"))
         .when(looks_like_date(v), F.lit("date"))
         .when(bare.rlike(r"^[+-]?[0-9][0-9.,]*\z"), F.lit("numeric"))
         .otherwise(F.lit("other")),
     )
+    cells = (
+        to_cells(grid.where(row <= HEADER_SAMPLE_ROWS))
+        .withColumn("_v", js_trim(value))
+        .withColumn("_kind", kind)
+    )
+    kind = F.col("_kind")
     used = kind.isin("money", "percentage", "numeric")
     agg = (
-        to_cells(grid)
-        .where(row <= HEADER_SAMPLE_ROWS)
-        .groupBy(*KEY, "col_idx")
+        cells.groupBy(*KEY, "col_idx")
         .agg(
             F.max(F.when(row == 0, F.coalesce(value, F.lit("")))).alias("header"),
             F.greatest(F.count_if(in_sample), F.lit(1)).alias("_total"),

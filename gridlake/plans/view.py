@@ -44,15 +44,18 @@ class ViewSpec:
         return cls(**json.loads(text))
 
 
-@dataclass
 class View:
-    """The lazy results of one applied spec."""
-
-    rows: DataFrame
-    order: list[Column]
-    stats: DataFrame
-    series: DataFrame | None
-    fingerprint: DataFrame
+    """One applied spec.  Every result is its own lazy plan, built when it is asked for."""
+
+    def __init__(self, df: DataFrame, spec: ViewSpec, profile: dict, row: str, date_order: str):
+        self.source, self.spec, self.profile, self.row = df, spec, profile, row
+        self.columns = list(profile)
+        self.rows = filter_wide(df, spec.filters, profile)
+        sort = spec.sort or {}
+        name = sort.get("column")
+        self.order: list[Column] = sort_order(
+            name, sort.get("direction", "none"), profile.get(name), row, date_order
+        )
 
     def sorted(self) -> DataFrame:
         return self.rows.orderBy(*self.order)
@@ -60,6 +63,27 @@ class View:
     def positioned(self) -> DataFrame:
         return number_rows(self.rows, self.order)
 
+    @property
+    def stats(self) -> DataFrame:
+        """The chosen stat of each column over the filtered rows."""
+        return wide_stats(self.rows, self.profile, choice=self.spec.stats, row=self.row)
+
+    @property
+    def series(self) -> DataFrame | None:
+        chosen = self.spec.series
+        if not chosen:
+            return None
+        build = scatter_points if chosen.get("kind") == "scatter" else chart_series
+        return build(self.rows, chosen["x"], chosen["ys"], self.profile, self.row)
+
+    @property
+    def fingerprint(self) -> DataFrame:
+        """The source's fingerprint and, when the spec has one, whether it ``matches``."""
+        mark = wide_fingerprint(self.source, self.columns, self.row)
+        if self.spec.fingerprint is None:
+            return mark
+        return mark.withColumn("matches", F.col("fingerprint") == self.spec.fingerprint)
+
 
 def with_row_index(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """Give a large table the explicit 1-based row order that the wide operators need."""
@@ -133,19 +157,7 @@ def apply_view(
     """
     columns = spec.columns or [c for c in df.columns if c != row]
     profile = profile or resolve_profile(df, spec, columns, row)
-    rows = filter_wide(df, spec.filters, profile)
-    sort = spec.sort or {}
-    name = sort.get("column")
-    order = sort_order(name, sort.get("direction", "none"), profile.get(name), row, date_order)
-    series = None
-    if spec.series:
-        build = scatter_points if spec.series.get("kind") == "scatter" else chart_series
-        series = build(rows, spec.series["x"], spec.series["ys"], profile, row)
-    mark = wide_fingerprint(df, columns, row)
-    if spec.fingerprint is not None:
-        mark = mark.withColumn("matches", F.col("fingerprint") == spec.fingerprint)
-    stats = wide_stats(rows, {c: profile[c] for c in columns}, choice=spec.stats, row=row)
-    return View(rows, order, stats, series, mark)
+    return View(df, spec, {c: profile[c] for c in columns}, row, date_order)
 
 
 __all__ = [

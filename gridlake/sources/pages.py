@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import route, squeeze_out_spaces
+from ..functions.text import let, route, squeeze_out_spaces
 
 #: Fixed value: most pages one specification may name.
 MAX_PAGES = 20
@@ -29,65 +29,62 @@ def parse_page_ranges(
     refused without ever being expanded.
     """
     cleaned = F.coalesce(squeeze_out_spaces(spec), F.lit(""))
-    parts = F.filter(F.split(cleaned, ","), lambda p: p != "")
 
     def interval(p: Column) -> Column:
         ends = F.split(p, "-")
-        a = _leading_int(F.get(ends, F.lit(0)))
-        b = F.when(p.contains("-"), _leading_int(F.get(ends, F.lit(1)))).otherwise(a)
-        bad = a.isNull() | b.isNull() | (a < 1) | (b < 1)
-        return F.struct(
-            F.least(a, b).alias("lo"),
-            F.greatest(a, b).alias("hi"),
-            F.when(
-                bad,
-                F.concat(
-                    F.when(p.contains("-"), F.lit("Invalid range: ")).otherwise(F.lit("Invalid page: ")), p
-                ),
-            ).alias("error"),
+        given = F.struct(
+            _leading_int(F.get(ends, F.lit(0))).alias("a"),
+            F.when(F.size(ends) > 1, _leading_int(F.get(ends, F.lit(1)))).alias("b"),
+            (F.size(ends) > 1).alias("dash"),
         )
 
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
+        def judge(e: Column) -> Column:
+            b = F.when(e["dash"], e["b"]).otherwise(e["a"])
+            bad = e["a"].isNull() | b.isNull() | (e["a"] < 1) | (b < 1)
+            label = F.when(e["dash"], F.lit("Invalid range: ")).otherwise(F.lit("Invalid page: "))
+            return F.struct(
+                F.least(e["a"], b).alias("lo"),
+                F.greatest(e["a"], b).alias("hi"),
+                F.when(bad, F.concat(label, p)).alias("error"),
+            )
 
-    def cover(acc: Column, x: Column) -> Column:
-        fresh = F.greatest(F.lit(0).cast("bigint"), x["hi"] - F.greatest(acc["end"] + 1, x["lo"]) + 1)
-        return F.struct(
-            (acc["n"] + fresh).alias("n"), F.greatest(acc["end"], x["hi"]).alias("end")
-        )
+        return let(given, judge)
 
-    # a higher-order function may not read a sibling output, so go step by step
-    step = (
-        specs.select(F.col(key), cleaned.alias("_clean"), F.transform(parts, interval).alias("_iv"))
-        .withColumn("_bad", F.get(F.filter("_iv", lambda x: x["error"].isNotNull()), F.lit(0))["error"])
-        .withColumn("_n", F.when(F.col("_bad").isNull(), F.aggregate(F.array_sort("_iv"), start, cover)["n"]))
-        .withColumn(
-            "error",
-            F.when(F.col("_clean") == "", F.lit("Empty input"))
-            .when(F.col("_bad").isNotNull(), F.col("_bad"))
-            .when(
-                F.col("_n") > max_pages,
-                F.concat(
-                    F.lit(f"More than {max_pages} pages specified ("),
-                    F.col("_n").cast("string"),
-                    F.lit(")"),
-                ),
-            ),
-        )
-    )
-    errors = step.where(F.col("error").isNotNull()).select(key, "error")
-    # only valid specs are expanded: at most max_pages pages each
-    pages = F.flatten(
-        F.transform(
-            "_iv",
-            lambda x: F.when(
-                (x["hi"] - x["lo"]) < max_pages, F.sequence(x["lo"] - 1, x["hi"] - 1)
-            ).otherwise(F.array().cast("array<bigint>")),
-        )
-    )
-    chosen = step.where(F.col("error").isNull()).select(
-        key, F.explode(F.array_distinct(pages)).alias("page")
-    )
-    return chosen, errors
+    zero = F.lit(0).cast("bigint")
+
+    def cover(acc: Column, x: Column) -> Column:
+        fresh = F.greatest(zero, x["hi"] - F.greatest(acc["end"] + 1, x["lo"]) + 1)
+        return F.struct((acc["n"] + fresh).alias("n"), F.greatest(acc["end"], x["hi"]).alias("end"))
+
+    def summary(intervals: Column) -> Column:
+        bad = F.get(F.filter(intervals, lambda x: x["error"].isNotNull()), F.lit(0))["error"]
+        start = F.struct(zero.alias("n"), zero.alias("end"))
+        n = F.aggregate(F.array_sort(intervals), start, cover)["n"]
+        return F.struct(intervals.alias("iv"), bad.alias("bad"), n.alias("n"))
+
+    def verdict(clean: Column) -> Column:
+        parts = F.filter(F.split(clean, ","), lambda p: p != "")
+
+        def close(s: Column) -> Column:
+            over = F.concat(
+                F.lit(f"More than {max_pages} pages specified ("), s["n"].cast("string"), F.lit(")")
+            )
+            error = (
+                F.when(clean == "", F.lit("Empty input"))
+                .when(s["bad"].isNotNull(), s["bad"])
+                .when(s["n"] > max_pages, over)
+            )
+            # only valid specs are expanded: at most max_pages pages each
+            pages = F.flatten(F.transform(s["iv"], lambda x: F.sequence(x["lo"] - 1, x["hi"] - 1)))
+            return F.struct(
+                error.alias("error"), F.when(error.isNull(), F.array_distinct(pages)).alias("pages")
+            )
+
+        return let(F.transform(parts, interval), lambda iv: let(summary(iv), close))
+
+    judged = specs.select(F.col(key), let(cleaned, verdict).alias("_v"))
+    errors = judged.select(key, F.col("_v.error").alias("error")).where(F.col("error").isNotNull())
+    return judged.select(key, F.explode("_v.pages").alias("page")), errors
 
 
 def select_page_ranges(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, js_trim
+from ..functions.text import col, js_trim, let
 
 _ESC = "\x01"  # guards commas inside quotes; real occurrences are escaped first
 
@@ -18,23 +18,39 @@ def _commas(line: Column) -> Column:
     return F.length(line) - F.length(F.translate(line, ",", ""))
 
 
-def looks_like_csv(text: Column | str) -> Column:
-    """Two lines or more, commas in the first, and 70 % of lines within one comma of it."""
-    lines = text_lines(text)
-    counts = F.transform(lines, _commas)
-    first = F.get(counts, F.lit(0))
-    similar = F.size(F.filter(counts, lambda n: F.abs(n - first) <= 1))
-    return F.coalesce(
-        (F.size(lines) >= 2) & (first > 0) & (similar >= F.size(lines) * F.lit(0.7)), F.lit(False)
+def _csv_counts(counts: Column) -> Column:
+    return let(
+        F.struct(F.get(counts, F.lit(0)).alias("first"), counts.alias("all")),
+        lambda c: (F.size(c["all"]) >= 2)
+        & (c["first"] > 0)
+        & (
+            F.size(F.filter(c["all"], lambda n: F.abs(n - c["first"]) <= 1))
+            >= F.size(c["all"]) * F.lit(0.7)
+        ),
     )
 
 
+def looks_like_csv(text: Column | str) -> Column:
+    """Two lines or more, commas in the first, and 70 % of lines within one comma of it.
+
+    Every intermediate is bound once: an expression used inside a lambda would be
+    worked out again for each line.
+    """
+    several = col(text).contains(",") & col(text).contains("\n")
+    counts = F.transform(text_lines(text), _commas)
+    return F.coalesce(several & let(counts, _csv_counts), F.lit(False))
+
+
 def looks_like_markdown(text: Column | str) -> Column:
     """A line with two pipes, plus a ``---`` line with a pipe or three lines in all."""
-    lines = text_lines(text)
-    row = F.exists(lines, lambda x: x.rlike(r"\|[^|]*\|"))
-    rule = F.exists(lines, lambda x: x.contains("---") & x.contains("|"))
-    return F.coalesce((F.size(lines) >= 2) & row & (rule | (F.size(lines) >= 3)), F.lit(False))
+
+    def test(lines: Column) -> Column:
+        row = F.exists(lines, lambda x: x.rlike(r"\|[^|]*\|"))
+        rule = F.exists(lines, lambda x: x.contains("---") & x.contains("|"))
+        return (F.size(lines) >= 2) & row & ((F.size(lines) >= 3) | rule)
+
+    several = col(text).contains("|") & col(text).contains("\n")
+    return F.coalesce(several & let(text_lines(text), test), F.lit(False))
 
 
 def _split_quoted(line: Column) -> Column:
