@@ -86,35 +86,37 @@ def markdown_rows(text: Column | str) -> Column:
     return F.filter(rows, lambda r: F.size(r) > 0)
 
 
-def _emit(df: DataFrame, key: str, idx: Column, kind: str, rows: Column, extra: list[str]) -> DataFrame:
-    return (
-        df.select(F.col(key).alias("page_id"), idx.cast("int").alias("table_idx"), *extra, rows.alias("rows"))
-        .where(F.size("rows") > 1)
-        .select(
-            "page_id",
-            F.lit(kind).alias("kind"),
-            "table_idx",
-            *extra,
-            F.posexplode("rows").alias("row_idx", "cells"),
-        )
-        .withColumn("row_idx", F.col("row_idx").cast("bigint"))
-    )
-
-
 def extract_block_tables(
     blocks: DataFrame, text: str = "text", key: str = "page_id", index: str = "block_idx"
 ) -> DataFrame:
-    """Block mode: a block may yield a csv table and a markdown table as well."""
+    """Block mode: a block may yield a csv table and a markdown table as well, in one scan."""
     extra = ["attrs"] if "attrs" in blocks.columns else []
-    idx = F.col(index)
-    csv = _emit(blocks.where(looks_like_csv(text)), key, idx, "csv", csv_rows(text), extra)
-    md = _emit(
-        blocks.where(looks_like_markdown(text)), key, idx, "markdown", markdown_rows(text), extra
+    value = F.col(text)
+    found = F.array(
+        F.struct(
+            F.lit("csv").alias("kind"),
+            F.when(looks_like_csv(value), csv_rows(value)).alias("rows"),
+        ),
+        F.struct(
+            F.lit("markdown").alias("kind"),
+            F.when(looks_like_markdown(value), markdown_rows(value)).alias("rows"),
+        ),
+    )
+    grid = (
+        blocks.where(value.contains("\n") & (value.contains(",") | value.contains("|")))
+        .select(
+            F.col(key).alias("page_id"),
+            F.col(index).cast("int").alias("table_idx"),
+            *extra,
+            F.inline(found),
+        )
+        .where(F.size("rows") > 1)
+        .select("page_id", "kind", "table_idx", *extra, F.posexplode("rows").alias("row_idx", "cells"))
+        .withColumn("row_idx", F.col("row_idx").cast("bigint"))
     )
-    both = csv.unionByName(md)
     if extra:
-        both = both.withColumn("attrs", F.when(F.col("row_idx") == 0, F.col("attrs")))
-    return both
+        grid = grid.withColumn("attrs", F.when(F.col("row_idx") == 0, F.col("attrs")))
+    return grid
 
 
 def extract_text_tables(

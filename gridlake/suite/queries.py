@@ -85,7 +85,7 @@ def html_order_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Pages -> tables -> clean -> types -> typed amounts -> total per order."""
     grid = stage(extract_html_tables(data.shipment_pages(spark, sf)), "shipments")
     tidy = stage(clean_tables(grid), "tidy")
-    rows = typed_rows(tidy, infer_types(tidy))
+    rows = typed_rows(tidy, stage(infer_types(tidy), "profile"))
     return (
         rows.select(
             F.get("nums", F.lit(0)).cast("bigint").alias("l_orderkey"),
@@ -516,7 +516,7 @@ def _numbers(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("+"), F.floor(v).cast("string"), F.lit(".")),
     ]
     return table(spark, sf, "orders").select(
-        "o_orderkey", F.element_at(F.array(*notations), (k % 8 + 1).cast("int")).alias("raw")
+        "o_orderkey", "o_custkey", F.element_at(F.array(*notations), (k % 8 + 1).cast("int")).alias("raw")
     )
 
 
@@ -561,11 +561,7 @@ def parse_dates(spark: SparkSession, sf: str) -> DataFrame:
 def money_values(spark: SparkSession, sf: str) -> DataFrame:
     codes = F.concat(text("o_custkey"), F.lit(" clp"))
     raw = F.when(F.col("o_orderkey") % 16 == 3, codes).otherwise(F.col("raw"))
-    return (
-        _numbers(spark, sf)
-        .join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
-        .select("o_orderkey", is_money(raw).alias("is_money"))
-    )
+    return _numbers(spark, sf).select("o_orderkey", is_money(raw).alias("is_money"))
 
 
 @query
