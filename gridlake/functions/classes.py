@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import looks_like_date
-from .text import CUR, WS, col, js_trim, let
+from .text import CUR, CURRENCY, WS, col, js_trim, let
 
 # Currency codes accepted before or after an amount.
 CODES = (
@@ -31,12 +31,15 @@ def value_class(trimmed: Column) -> Column:
     """One of n(umeric) r(ate) m(oney) d(ate) o(ther) for a trimmed, non-empty value.
 
     The classes are disjoint, so column typing reduces to counting them:
-    a money pattern without a currency mark is exactly the numeric pattern.
+    a money pattern without a currency mark is exactly the numeric pattern.  First and
+    last characters are compared before a pattern is tried.
     """
+    marks = list(CURRENCY)
+    marked = F.substring(trimmed, 1, 1).isin(marks) | F.substring(trimmed, -1, 1).isin(marks)
     return (
         F.when(trimmed.rlike(NUMERIC), F.lit("n"))
-        .when(trimmed.rlike(RATE), F.lit("r"))
-        .when(trimmed.rlike(MONEY), F.lit("m"))
+        .when(trimmed.endswith("%") & trimmed.rlike(RATE), F.lit("r"))
+        .when(marked & trimmed.rlike(MONEY), F.lit("m"))
         .when(looks_like_date(trimmed), F.lit("d"))
         .otherwise(F.lit("o"))
     )

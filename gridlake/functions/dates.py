@@ -43,7 +43,8 @@ LETTER_FIRST = (
 
 def looks_like_date(trimmed: Column) -> Column:
     """Column typing test on an already trimmed value."""
-    return F.when(trimmed.rlike("^[0-9]"), trimmed.rlike(DIGIT_FIRST)).otherwise(
+    digit = F.substring(trimmed, 1, 1).between("0", "9")
+    return F.when(digit, trimmed.rlike(DIGIT_FIRST)).otherwise(
         trimmed.rlike(LETTER_FIRST)
     )
 
