@@ -5,7 +5,7 @@ DuckDB database with the merge table: all pairs of tokens whose joined bytes are
 with its rank.  New pieces of a batch become token-position rows; a recursive query joins
 neighbours with the merge table and contracts the leftmost pair of least rank of every
 piece until none is left.  Decoding joins ids with the vocabulary and aggregates bytes by
-position.  Pieces repeat, so their ids are remembered per worker, ``PIECES`` at most.
+position.  Pieces repeat, so the ids of recent units are remembered, ``UNITS`` per worker at most.
 
 Defined results: null and empty texts have no tokens and decode to nothing; ties take the
 leftmost pair; long pieces contract all places of the least pair at once where that cannot
@@ -29,12 +29,12 @@ from .arrow import process_memo, slices, texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: units (a space and what follows it) a worker remembers
-UNITS = 1_500_000
+#: units (a space and what follows it) a worker remembers, in two generations
+UNITS = 500_000
 #: pieces of more bytes than this contract many places in one round
 LONG = 48
 #: pieces handed to one recursive query
-ROUND = 60_000
+ROUND = 30_000
 # Unicode white space as the Rust regular expressions read it.
 WHITE = r"\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -84,7 +84,7 @@ SELECT w, p, t FROM state WHERE NOT live
 """
 
 DECODE = """
-SELECT w, count(*) AS n, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids,
+SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids,
        string_agg(v.hex, '' ORDER BY p) AS bytes
 FROM coded JOIN vocabulary v USING (t) GROUP BY w
 """
@@ -117,8 +117,9 @@ class _Coder:
         self.pieces = regex.compile(white).findall
         self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         self.ranks = ranks
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         a, b, r, many = zip(*merge_rows(ranks))
         int32 = pa.int32()
         merges = pa.table({"a": pa.array(a, int32), "b": pa.array(b, int32), "r": pa.array(r, int32), "many": pa.array(many)})
@@ -142,8 +143,8 @@ class _Coder:
         self.db.register("start_rows", table)
         return self.db.execute(query).to_arrow_table()
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by commas, decoded bytes) of each piece."""
+    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids joined by commas, decoded bytes) of each piece."""
         coded, short, long = [], [], []
         direct: list[tuple[int, int]] = []
         for i, piece in enumerate(pieces):
@@ -164,15 +165,21 @@ class _Coder:
         self.db.register("coded", pa.concat_tables(coded))
         got = self.db.execute(DECODE).to_arrow_table()
         out: list = [None] * len(pieces)
-        columns = (got.column(c).to_pylist() for c in ("w", "n", "ids", "bytes"))
-        for w, n, ids, data in zip(*columns):
-            out[w] = (n, ids, bytes.fromhex(data))
+        columns = (got.column(c).to_pylist() for c in ("w", "ids", "bytes"))
+        for w, ids, data in zip(*columns):
+            out[w] = (ids.encode(), bytes.fromhex(data))
         return out
 
     def learn(self, units: set[str]) -> None:
-        if len(self.known) > UNITS:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
+        if len(self.known) > UNITS // 2:
+            self.older, self.known = self.known, {}
+        new = []
+        for unit in units:
+            if unit not in self.known:
+                if unit in self.older:
+                    self.known[unit] = self.older[unit]
+                else:
+                    new.append(unit)
         split = [self.pieces(u) for u in new]
         order = list({p: None for parts in split for p in parts})
         value = dict(zip(order, self.encode_pieces([p.encode() for p in order])))
@@ -181,7 +188,7 @@ class _Coder:
                 self.known[unit] = value[parts[0]]
             else:
                 got = [value[p] for p in parts]
-                self.known[unit] = (sum(g[0] for g in got), ",".join(g[1] for g in got), b"".join(g[2] for g in got))
+                self.known[unit] = (b",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
 
 
 def _coder(rank_file: bytes, pattern: str) -> _Coder:
@@ -201,11 +208,13 @@ def _encoder(rank_file: bytes, pattern: str, batch_bytes: int):
             counts, ids, decoded = [], [], []
             for units in found:
                 got = [coder.known[u] for u in units]
-                counts.append(sum(g[0] for g in got))
-                ids.append(",".join([g[1] for g in got]))
-                decoded.append(b"".join([g[2] for g in got]))
+                line = b",".join([g[0] for g in got])
+                counts.append(line.count(b",") + 1 if line else 0)
+                ids.append(line)
+                decoded.append(b"".join([g[1] for g in got]))
+            del found
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.binary())],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()).cast(pa.string()), pa.array(decoded, pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
@@ -213,7 +222,7 @@ def _encoder(rank_file: bytes, pattern: str, batch_bytes: int):
 
 
 def encode_documents(
-    docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20
+    docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20
 ) -> DataFrame:
     """``doc_id, n_tokens, ids`` (decimal, joined by commas) and ``decoded`` (bytes) of every text.
 
