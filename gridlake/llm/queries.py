@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, recompression, winnowing
+from . import bpe, ngram_join, packing, pii, recompression, secrets, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -73,3 +73,35 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "near_next",
         winnowing.positions(F.col("kept")).alias("positions"),
     )
+
+
+@query
+def op1_ownership_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An owner is a source, a repository one language of a source."""
+    found = secrets.find_secrets(
+        read(spark, sf_dir, "documents"), repository=F.concat_ws("/", "source", "lang"), owner=F.col("source")
+    )
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        "n_live",
+        "n_copied",
+    )
+
+
+@query
+def op4_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+    )
