@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, recompression, secrets, winnowing
+from . import bpe, ngram_join, packing, pii, pivots, recompression, secrets, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -105,3 +105,8 @@ def op4_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"),
         "spans",
     )
+
+
+@query
+def op8_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(read(spark, sf_dir, "embeddings"), least=0.95)
