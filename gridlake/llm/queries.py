@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, pivots, recompression, secrets, winnowing
+from . import bpe, ngram_join, packing, pii, pivots, recompression, secrets, toxicity, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -110,3 +110,23 @@ def op4_anchored_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pivot_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_vectors(read(spark, sf_dir, "embeddings"), least=0.95)
+
+
+TOXIC = 0.7
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learned from the rows that are not held out."""
+    return toxicity.fit(docs, labels.where(~toxicity.held_out()))
+
+
+@query
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
