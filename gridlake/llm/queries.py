@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, pii, pivots, recompression, secrets, toxicity, winnowing
+from . import bpe, licenses, ngram_join, packing, pii, pivots, recompression, secrets, toxicity, winnowing
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -130,3 +130,11 @@ def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= TOXIC).cast("int").alias("predicted"),
     )
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a file in the directory of its language below its source; a text with a statement in every
+    twenty words licenses its directory."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan_licenses(read(spark, sf_dir, "documents"), path, share=0.05)

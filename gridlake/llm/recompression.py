@@ -162,12 +162,14 @@ def _window_rows(words, text, size, buckets, block) -> Iterator[tuple]:
         mine = order[a:b]
         n = count[mine]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        steps = np.diff(at[heads[mine]], prepend=0)  # starts rise within a bucket
+        width = max(1, (int(steps.max()).bit_length() + 7) // 8)
         payload = b"".join(
             [
-                np.array([len(mine), n.sum()], "<u4").tobytes(),
+                np.array([len(mine), n.sum(), width], "<u4").tobytes(),
                 pack_planes(name[heads[mine]], NAME),
                 n.astype(np.uint8).tobytes(),
-                at[heads[mine]].astype("<u4").tobytes(),
+                pack_planes(steps, width),
                 pack_planes(full[np.repeat(heads[mine], n) + inner], HASH),
             ]
         )
@@ -203,19 +205,19 @@ def _match(size: int):
                 if kind != WINDOWS:
                     others.append((key, kind, block, payload))
                     continue
-                records, n = np.frombuffer(payload, "<u4", 2)
-                view, at = memoryview(payload), 8
+                records, n, width = (int(x) for x in np.frombuffer(payload, "<u4", 3))
+                view, at = memoryview(payload), 12
                 name = unpack_planes(view[at:], records, NAME)
-                at += NAME * int(records)
+                at += NAME * records
                 count = np.frombuffer(payload, np.uint8, records, at).astype(np.int64)
-                at += int(records)
-                first = np.frombuffer(payload, "<u4", records, at).astype(np.int64)
-                at += 4 * int(records)
+                at += records
+                first = np.cumsum(unpack_planes(view[at:], records, width).astype(np.int64))
+                at += width * records
                 full = unpack_planes(view[at:], n, HASH)
                 keys.append(mix(np.repeat(name, count) + mix(full)))
-                inner = np.arange(int(n)) - np.repeat(np.cumsum(count) - count, count)
+                inner = np.arange(n) - np.repeat(np.cumsum(count) - count, count)
                 starts.append((np.repeat(first, count) + inner).astype(np.uint32))
-                blocks.append((block, int(n)))
+                blocks.append(block)
             if others:
                 yield _batch(others)
         if not keys:
@@ -225,7 +227,7 @@ def _match(size: int):
         del every
         found = defaultdict(list)
         if len(twice):
-            for key, start, (block, _) in zip(keys, starts, blocks):
+            for key, start, block in zip(keys, starts, blocks):
                 j = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
                 hit = start[twice[j] == key]
                 if len(hit):
