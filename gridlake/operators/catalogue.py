@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE, has_text, text_hash_base36
-from .grid import KEY, attach, rank_within
+from .grid import KEY, attach, join_null_safe, rank_within
 
 # Layout cut-offs and the preview size.
 MIN_DENSITY = 0.15
@@ -64,7 +64,7 @@ def is_presentation(role: Column, name: Column, density: Column, n_cols: Column,
 
 def table_metrics(grid: DataFrame) -> DataFrame:
     """Density, row fill, nesting, layout flags and score of every table."""
-    joined = table_sizes(grid).join(table_heads(grid), KEY)
+    joined = join_null_safe(table_sizes(grid), table_heads(grid), KEY)
     nested = F.coalesce(F.col("attrs.nested_tables"), F.lit(0))
     return (
         joined.withColumn("nested_tables", nested)
@@ -158,7 +158,7 @@ def fingerprint(head: Column, n_rows: Column) -> Column:
 
 def fingerprints(grid: DataFrame) -> DataFrame:
     counts = grid.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
-    return counts.join(table_heads(grid), KEY).select(
+    return join_null_safe(counts, table_heads(grid), KEY).select(
         *KEY, fingerprint(F.col("head"), F.col("n_rows")).alias("fingerprint")
     )
 
@@ -205,10 +205,13 @@ def merge_tables(
 ) -> DataFrame:
     """Append the incoming tables whose id is new; the first occurrence of an id wins.
 
-    ``max_by``-style aggregation combines on the map side, so a hot id never gathers.
+    Rows without a position come last; equal positions are told apart by a hash of the row, so
+    the choice does not depend on partitions.  The aggregate combines on the map side, so a hot
+    id never gathers.
     """
     cols = incoming.columns
-    first = incoming.groupBy(id_col).agg(F.min_by(F.struct(*cols), F.col(position)).alias("_t"))
+    order = F.struct(F.col(position).isNull(), F.col(position), F.xxhash64(*cols))
+    first = incoming.groupBy(id_col).agg(F.min_by(F.struct(*cols), order).alias("_t"))
     fresh = first.join(existing.select(id_col).distinct(), id_col, "left_anti").select("_t.*")
     return existing.unionByName(fresh.select(*existing.columns))
 
@@ -238,7 +241,7 @@ def search_tables(tables: DataFrame, grid: DataFrame, query: str) -> DataFrame:
             .where(F.array_join(F.transform("_near", lambda r: r["_text"]), " \n ").contains(q))
         )
     keys = hits.select(*KEY).distinct()
-    found = tables.join(keys, KEY, "left_semi")
+    found = join_null_safe(tables, keys, KEY, "left_semi")
     hay = F.lower(F.concat(F.coalesce("preview", F.lit("")), F.lit("\n"), _joined(F.coalesce("header", F.array().cast("array<string>")), " ")))
     dataless = tables.where(hay.contains(q)).join(
         grid.where(F.col("row_idx") == 0).select(*KEY), KEY, "left_anti"

@@ -24,8 +24,9 @@ def chart_series(
     profile: dict | None = None,
     row: str = "row_idx",
     labels: dict[str, str] | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``series, row_idx, label, y``: one row per input row and y column."""
+    """``series, row_idx, label, y`` and the ``keep`` columns: one row per input row and y column."""
     label = F.coalesce(F.col(x).cast("string"), F.lit(""))
     points = F.array(
         *[
@@ -36,15 +37,20 @@ def chart_series(
             for y in ys
         ]
     )
-    return df.select(F.col(row).alias("row_idx"), label.alias("label"), F.inline(points)).select(
-        "series", "row_idx", "label", "y"
+    return df.select(F.col(row).alias("row_idx"), *keep, label.alias("label"), F.inline(points)).select(
+        "series", "row_idx", *keep, "label", "y"
     )
 
 
 def scatter_points(
-    df: DataFrame, x: str, ys: list[str], profile: dict | None = None, row: str = "row_idx"
+    df: DataFrame,
+    x: str,
+    ys: list[str],
+    profile: dict | None = None,
+    row: str = "row_idx",
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``series, row_idx, x, y`` with both coordinates parsed as numbers."""
+    """``series, row_idx, x, y`` and the ``keep`` columns, both coordinates parsed as numbers."""
     points = F.array(
         *[
             F.struct(
@@ -54,5 +60,5 @@ def scatter_points(
         ]
     )
     return df.select(
-        F.col(row).alias("row_idx"), _number(x, profile).alias("x"), F.inline(points)
-    ).select("series", "row_idx", "x", "y")
+        F.col(row).alias("row_idx"), *keep, _number(x, profile).alias("x"), F.inline(points)
+    ).select("series", "row_idx", *keep, "x", "y")

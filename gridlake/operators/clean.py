@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import has_text
 from ..plans.staging import stage
-from .grid import KEY, attach, bucket
+from .grid import KEY, attach, bucket, join_null_safe
 
 
 def pad_rows(grid: DataFrame) -> DataFrame:
@@ -62,12 +62,13 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     before = (
         Window.partitionBy(*KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
-    facts = per_bucket.select(
+    offsets = per_bucket.select(
         *KEY,
         "_bucket",
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_live").over(before), F.lit(0)).alias("_live_before"),
-    ).join(kept, KEY)
+    )
+    facts = join_null_safe(offsets, kept, KEY)
     blank = F.size("_keep") == 0
     columns = F.when(
         blank, F.sequence(F.lit(0), F.greatest(F.col("_width") - 1, F.lit(0)))
@@ -75,7 +76,7 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     within = Window.partitionBy(*KEY, "_bucket").orderBy("row_idx")
     offset = F.when(blank, F.col("_rows_before")).otherwise(F.col("_live_before"))
     return (
-        marked.join(facts, [*KEY, "_bucket"])
+        join_null_safe(marked, facts, [*KEY, "_bucket"])
         .where(blank | F.col("_alive"))
         .withColumn("row_idx", offset + F.row_number().over(within) - 1)
         .withColumn(
@@ -97,7 +98,7 @@ def drop_empty_columns(grid: DataFrame) -> DataFrame:
         .groupBy(*KEY)
         .agg(F.sort_array(F.collect_set("col_idx")).alias("_keep"))
     )
-    facts = wide.join(kept, KEY, "left")
+    facts = join_null_safe(wide, kept, KEY, "left")
     columns = F.coalesce(
         "_keep", F.sequence(F.lit(0), F.greatest(F.col("_width") - 1, F.lit(0)))
     )

@@ -11,8 +11,6 @@ from .grid import KEY, attach, rank_within
 
 # Name limits of the export format.
 SOURCE_CHARS, SHEET_CHARS = 20, 31
-#: most tables that are written as a folder each
-MAX_FOLDERS = 10_000
 #: order of table kinds in a page's list
 KIND_ORDER = ["html", "csv", "markdown"]
 
@@ -36,7 +34,7 @@ def markdown_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
 
 
-def _line(cells: Column, fmt: str) -> Column:
+def line_of(cells: Column, fmt: str) -> Column:
     if fmt == "csv":
         return delimited_line(cells, ",")
     if fmt == "tsv":
@@ -46,7 +44,7 @@ def _line(cells: Column, fmt: str) -> Column:
     raise ValueError("fmt must be csv, tsv or md")
 
 
-def _rule(cells: Column) -> Column:
+def rule_of(cells: Column) -> Column:
     return F.concat(
         F.lit("| "), F.array_join(F.transform(cells, lambda _: F.lit("---")), " | "), F.lit(" |")
     )
@@ -54,14 +52,14 @@ def _rule(cells: Column) -> Column:
 
 def export_lines(grid: DataFrame, fmt: str) -> DataFrame:
     """``KEY, line_no, line``; the header is line 0 and Markdown adds its rule as line 1."""
-    line = _line(F.col("cells"), fmt)
+    line = line_of(F.col("cells"), fmt)
     row = F.col("row_idx").cast("bigint")
     if fmt != "md":
         return grid.select(*KEY, row.alias("line_no"), line.alias("line"))
     body = F.array(F.struct((row + 1).alias("line_no"), line.alias("line")))
     head = F.array(
         F.struct(row.alias("line_no"), line.alias("line")),
-        F.struct((row + 1).alias("line_no"), _rule(F.col("cells")).alias("line")),
+        F.struct((row + 1).alias("line_no"), rule_of(F.col("cells")).alias("line")),
     )
     return grid.select(*KEY, F.inline(F.when(row == 0, head).otherwise(body)))
 
@@ -70,7 +68,7 @@ def wide_lines(df: DataFrame, columns: list[str], fmt: str, row: str = "row_idx"
     """``line_no, line`` of a wide table's body rows, numbered by ``row`` (1-based)."""
     cells = F.array(*[F.col(c).cast("string") for c in columns])
     shift = 1 if fmt == "md" else 0
-    return df.select((F.col(row).cast("bigint") + shift).alias("line_no"), _line(cells, fmt).alias("line"))
+    return df.select((F.col(row).cast("bigint") + shift).alias("line_no"), line_of(cells, fmt).alias("line"))
 
 
 def write_lines(lines: DataFrame, path: str, folders: bool = True) -> None:
@@ -138,16 +136,17 @@ def export_all(
     export_date: str,
     fmt: str = "csv",
     source: str | None = None,
+    folders: bool = True,
 ) -> DataFrame:
     """Write every table's lines and the manifest under ``path``; refuse an empty export.
 
-    Up to ``MAX_FOLDERS`` tables get a folder each; more share one sorted Parquet table.
+    ``folders`` gives each table a folder of text; otherwise all share one sorted Parquet table,
+    the better choice for very many tables.
     """
     manifest = stage(export_manifest(tables, export_date, source=source), "manifest")
-    n = manifest.count()
-    if n == 0:
+    if manifest.isEmpty():
         raise ValueError("no valid table data to export")
     facts = manifest.select(*KEY).join(tables.select(*KEY, (F.col("n_rows") - 1).alias("last_row")), KEY)
-    write_lines(export_lines(attach(grid, facts), fmt), f"{path}/tables", folders=n <= MAX_FOLDERS)
+    write_lines(export_lines(attach(grid, facts), fmt), f"{path}/tables", folders)
     manifest.write.parquet(f"{path}/manifest")
     return manifest.sparkSession.read.parquet(f"{path}/manifest")

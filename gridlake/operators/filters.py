@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.numbers import parse_number
-from ..functions.text import has_text, js_trim
+from ..functions.text import WHITE_SPACE, has_text, js_trim
 
 _FLOAT = re.compile(r"\s*([+-]?(?:\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?))")
 
@@ -76,15 +76,27 @@ def predicate(value: Column, spec: dict, decimal: Column | str = ".", dayfirst:
     if kind == "categorical":
         if spec.get("selected"):
             test = test & membership(value, spec["selected"])
-        if spec.get("text"):
-            test = test & contains_text(value, spec["text"])
+        if _given(spec.get("text")):
+            test = test & contains_text(value, trimmed(spec)["text"])
     return test
 
 
+def _given(value) -> bool:
+    """Whether a filter's entry says anything; the number 0 does, blank text does not."""
+    if isinstance(value, str):
+        return value.strip(WHITE_SPACE) != ""
+    return value is not None and value != [] and value != ()
+
+
 def is_active(spec: dict) -> bool:
     """Empty filters are dropped before they reach a plan."""
     keys = {"numeric": ("min", "max"), "date": ("from", "to"), "categorical": ("selected", "text")}
-    return any(spec.get(k) for k in keys.get(spec.get("type"), ()))
+    return any(_given(spec.get(k)) for k in keys.get(spec.get("type"), ()))
+
+
+def trimmed(spec: dict) -> dict:
+    """The filter as it is saved: text without white space around it."""
+    return {k: v.strip(WHITE_SPACE) if k == "text" and isinstance(v, str) else v for k, v in spec.items()}
 
 
 def filter_wide(

@@ -12,6 +12,9 @@ offset over the buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +22,6 @@ from ..plans.staging import stage
 
 KEY = ["page_id", "kind", "table_idx"]
 BUCKET_ROWS = 1 << 16
-#: groups up to this many rows are numbered by one window task
-WINDOW_ROWS = 1 << 20
 
 
 def bucket(index: str = "row_idx", size: int | None = None) -> Column:
@@ -44,9 +45,15 @@ def attach(
     spread = facts.withColumn(
         "_bucket", F.explode(F.sequence(F.lit(0).cast("bigint"), bucket(last, size)))
     ).drop(last)
-    return (
-        rows.withColumn("_bucket", bucket(index, size)).join(spread, [*keys, "_bucket"]).drop("_bucket")
-    )
+    return join_null_safe(rows.withColumn("_bucket", bucket(index, size)), spread, [*keys, "_bucket"]).drop("_bucket")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where null equals null; the keys come from ``left``."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    test = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys))
+    joined = left.join(other, test, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_right_{k}" for k in keys))
 
 
 def to_cells(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -58,7 +65,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "pos") -> DataFr
 
     Sort (range-partitioned, so even one hot leading value is split by the later
     order columns), write once, then add each partition's offset.  The offsets
-    table has one row per sort partition, which bounds the broadcast.
+    table has one row per sort partition; Spark's own size check decides how it is joined.
     """
     marked = stage(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()), "order")
     part = F.shiftright("_mid", 33)
@@ -70,33 +77,19 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "pos") -> DataFr
     within = F.pmod(F.col("_mid"), F.lit(1 << 33))
     return (
         marked.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(name, F.col("_before") + within + 1)
         .drop("_part", "_mid", "_before")
     )
 
 
-def rank_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    name: str = "rank",
-    window_rows: int | None = None,
-) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """``row_number`` per key that stays balanced when one key is huge.
 
-    Keys up to ``window_rows`` rows use a plain window.  Larger keys (at most
-    rows/window_rows of them, so the list is small enough to broadcast) are sorted
-    globally and numbered from the first position of their key.
+    Rows are sorted globally by key and order, so that a huge key is split over tasks, and
+    numbered from the first position of their key.
     """
-    limit = window_rows or WINDOW_ROWS
-    window = Window.partitionBy(*keys).orderBy(*order)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select(*keys)
-    if hot.isEmpty():
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
-    hot = F.broadcast(hot)
-    plain = df.join(hot, keys, "left_anti").withColumn(name, F.row_number().over(window).cast("bigint"))
-    big = number_rows(df.join(hot, keys, "left_semi"), [*[F.col(k) for k in keys], *order], "_pos")
-    starts = F.broadcast(big.groupBy(*keys).agg(F.min("_pos").alias("_start")))
-    big = big.join(starts, keys).withColumn(name, F.col("_pos") - F.col("_start") + 1)
-    return plain.unionByName(big.drop("_pos", "_start"))
+    ranked = number_rows(df, [*[F.col(k) for k in keys], *order], "_pos")
+    starts = ranked.groupBy(*keys).agg(F.min("_pos").alias("_start"))
+    ranked = join_null_safe(ranked, starts, keys)
+    return ranked.withColumn(name, F.col("_pos") - F.col("_start") + 1).drop("_pos", "_start")

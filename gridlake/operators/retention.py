@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: salts used when more than this many rows per partition are kept
+#: parts a partition is trimmed in before its rows meet
 SALTS = 64
-#: Spark trims row_number() <= n on the map side up to this n
-MAP_SIDE_LIMIT = 1000
 # Snapshots kept, and how long an automatic one lives.
 KEPT_VIEWS = 50
 VIEW_HOURS = 24
@@ -25,10 +23,15 @@ def upsert_by_key(
     """Replace rows in place by key, append new keys after the last position.
 
     A replaced row keeps its id and position and takes the most recent content.  New
-    keys keep their arrival order: their position is the largest existing one plus the
-    smallest incoming one.  Aggregation only, so a hot key combines on the map side.
+    keys keep their arrival order: the least incoming position follows the largest existing
+    one, wherever incoming positions start; rows without one come after all others.
+    Aggregation only, so a hot key combines on the map side.
     """
     last = existing.agg(F.coalesce(F.max(position), F.lit(0))).scalar()
+    least = incoming.agg(F.coalesce(F.min(position), F.lit(0))).scalar()
+    most = incoming.agg(F.coalesce(F.max(position), F.lit(0))).scalar()
+    arrived = F.coalesce(F.col(position), most + 1)
+    incoming = incoming.withColumn(position, arrived.cast(existing.schema[position].dataType))
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
     rest = [c for c in existing.columns if c not in (key, id_col, position)]
     arrival = F.struct("_new", position)
@@ -36,7 +39,7 @@ def upsert_by_key(
         F.min_by(F.struct(id_col, position, "_new"), arrival).alias("_first"),
         F.max_by(F.struct(*rest), F.struct("_new", recency, position)).alias("_last"),
     )
-    at = F.when(F.col("_first._new") == 1, last + F.col(f"_first.{position}")).otherwise(
+    at = F.when(F.col("_first._new") == 1, last + F.col(f"_first.{position}") - least + 1).otherwise(
         F.col(f"_first.{position}")
     )
     return merged.select(
@@ -52,22 +55,19 @@ def keep_latest(
 ) -> DataFrame:
     """The last ``n`` rows by position, overall or per partition.
 
-    Up to ``MAP_SIDE_LIMIT`` Spark cuts each map task to n rows before the shuffle.
-    Beyond it a salted first round does the same job, so a hot partition never reaches
-    one task whole.
+    A salted first round trims each of ``SALTS`` parts of a partition to n rows, so a hot
+    partition never reaches one task whole.
     """
     if not partition:
         return df.orderBy(F.col(position).desc()).limit(n)
     last = F.col(position).desc()
-    rows = df
-    if n > MAP_SIDE_LIMIT:
-        salted = Window.partitionBy(*partition, "_salt").orderBy(last)
-        rows = (
-            rows.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(SALTS)))
-            .withColumn("_rn", F.row_number().over(salted))
-            .where(F.col("_rn") <= n)
-            .drop("_salt", "_rn")
-        )
+    salted = Window.partitionBy(*partition, "_salt").orderBy(last)
+    rows = (
+        df.withColumn("_salt", F.pmod(F.xxhash64(position), F.lit(SALTS)))
+        .withColumn("_rn", F.row_number().over(salted))
+        .where(F.col("_rn") <= n)
+        .drop("_salt", "_rn")
+    )
     window = Window.partitionBy(*partition).orderBy(last)
     return rows.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")
 

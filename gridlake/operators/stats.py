@@ -127,6 +127,11 @@ def default_stat(type_: Column) -> Column:
     return F.when(type_.isin("rate", "percentage"), F.lit("avg")).otherwise(F.lit("count"))
 
 
+def pinned_stat(type_name: str) -> str:
+    """The stat a column shows once a reader has set its type."""
+    return {"money": "sum", "numeric": "sum", "rate": "avg", "percentage": "avg"}.get(type_name, "count")
+
+
 def column_stats(
     typed: DataFrame,
     stats: tuple[str, ...] | None = None,

@@ -14,9 +14,7 @@ from ..functions.text import CUR, WS, js_trim
 from .grid import KEY, attach, to_cells
 
 TYPES = ("categorical", "numeric", "money", "rate", "date")
-# Rows sampled for the number format and for the header-aware guess.
-FORMAT_SAMPLE_ROWS = 30
-HEADER_SAMPLE_ROWS = 50
+# Fixed value: the share of a kind that settles a column's type.
 SHARE = 0.7
 
 # Header words that settle a type.
@@ -47,9 +45,11 @@ def _class_of(trimmed: Column, row: Column) -> Column:
     return F.when((row > 0) & (trimmed != ""), value_class(trimmed))
 
 
-def _measures(v: Column, cls: Column, row: Column) -> dict[str, Column]:
+def _measures(v: Column, cls: Column, row: Column, sample_rows: int | None = None) -> dict[str, Column]:
     """Aggregates that decide type and format, from the trimmed value and its class."""
-    sample = cls.isNotNull() & (row <= FORMAT_SAMPLE_ROWS) & v.rlike("[0-9]")
+    sample = cls.isNotNull() & v.rlike("[0-9]")
+    if sample_rows is not None:
+        sample = sample & (row <= sample_rows)
     odd = F.when(cls != "n", v)
     out = {
         "n_values": F.count(cls),
@@ -106,13 +106,17 @@ def _pin(profile: DataFrame, overrides: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
-def infer_types(grid: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+def infer_types(
+    grid: DataFrame, overrides: DataFrame | None = None, sample_rows: int | None = None
+) -> DataFrame:
     """``profile``: one row per column of every table with at least one body row.
 
+    Number formats are read from all rows, or from the first ``sample_rows`` if asked for.
+
     ``overrides`` pins columns: KEY, col_idx, type, thousand, decimal (null = keep).
     """
     value, row = F.col("value"), F.col("row_idx")
-    measures = _measures(F.col("_v"), F.col("_cls"), row)
+    measures = _measures(F.col("_v"), F.col("_cls"), row, sample_rows)
     stats = (
         to_cells(grid)
         .withColumn("_v", js_trim(value))
@@ -193,10 +197,15 @@ def typed_cells(
     ).withColumn("dt", F.when(F.col("type") == "date", parse_date("value", dayfirst)))
 
 
-def detect_column_types(grid: DataFrame) -> DataFrame:
-    """Header-aware guess: a share above 0.7 of the first 50 values, or a header word."""
+def detect_column_types(grid: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Header-aware guess: a share above 0.7 of the values, or a header word.
+
+    All rows count, or the first ``sample_rows`` if asked for.
+    """
     value, row, v = F.col("value"), F.col("row_idx"), F.col("_v")
-    in_sample = (row > 0) & (row <= HEADER_SAMPLE_ROWS)
+    if sample_rows is not None:
+        grid = grid.where(row <= sample_rows)
+    in_sample = row > 0
     bare = F.regexp_replace(v, f"[{CUR}{WS}]", "")
     kind = F.when(
         in_sample & (v != ""),
@@ -207,7 +216,7 @@ def detect_column_types(grid: DataFrame) -> DataFrame:
         .otherwise(F.lit("other")),
     )
     cells = (
-        to_cells(grid.where(row <= HEADER_SAMPLE_ROWS))
+        to_cells(grid)
         .withColumn("_v", js_trim(value))
         .withColumn("_kind", kind)
     )

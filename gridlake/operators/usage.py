@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..functions.dates import next_reset
 
 
+def utc_month(events: DataFrame, ts: str) -> Column:
+    """``yyyy-MM`` of an instant in UTC, whatever the session's zone; zone-free times as they stand."""
+    if not isinstance(events.schema[ts].dataType, TimestampType):
+        return F.date_format(ts, "yyyy-MM")
+    day = F.date_from_unix_date(F.floor(F.unix_micros(ts) / 86_400_000_000).cast("int"))
+    return F.date_format(day, "yyyy-MM")
+
+
 def monthly_usage(
     events: DataFrame,
     user: str = "user_id",
@@ -25,7 +34,7 @@ def monthly_usage(
     return rows.groupBy(
         F.col(user).alias("user"),
         F.col(action).alias("action"),
-        F.date_format(ts, "yyyy-MM").alias("month"),
+        utc_month(rows, ts).alias("month"),
     ).agg(F.count("*").alias("used"))
 
 

@@ -2,25 +2,25 @@
 
 Python extraction and range-partitioned numbering must run once only.  Their
 result goes to Parquet under ``spark.checkpoint.dir``, which every executor can
-reach, so a lost executor costs a re-read and never a different answer.
+reach, so a lost executor costs a re-read and never a different answer.  There is
+no other folder to fall back to: a machine's own disk is not shared.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def staging_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="gridlake-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return root.rstrip("/")
 
 
@@ -28,5 +28,22 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once and return the written table."""
     spark = df.sparkSession
     path = f"{staging_root(spark)}/gridlake/{label}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stages_removed(spark: SparkSession) -> Iterator[None]:
+    """Remove what was staged inside, at the end; results that read it must be written by then."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        hadoop = spark._jsc.hadoopConfiguration()
+        for name in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(hadoop).delete(path, True)

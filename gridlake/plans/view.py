@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE
 from ..operators.charts import chart_series, scatter_points
-from ..operators.filters import filter_wide, is_active
+from ..operators.export import line_of, rule_of, wide_lines
+from ..operators.filters import filter_wide, is_active, trimmed
 from ..operators.grid import KEY, number_rows
 from ..operators.sorting import sort_order
 from ..operators.stats import wide_stats
@@ -36,7 +37,7 @@ class ViewSpec:
     fingerprint: str | None = None
 
     def to_json(self) -> str:
-        live = {k: v for k, v in self.filters.items() if is_active(v)}
+        live = {k: trimmed(v) for k, v in self.filters.items() if is_active(v)}
         return json.dumps({**asdict(self), "filters": live}, ensure_ascii=False, sort_keys=True)
 
     @classmethod
@@ -70,11 +71,22 @@ class View:
 
     @property
     def series(self) -> DataFrame | None:
+        """The chosen series; ``pos`` is a point's place in the view's order."""
         chosen = self.spec.series
         if not chosen:
             return None
         build = scatter_points if chosen.get("kind") == "scatter" else chart_series
-        return build(self.rows, chosen["x"], chosen["ys"], self.profile, self.row)
+        return build(self.positioned(), chosen["x"], chosen["ys"], self.profile, self.row, keep=("pos",))
+
+    def lines(self, fmt: str) -> DataFrame:
+        """``line_no, line`` of the view as text: header, Markdown's rule, rows in the view's order."""
+        names = F.array(*(F.lit(c) for c in self.columns))
+        head = [(0, line_of(names, fmt))] + ([(1, rule_of(names))] if fmt == "md" else [])
+        one = self.source.sparkSession.range(1)
+        heads = one.select(
+            F.inline(F.array(*(F.struct(F.lit(n).cast("bigint").alias("line_no"), text.alias("line")) for n, text in head)))
+        )
+        return heads.unionByName(wide_lines(self.positioned(), self.columns, fmt, "pos"))
 
     @property
     def fingerprint(self) -> DataFrame:

@@ -43,8 +43,6 @@ _KIND = {
     "colgroup": SECTION, "table": TABLE, "caption": CAPTION, "pre": BLOCK, "code": BLOCK,
 }
 _KIND.update({name.upper(): kind for name, kind in list(_KIND.items())})
-# The largest spans a browser honours.
-MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 #: cells per Arrow batch handed back to the JVM
 BATCH_CELLS = 200_000
 
@@ -68,9 +66,9 @@ def _attributes(inside: str) -> dict[str, str]:
     return found
 
 
-def _span(attrs: dict[str, str], name: str, limit: int) -> int:
+def _span(attrs: dict[str, str], name: str) -> int:
     m = _LEADING_INT.match(attrs.get(name) or "1")
-    return min(limit, max(1, int(m.group(1)))) if m else 1
+    return max(1, int(m.group(1))) if m else 1
 
 
 class _Table:
@@ -133,8 +131,8 @@ class _Page:
         cell = [len(self.buf), None, 1, 1, None]
         if inside and "span" in inside.lower():
             attrs = _attributes(inside)
-            cell[2] = _span(attrs, "colspan", MAX_COLSPAN)
-            cell[3] = _span(attrs, "rowspan", MAX_ROWSPAN)
+            cell[2] = _span(attrs, "colspan")
+            cell[3] = _span(attrs, "rowspan")
             for table in self.open:
                 table.spans = True
         if len(self.open) == 1:

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let, route, squeeze_out_spaces
 
-#: Fixed value: most pages one specification may name.
-MAX_PAGES = 20
-
-
 def route_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("route", route("url"))
 
@@ -20,13 +16,13 @@ def _leading_int(text: Column) -> Column:
 
 
 def parse_page_ranges(
-    specs: DataFrame, key: str = "spec_id", spec: str = "spec", max_pages: int = MAX_PAGES
+    specs: DataFrame, key: str = "spec_id", spec: str = "spec", max_pages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(pages, errors)`` of texts such as ``"1-3,5"``.
 
     ``pages`` is (key, page) with 0-based distinct pages; ``errors`` is (key, error).
-    The number of pages is worked out on the interval ends, so ``1-999999999999`` is
-    refused without ever being expanded.
+    ``max_pages`` refuses specifications that name more pages; their number is worked out on
+    the interval ends, so ``1-999999999999`` is refused without ever being expanded.
     """
     cleaned = F.coalesce(squeeze_out_spaces(spec), F.lit(""))
 
@@ -72,9 +68,8 @@ def parse_page_ranges(
             error = (
                 F.when(clean == "", F.lit("Empty input"))
                 .when(s["bad"].isNotNull(), s["bad"])
-                .when(s["n"] > max_pages, over)
+                .when(s["n"] > max_pages if max_pages is not None else F.lit(False), over)
             )
-            # only valid specs are expanded: at most max_pages pages each
             pages = F.flatten(F.transform(s["iv"], lambda x: F.sequence(x["lo"] - 1, x["hi"] - 1)))
             return F.struct(
                 error.alias("error"), F.when(error.isNull(), F.array_distinct(pages)).alias("pages")
@@ -93,7 +88,7 @@ def select_page_ranges(
     page_no: str = "page",
     key: str = "spec_id",
     spec: str = "spec",
-    max_pages: int = MAX_PAGES,
+    max_pages: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ``pages`` (key, page_no, ...) that their document's specification names."""
     chosen, errors = parse_page_ranges(specs, key, spec, max_pages)

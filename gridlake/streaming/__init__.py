@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.detect import detect_tables
+from ..plans.staging import stages_removed
 
 
 def append_tables(
@@ -19,12 +20,13 @@ def append_tables(
     """Write the grid rows of every arriving page under ``path/batch_id=N``, by kind."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        (
-            detect_tables(batch)
-            .write.mode("overwrite")
-            .partitionBy("kind")
-            .parquet(f"{path}/batch_id={batch_id}")
-        )
+        with stages_removed(batch.sparkSession):
+            (
+                detect_tables(batch)
+                .write.mode("overwrite")
+                .partitionBy("kind")
+                .parquet(f"{path}/batch_id={batch_id}")
+            )
 
     writer = pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     if available_now:

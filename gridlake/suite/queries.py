@@ -14,6 +14,7 @@ from ..functions.text import js_trim, site_name
 from ..operators import charts, export, filters, retention, sorting, stats, usage
 from ..operators.catalogue import (
     fingerprints,
+    get_table,
     list_tables,
     merge_tables,
     rank_tables,
@@ -41,7 +42,7 @@ from ..plans.detect import detect_tables, read_grid, read_tables, write_catalogu
 from ..plans.staging import stage, staging_root
 from ..plans.view import ViewSpec, apply_view, wide_fingerprint
 from ..sources.html import extract_code_blocks, extract_html_tables
-from ..sources.json_tables import normalize_table_json
+from ..sources.json_tables import normalize_table_json, table_json_errors
 from ..sources.pages import parse_page_ranges, route_pages, select_page_ranges
 from ..sources.render import csv_text, escape_html, html_page, html_row, markdown_text
 from ..sources.text_tables import (
@@ -218,16 +219,22 @@ def table_search_rows(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id")
 
 
+def _some_unseen() -> Column:
+    """The customer of an order; odd orders name customers that no table has."""
+    shift = F.when(F.col("o_orderkey") % 2 == 1, F.lit(10_000_000)).otherwise(F.lit(0))
+    return (F.col("o_custkey") + shift).cast("string")
+
+
 @query
 def merge_table_lists(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
-    existing = c.where("c_custkey % 3 = 0").select(
+    existing = c.select(
         F.concat(F.lit("t"), text("c_custkey")).alias("table_id"),
         F.lit("kept").alias("origin"),
         F.col("c_custkey").alias("position"),
     )
     incoming = table(spark, sf, "orders").select(
-        F.concat(F.lit("t"), text("o_custkey")).alias("table_id"),
+        F.concat(F.lit("t"), _some_unseen()).alias("table_id"),
         F.lit("new").alias("origin"),
         F.col("o_orderkey").alias("position"),
     )
@@ -348,13 +355,13 @@ def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
         "l_partkey",
         "l_quantity",
     )
-    chosen, _ = select_page_ranges(pages, _range_specs(spark, sf))
+    chosen, _ = select_page_ranges(pages, _range_specs(spark, sf), max_pages=20)
     return chosen.select("spec_id", "page", "l_partkey", "l_quantity")
 
 
 @query
 def page_range_errors(spark: SparkSession, sf: str) -> DataFrame:
-    _, errors = parse_page_ranges(_range_specs(spark, sf))
+    _, errors = parse_page_ranges(_range_specs(spark, sf), max_pages=20)
     return errors
 
 
@@ -847,7 +854,98 @@ def apply_view_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def apply_view_series(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_view(_orders_wide(spark, sf), _spec()).series
+    return apply_view(_orders_wide(spark, sf), _spec()).series.drop("pos")
+
+
+@query
+def view_series_sorted(spark: SparkSession, sf: str) -> DataFrame:
+    return apply_view(_orders_wide(spark, sf), _spec()).series.select("series", "pos", "label", "y")
+
+
+@query
+def view_export_csv(spark: SparkSession, sf: str) -> DataFrame:
+    return apply_view(_orders_wide(spark, sf), _spec()).lines("csv")
+
+
+@query
+def view_export_tsv(spark: SparkSession, sf: str) -> DataFrame:
+    return apply_view(_orders_wide(spark, sf), _spec()).lines("tsv")
+
+
+@query
+def view_export_md(spark: SparkSession, sf: str) -> DataFrame:
+    return apply_view(_orders_wide(spark, sf), _spec()).lines("md")
+
+
+@query
+def filter_zero_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Balances of 0 and above, with a blank text filter that says nothing."""
+    rows = table(spark, sf, "customer").select("c_custkey", text("c_acctbal").alias("balance"), "c_name")
+    spec = {"balance": {"type": "numeric", "min": 0}, "c_name": {"type": "categorical", "text": "  "}}
+    return filters.filter_wide(rows, spec).select("c_custkey")
+
+
+@query
+def json_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers of which some hold an element that is no table, and some are no JSON at all."""
+    k = F.col("c_custkey")
+    good = F.lit('{"rows":[["h"],["a"]],"page":"3","index":2.0}')
+    answer = (
+        F.when(k % 3 == 0, F.concat(F.lit("["), good, F.lit(",7]")))
+        .when(k % 3 == 1, F.concat(F.lit('{"tables":['), good, F.lit("]}")))
+        .otherwise(F.lit("[{"))
+    )
+    answers = table(spark, sf, "customer").select(k.alias("page_id"), answer.alias("json"))
+    rows = normalize_table_json(answers).where("row_idx = 1").select(
+        "page_id", "table_idx", F.concat_ws(":", "service_page", "service_index").alias("said")
+    )
+    return rows.unionAll(table_json_errors(answers).select("page_id", "table_idx", "error"))
+
+
+@query
+def monthly_usage_instants(spark: SparkSession, sf: str) -> DataFrame:
+    """Months of instants are those of UTC, also where a session shows another day."""
+    instants = table(spark, sf, "orders").select(
+        "o_custkey",
+        "o_orderstatus",
+        F.timestamp_micros(F.unix_date(F.to_date("o_orderdate")) * F.lit(86_400_000_000) + F.col("o_orderkey") % 86_400).alias("at"),
+    )
+    return usage.monthly_usage(instants, user="o_custkey", action="o_orderstatus", ts="at")
+
+
+@query
+def container_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with a wrapper that is no layout table, and pages of wrappers only."""
+    k = F.col("c_custkey")
+    inner = F.concat(F.lit("<table><tr><th>K</th><th>V</th></tr><tr><td>"), k.cast("string"), F.lit("</td><td>x</td></tr></table>"))
+    wrapper = F.concat(F.lit("<table><tr><td>a</td><td>b</td></tr><tr><td>"), inner, F.lit("</td><td>c</td></tr></table>"))
+    pages = table(spark, sf, "customer").select(
+        k.alias("page_id"),
+        F.lit("https://a.example.com/").alias("url"),
+        F.when(k % 2 == 0, wrapper).otherwise(F.concat(wrapper, inner)).alias("html"),
+    )
+    grid = stage(extract_html_tables(pages), "containers")
+    ranked = rank_tables(table_metrics(grid))
+    return ranked.select("page_id", "table_idx", "is_container", "rank")
+
+
+@query
+def one_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of one page of the order book, as it is found again by its key."""
+    return get_table(_order_grid(spark, sf), 1, 0).select("row_idx", _line())
+
+
+@query
+def html_wide_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells under a span of more than a thousand columns."""
+    k = F.col("s_suppkey")
+    width = k % 7 * 300 + 1
+    html = F.concat(
+        F.lit("<table><tr><td colspan="), width.cast("string"), F.lit(">a</td><td>b</td></tr><tr><td>c</td><td>"),
+        k.cast("string"), F.lit("</td></tr></table>"),
+    )
+    pages = table(spark, sf, "supplier").select(k.alias("page_id"), F.lit("https://a.example.com/").alias("url"), html.alias("html"))
+    return extract_html_tables(pages).select("page_id", "row_idx", F.size("cells").cast("bigint").alias("n_cells"))
 
 
 @query
@@ -858,7 +956,7 @@ def view_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
 def _saved(spark: SparkSession, sf: str, which: str) -> DataFrame:
     """Saved views: one per customer name; orders save again under existing and new names."""
     if which == "existing":
-        return table(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+        return table(spark, sf, "customer").select(
             F.concat(F.lit("id"), text("c_custkey")).alias("id"),
             text("c_custkey").alias("name"),
             F.col("c_custkey").alias("position"),
@@ -867,7 +965,7 @@ def _saved(spark: SparkSession, sf: str, which: str) -> DataFrame:
         )
     return table(spark, sf, "orders").select(
         F.concat(F.lit("new"), text("o_orderkey")).alias("id"),
-        text("o_custkey").alias("name"),
+        _some_unseen().alias("name"),
         (F.col("o_orderkey") + 1).alias("position"),
         (F.col("o_orderkey") + 1).alias("saved_at"),
         F.concat(F.lit("state "), text("o_orderkey")).alias("state"),

@@ -187,6 +187,18 @@ def _numeric(header: str, expr: str, present: str = "TRUE") -> list[tuple[str, s
 
 VIEW_WHERE = """day BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'
   AND "Priority" IN ('1-URGENT', '3-MEDIUM')"""
+VIEW_COLUMNS = ("Order", "Total", "Date", "Level", "Priority", "Buyer", "Share")
+
+
+def _view_lines(literal: str) -> str:
+    def cell(c: str) -> str:
+        return f'CASE WHEN contains("{c}", {literal}) THEN \'"\' || "{c}" || \'"\' ELSE "{c}" END'
+
+    cells = f" || {literal} || ".join(cell(c) for c in VIEW_COLUMNS)
+    return f"""
+WITH {OW}, v AS (SELECT *, row_number() OVER (ORDER BY total0 DESC, row_idx) AS pos FROM ow WHERE {VIEW_WHERE})
+SELECT 0 AS line_no, concat_ws({literal}, {", ".join(f"'{c}'" for c in VIEW_COLUMNS)}) AS line
+UNION ALL SELECT pos, {cells} FROM v"""
 
 HASH = """list_reduce(list_transform(string_split({0}, ''), lambda ch: unicode(ch)::BIGINT),
     lambda a, b: (a * 31 + b) % 4294967296, 0::BIGINT)"""
@@ -248,10 +260,11 @@ blob AS (SELECT page_id, lower(string_agg(c0 || ' ' || c1 || ' ' || c2 || ' ' ||
   FROM sheet GROUP BY 1)
 SELECT page_id FROM blob WHERE contains(t, 'household ' || chr(10) || ' 1')""",
     "merge_table_lists": """
-WITH e AS (SELECT 't' || c_custkey AS table_id, 'kept' AS origin, c_custkey AS position FROM customer WHERE c_custkey % 3 = 0)
+WITH e AS (SELECT 't' || c_custkey AS table_id, 'kept' AS origin, c_custkey AS position FROM customer),
+i AS (SELECT 't' || (o_custkey + CASE WHEN o_orderkey % 2 = 1 THEN 10000000 ELSE 0 END) AS table_id, o_orderkey FROM orders)
 SELECT * FROM e UNION ALL
-SELECT 't' || o_custkey, 'new', min(o_orderkey) FROM orders
-WHERE 't' || o_custkey NOT IN (SELECT table_id FROM e) GROUP BY o_custkey""",
+SELECT table_id, 'new', min(o_orderkey) FROM i
+WHERE table_id NOT IN (SELECT table_id FROM e) GROUP BY table_id""",
     "code_block_tables": f"""
 WITH {CUST},
 rows_ AS (SELECT page_id, row_idx, CASE WHEN row_idx = 0 THEN 'Key' ELSE c0 END AS c0, c1, c2, c3 FROM sheet)
@@ -476,14 +489,42 @@ UNION ALL SELECT 'Buyer', 'count', count(*), NULL FROM f
 UNION ALL SELECT 'Share', 'avg', round(avg(share0), 3), NULL FROM f""",
     "apply_view_series": f"""
 WITH {OW} SELECT 'Total' AS series, row_idx, "Date" AS label, total0 AS y FROM ow WHERE {VIEW_WHERE}""",
+    "view_series_sorted": f"""
+WITH {OW} SELECT 'Total' AS series, row_number() OVER (ORDER BY total0 DESC, row_idx) AS pos, "Date" AS label, total0 AS y
+FROM ow WHERE {VIEW_WHERE}""",
+    "view_export_csv": _view_lines("','"),
+    "view_export_tsv": _view_lines("chr(9)"),
+    "view_export_md": f"""
+WITH {OW}, v AS (SELECT *, row_number() OVER (ORDER BY total0 DESC, row_idx) AS pos FROM ow WHERE {VIEW_WHERE})
+SELECT 0 AS line_no, '| {" | ".join(VIEW_COLUMNS)} |' AS line
+UNION ALL SELECT 1, '| {" | ".join("---" for _ in VIEW_COLUMNS)} |'
+UNION ALL SELECT pos + 1, '| ' || concat_ws(' | ', {", ".join(f'"{c}"' for c in VIEW_COLUMNS)}) || ' |' FROM v""",
+    "filter_zero_bound": "SELECT c_custkey FROM customer WHERE c_acctbal >= 0",
+    "json_errors": """
+SELECT c_custkey AS page_id, 0 AS table_idx, '3:2' AS said FROM customer WHERE c_custkey % 3 <> 2
+UNION ALL SELECT c_custkey, 1, 'not a table' FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, NULL, 'no list of tables' FROM customer WHERE c_custkey % 3 = 2""",
+    "monthly_usage_instants": """
+SELECT o_custkey AS user, o_orderstatus AS action, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS used
+FROM orders GROUP BY ALL""",
+    "container_rank": """
+SELECT c_custkey AS page_id, 1 AS table_idx, false AS is_container, 1 AS rank FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT c_custkey, x.i, false, x.i FROM customer, (VALUES (1), (2)) x(i) WHERE c_custkey % 2 = 1""",
+    "one_table": f"""
+WITH {OW} SELECT 0 AS row_idx, '{"|".join(VIEW_COLUMNS)}' AS line
+UNION ALL SELECT r, concat_ws('|', {", ".join(f'"{c}"' for c in VIEW_COLUMNS)}) FROM ow WHERE page_id = 1""",
+    "html_wide_span": """
+SELECT s_suppkey AS page_id, x.i AS row_idx, s_suppkey % 7 * 300 + 2 AS n_cells
+FROM supplier, (VALUES (0), (1)) x(i)""",
     "view_fingerprint": f"""
 WITH {OW} SELECT 'Order|Total|Date|Level|Priority|Buyer|Share_' || (SELECT count(*) FROM ow) || 'x7_' ||
   replace("Order" || '|' || "Total" || '|' || "Date", ' ', '') AS fingerprint FROM ow WHERE row_idx = 1""",
     "upsert_by_key": """
-WITH e AS (SELECT 'id' || c_custkey AS id, c_custkey::VARCHAR AS name, c_custkey AS position FROM customer WHERE c_custkey % 2 = 0),
-i AS (SELECT o_custkey::VARCHAR AS name, min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)
+WITH e AS (SELECT 'id' || c_custkey AS id, c_custkey::VARCHAR AS name, c_custkey AS position FROM customer),
+i AS (SELECT (o_custkey + CASE WHEN o_orderkey % 2 = 1 THEN 10000000 ELSE 0 END)::VARCHAR AS name,
+  min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders GROUP BY 1)
 SELECT coalesce(e.id, 'new' || lo) AS id, name,
-  coalesce(e.position, (SELECT max(position) FROM e) + lo + 1) AS position,
+  coalesce(e.position, (SELECT max(position) FROM e) + lo - (SELECT min(lo) FROM i) + 1) AS position,
   coalesce(hi + 1, 0) AS saved_at, coalesce('state ' || hi, 'first') AS state
 FROM e FULL JOIN i USING (name)""",
     "keep_latest": """

@@ -73,10 +73,20 @@ def test_numeric_with_one_odd_value(make_grid):
     assert [types_of(profile, p) for p in tables] == [["numeric"], ["categorical"], ["categorical"]]
 
 
-def test_format_sample_is_first_thirty_rows(make_grid):
-    rows = [["v"]] + [["1,000"]] * 30 + [["1.000,50"]] * 50
-    fmt = infer_types(make_grid({1: rows})).first().fmt
-    assert tuple(fmt) == (",", ".")
+def test_formats_are_read_from_all_rows(make_grid):
+    rows = [["v"]] + [["1.234"]] * 60 + [["5.25"]]
+    grid = make_grid({1: rows})
+    profile = infer_types(grid)
+    assert tuple(profile.first().fmt) == (",", ".")
+    last = typed_cells(grid, profile).where("row_idx = 61").first()
+    assert last.num == 5.25
+    assert tuple(infer_types(grid, sample_rows=30).first().fmt) == (".", ",")
+
+
+def test_header_types_use_all_rows(make_grid):
+    rows = [["x"]] + [["word"]] * 55 + [["$1.50"]] * 300
+    assert detect_column_types(make_grid({1: rows})).first().type == "money"
+    assert detect_column_types(make_grid({1: rows}), sample_rows=50).first().type == "categorical"
 
 
 def test_typed_values(make_grid, buckets):

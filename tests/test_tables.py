@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import as_tables
@@ -25,6 +26,7 @@ from gridlake.operators.clean import (
     validate_rectangular,
 )
 from gridlake.operators.grid import number_rows, rank_within
+from gridlake.sources.html import ATTRS
 
 
 @pytest.fixture(params=[None, 2], ids=["one-bucket", "many-buckets"])
@@ -120,8 +122,9 @@ def test_rank_within_splits_hot_keys(spark):
     rows = [(0 if i % 3 else i, rng.randint(0, 5), i) for i in range(600)]
     df = spark.createDataFrame(rows, "k int, score int, idx int")
     order = [F.col("score").desc(), F.col("idx")]
-    plain = {tuple(r) for r in rank_within(df, ["k"], order).collect()}
-    split = {tuple(r) for r in rank_within(df, ["k"], order, window_rows=50).collect()}
+    numbered = F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint")
+    plain = {tuple(r) for r in df.withColumn("rank", numbered).collect()}
+    split = {tuple(r) for r in rank_within(df, ["k"], order).select("k", "score", "idx", "rank").collect()}
     assert plain == split
     expected = sorted((r for r in rows if r[0] == 0), key=lambda r: (-r[1], r[2]))
     assert [r[2] for r in expected] == [r[2] for r in sorted((r for r in split if r[0] == 0), key=lambda r: r[3])]
@@ -189,3 +192,19 @@ def test_no_cross_join_anywhere(make_grid):
     plan = list_tables(make_grid(DIRTY))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert catalogue.ROW_FILL_CAP == 10
+
+
+def test_null_page_ids_stay(spark):
+    rows = [(p, "html", 0, i, [f"h{i}", "x"]) for p in (None, 1) for i in range(3)]
+    grid = spark.createDataFrame(rows, "page_id long, kind string, table_idx int, row_idx long, cells array<string>")
+    assert clean_tables(grid).count() == 6
+    assert {r.page_id for r in table_metrics(grid.withColumn("attrs", F.lit(None).cast(ATTRS))).collect()} == {None, 1}
+
+
+def test_merge_picks_one_row_of_equal_positions(spark):
+    schema = "table_id string, origin string, position long"
+    old = spark.createDataFrame([("a", "old", 1)], schema)
+    new = [("b", "first", 5), ("b", "second", 5), ("c", "only", None), ("a", "again", 2)]
+    first = {tuple(r) for r in merge_tables(old, spark.createDataFrame(new, schema).repartition(4)).collect()}
+    again = {tuple(r) for r in merge_tables(old, spark.createDataFrame(new[::-1], schema).coalesce(1)).collect()}
+    assert first == again and len(first) == 3 and ("c", "only", None) in first

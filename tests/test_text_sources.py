@@ -141,7 +141,7 @@ RANGES = {
 
 def test_page_ranges(spark):
     specs = spark.createDataFrame(list(enumerate(RANGES)), "spec_id int, spec string")
-    pages, errors = parse_page_ranges(specs)
+    pages, errors = parse_page_ranges(specs, max_pages=20)
     got = {i: [] for i in range(len(RANGES))}
     for r in pages.collect():
         got[r.spec_id].append(r.page)
@@ -154,7 +154,7 @@ def test_page_ranges(spark):
 def test_select_pages(spark):
     pages = spark.range(10).select(F.lit(1).alias("spec_id"), F.col("id").alias("page"))
     specs = spark.createDataFrame([(1, "2-3,9")], "spec_id int, spec string")
-    chosen, errors = select_page_ranges(pages, specs)
+    chosen, errors = select_page_ranges(pages, specs, max_pages=20)
     assert sorted(r.page for r in chosen.collect()) == [1, 2, 8] and errors.isEmpty()
 
 

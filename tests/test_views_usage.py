@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from gridlake.operators.retention import expire, keep_latest, upsert_by_key
 from gridlake.operators.usage import monthly_usage, quota_status
-from gridlake.plans.staging import stage, staging_root
+from gridlake.operators.filters import filter_wide
+from gridlake.plans.staging import stage, stages_removed, staging_root
 from gridlake.plans.view import ViewSpec, apply_view, open_table, wide_fingerprint, with_row_index
 
 SALES = [
@@ -64,7 +65,7 @@ def test_view_with_given_types_runs_no_profile(sales):
     )
     view = apply_view(sales, spec)
     assert {r.header: r.num_value for r in view.stats.collect()}["Q1"] == 1200.5
-    assert view.series.columns == ["series", "row_idx", "x", "y"]
+    assert view.series.columns == ["series", "row_idx", "pos", "x", "y"]
 
 
 def test_row_index(spark):
@@ -107,7 +108,7 @@ def test_keep_latest(spark, n):
 def test_keep_latest_trims_before_the_shuffle(spark):
     df = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").alias("position"))
     plan = keep_latest(df, 50, ["g"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("WindowGroupLimit") == 2
+    assert plan.count("WindowGroupLimit") == 4  # before each of the two exchanges and after
     assert {r.position for r in keep_latest(df, 4).collect()} == {96, 97, 98, 99}
 
 
@@ -137,3 +138,41 @@ def test_usage_and_quota(spark):
     assert (jan.allowed, jan.near_limit, jan.remaining) == (False, False, 0)
     assert (feb.allowed, feb.near_limit, feb.resets_on) == (True, True, dt.date(2024, 3, 1))
     assert save.max is None and save.allowed and not save.near_limit
+
+
+def test_zero_is_a_bound_and_blank_text_is_none(spark):
+    df = spark.createDataFrame([("-5", "a"), ("0", "b"), ("7", None)], "v string, t string")
+    assert [r.v for r in filter_wide(df, {"v": {"type": "numeric", "min": 0}}).collect()] == ["0", "7"]
+    assert filter_wide(df, {"t": {"type": "categorical", "text": "  "}}).count() == 3
+    assert filter_wide(df, {"t": {"type": "categorical", "text": " B "}}).count() == 1
+
+
+def test_month_of_an_instant_is_that_of_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT 1 AS user_id, 'a' AS action, timestamp_seconds(1706752800) AS ts")  # 2024-02-01 02:00 UTC
+        assert monthly_usage(df).first().month == "2024-02"
+        plain = spark.sql("SELECT 1 AS user_id, 'a' AS action, TIMESTAMP_NTZ '2024-01-31 23:00:00' AS ts")
+        assert monthly_usage(plain).first().month == "2024-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_upsert_offsets_new_keys_wherever_positions_start(spark):
+    schema = "id string, name string, position long, saved_at long"
+    old = spark.createDataFrame([("a", "x", 1, 0)], schema)
+    new = spark.createDataFrame([("b", "y", 0, 1), ("c", "z", 1, 1), ("d", "w", None, 1)], schema)
+    got = {r.name: r.position for r in upsert_by_key(old, new).collect()}
+    assert got == {"x": 1, "y": 2, "z": 3, "w": 4}
+
+
+def test_stages_are_removed_and_need_a_shared_folder(spark):
+    import os
+
+    with stages_removed(spark):
+        path = stage(spark.range(3), "gone").inputFiles()[0].removeprefix("file:")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    root = spark.conf.get("spark.checkpoint.dir")
+    assert staging_root(spark) == root.rstrip("/")
