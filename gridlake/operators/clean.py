@@ -95,8 +95,10 @@ def drop_empty_columns(grid: DataFrame) -> DataFrame:
     kept = (
         grid.select(*KEY, cells)
         .where(has_text("value"))
+        .select(*KEY, "col_idx")
+        .distinct()
         .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_set("col_idx")).alias("_keep"))
+        .agg(F.sort_array(F.collect_list("col_idx")).alias("_keep"))
     )
     facts = join_null_safe(wide, kept, KEY, "left")
     columns = F.coalesce(
@@ -142,17 +144,19 @@ def set_header_row(grid: DataFrame, index: int, delete_above: bool = True) -> Da
 
 def validate_rectangular(grid: DataFrame) -> DataFrame:
     """``is_rectangular`` and the first row whose width differs from the header's."""
-    facts = grid.groupBy(*KEY).agg(
-        F.max(F.when(F.col("row_idx") == 0, F.size("cells"))).alias("n_cols"),
-        F.max("row_idx").alias("last_row"),
-    )
-    odd = F.when(F.size("cells") != F.col("n_cols"), F.col("row_idx"))
+    widths = grid.groupBy(*KEY, F.size("cells").alias("_width")).agg(
+        F.count("*").alias("_rows"),
+        F.min("row_idx").alias("_first"),
+        F.max(F.col("row_idx") == 0).alias("_head"),
+    )  # a row per width of a table
+    head = widths.where("_head").groupBy(*KEY).agg(F.max("_width").alias("n_cols"))
+    odd = F.when(F.col("_width") != F.col("n_cols"), F.col("_first"))
     return (
-        attach(grid, facts)
+        join_null_safe(widths, head, KEY, "left")
         .groupBy(*KEY)
         .agg(
             F.max("n_cols").alias("n_cols"),
-            F.count("*").alias("n_rows"),
+            F.sum("_rows").alias("n_rows"),
             F.min(odd).alias("first_bad_row"),
         )
         .withColumn("is_rectangular", F.col("first_bad_row").isNull() & (F.coalesce("n_cols", F.lit(0)) > 0))

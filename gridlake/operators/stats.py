@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import is_numeric_kind
 from ..functions.numbers import format_number
-from .grid import KEY
+from .grid import KEY, join_null_safe
 
 NUMERIC_STATS = ("count", "sum", "avg", "min", "max", "std")
 DATE_STATS = ("count", "earliest", "latest", "range")
@@ -145,13 +145,10 @@ def column_stats(
     """
     by = by or [*KEY, "col_idx"]
     names = stats or ALL_STATS
-    base = typed.groupBy(*by).agg(
-        F.max("header").alias("header"),
-        F.max("type").alias("type"),
-        *[m.alias(n) for n, m in _basics().items()],
-    )
+    facts = [c for c in ("header", "type") if c not in by]  # they belong to the column
+    base = typed.groupBy(*by, *facts).agg(*[m.alias(n) for n, m in _basics().items()])
     if any(s in VALUE_STATS for s in names):
-        base = base.join(value_modes(typed, by), by, "left")
+        base = join_null_safe(base, value_modes(typed, by), by, "left")
     numeric, date = is_numeric_kind(F.col("type")), F.col("type") == "date"
     entries = F.array(*[_entries(s, numeric, date) for s in names])
     long = base.select(*by, "header", "type", "n_values", F.explode(entries).alias("_s"))

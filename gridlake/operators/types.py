@@ -11,7 +11,7 @@ from ..functions.classes import PERCENT_SAMPLE, is_numeric_kind, looks_like_mone
 from ..functions.dates import looks_like_date, parse_date
 from ..functions.numbers import FORMAT_EVIDENCE, decide_format, format_evidence, parse_number
 from ..functions.text import CUR, WS, js_trim
-from .grid import KEY, attach, to_cells
+from .grid import KEY, attach, join_null_safe, to_cells
 
 TYPES = ("categorical", "numeric", "money", "rate", "date")
 # Fixed value: the share of a kind that settles a column's type.
@@ -50,7 +50,7 @@ def _measures(v: Column, cls: Column, row: Column, sample_rows: int | None = Non
     sample = cls.isNotNull() & v.rlike("[0-9]")
     if sample_rows is not None:
         sample = sample & (row <= sample_rows)
-    odd = F.when(cls != "n", v)
+    odd = F.when(cls != "n", F.xxhash64(v))  # numbers keep the aggregate in a hash table
     out = {
         "n_values": F.count(cls),
         "n_num": F.count_if(cls == "n"),
@@ -106,6 +106,12 @@ def _pin(profile: DataFrame, overrides: DataFrame, on: list[str]) -> DataFrame:
     )
 
 
+def _headers(grid: DataFrame) -> DataFrame:
+    """``KEY, col_idx, header`` from the header rows alone."""
+    names = to_cells(grid.where(F.col("row_idx") == 0))
+    return names.select(*KEY, "col_idx", F.coalesce("value", F.lit("")).alias("header"))
+
+
 def infer_types(
     grid: DataFrame, overrides: DataFrame | None = None, sample_rows: int | None = None
 ) -> DataFrame:
@@ -115,22 +121,17 @@ def infer_types(
 
     ``overrides`` pins columns: KEY, col_idx, type, thousand, decimal (null = keep).
     """
-    value, row = F.col("value"), F.col("row_idx")
+    row = F.col("row_idx")
     measures = _measures(F.col("_v"), F.col("_cls"), row, sample_rows)
     stats = (
-        to_cells(grid)
-        .withColumn("_v", js_trim(value))
+        to_cells(grid.where(row > 0))
+        .withColumn("_v", js_trim(F.col("value")))
         .withColumn("_cls", _class_of(F.col("_v"), row))
         .groupBy(*KEY, "col_idx")
-        .agg(
-            F.max(F.when(row == 0, F.coalesce(value, F.lit("")))).alias("header"),
-            F.max(row).alias("last_row"),
-            *[m.alias(name) for name, m in measures.items()],
-        )
-        .where(F.col("header").isNotNull() & (F.col("last_row") > 0))
+        .agg(F.max(row).alias("last_row"), *[m.alias(name) for name, m in measures.items()])
     )
     profile = (
-        stats.withColumn("type", _decide_type())
+        join_null_safe(_headers(grid), stats, [*KEY, "col_idx"]).withColumn("type", _decide_type())
         .withColumn("fmt", _decide_format(F.col("type")))
         .select(*KEY, "col_idx", "header", "type", "fmt", "n_values", "last_row")
     )
@@ -205,10 +206,9 @@ def detect_column_types(grid: DataFrame, sample_rows: int | None = None) -> Data
     value, row, v = F.col("value"), F.col("row_idx"), F.col("_v")
     if sample_rows is not None:
         grid = grid.where(row <= sample_rows)
-    in_sample = row > 0
     bare = F.regexp_replace(v, f"[{CUR}{WS}]", "")
     kind = F.when(
-        in_sample & (v != ""),
+        v != "",
         F.when(looks_like_money(v), F.lit("money"))
         .when(v.rlike(PERCENT_SAMPLE), F.lit("percentage"))
         .when(looks_like_date(v), F.lit("date"))
@@ -216,25 +216,18 @@ def detect_column_types(grid: DataFrame, sample_rows: int | None = None) -> Data
         .otherwise(F.lit("other")),
     )
     cells = (
-        to_cells(grid)
+        to_cells(grid.where(row > 0))
         .withColumn("_v", js_trim(value))
         .withColumn("_kind", kind)
     )
     kind = F.col("_kind")
     used = kind.isin("money", "percentage", "numeric")
-    agg = (
-        cells.groupBy(*KEY, "col_idx")
-        .agg(
-            F.max(F.when(row == 0, F.coalesce(value, F.lit("")))).alias("header"),
-            F.greatest(F.count_if(in_sample), F.lit(1)).alias("_total"),
-            *[
-                F.count_if(kind == k).alias(f"_{k}")
-                for k in ("money", "percentage", "date", "numeric")
-            ],
-            *[F.count_if(used & hit).alias(n) for n, hit in format_evidence(v).items()],
-        )
-        .where(F.col("header").isNotNull())
-    )
+    counted = {"_total": F.count("*")}
+    counted |= {f"_{k}": F.count_if(kind == k) for k in ("money", "percentage", "date", "numeric")}
+    counted |= {n: F.count_if(used & hit) for n, hit in format_evidence(v).items()}
+    counts = cells.groupBy(*KEY, "col_idx").agg(*(c.alias(n) for n, c in counted.items()))
+    agg = join_null_safe(_headers(grid), counts, [*KEY, "col_idx"], "left").fillna(0, list(counted))
+    agg = agg.withColumn("_total", F.greatest("_total", F.lit(1)))
     name = F.lower("header")
 
     def wins(kind_name: str, words: list[str]) -> Column:
