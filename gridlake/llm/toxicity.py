@@ -124,32 +124,48 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def train(labels: np.ndarray, own: list[np.ndarray], swapped: dict[int, np.ndarray]) -> Model:
-    """Weights that fit ``labels`` and move little between a text and its swapped copy."""
+def train(labels: np.ndarray, own: list[tuple[np.ndarray, np.ndarray]], swapped: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Weights that fit ``labels`` and move little between a text and its swapped copy.
+
+    ``own`` and ``swapped`` hold, batch after batch, the number of features of each text and all of
+    them in turn; a text without a swapped copy has none there.  Only chosen features are ever put
+    together, so memory is that of the batches.
+    """
     size = 1 << BITS
     n = len(labels)
     if not n or labels.min() == labels.max():
         return Model(np.zeros(size), 40.0 if n and labels[0] else -40.0)
-    owner = np.repeat(np.arange(n), [len(x) for x in own])
-    feature = np.concatenate(own).astype(np.int64)
-    seen = np.bincount(feature, minlength=size)
-    toxic = np.bincount(feature, labels[owner], size)
+    seen, toxic = np.zeros(size), np.zeros(size)
+    at = 0
+    for counts, flat in own:
+        mark = np.repeat(labels[at : at + len(counts)], counts)
+        seen += np.bincount(flat, minlength=size)
+        toxic += np.bincount(flat, mark, size)
+        at += len(counts)
     rate = labels.mean()
     error = np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
     used = np.flatnonzero((seen >= FEWEST) & (np.abs(toxic - seen * rate) > ERRORS * error))
-    place = np.full(size, -1)
+    place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
 
-    def chosen(owners, features):
-        at = place[features]
-        return owners[at >= 0], at[at >= 0]
-
-    owner, feature = chosen(owner, feature)
-    pairs = sorted(swapped)
-    left_owner, left = chosen(*_flat([own[i] for i in pairs]))
-    right_owner, right = chosen(*_flat([swapped[i] for i in pairs]))
+    def chosen(batches):
+        owners, features, at = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for counts, flat in batches:
+            found = place[flat]
+            owner = np.repeat(np.arange(at, at + len(counts)), counts)
+            owners.append(owner[found >= 0])
+            features.append(found[found >= 0].astype(np.int64))
+            at += len(counts)
+        return np.concatenate(owners), np.concatenate(features)
+
+    owner, feature = chosen(own)
+    other_owner, other = chosen(swapped)
+    has_copy = np.concatenate([counts > 0 for counts, _ in swapped])
+    pairs = int(has_copy.sum())
+    here = has_copy[owner]
+    left_owner, left = owner[here], feature[here]
     weight = np.where(labels > 0, 0.5 / rate, 0.5 / (1 - rate)) / n
-    values, bias = np.zeros(len(used) + 1), 0.0
+    values = np.zeros(len(used) + 1)
     mean, square = np.zeros_like(values), np.zeros_like(values)
     for step in range(1, STEPS + 1):
         score = 1 / (1 + np.exp(-np.clip(values[-1] + np.bincount(owner, values[feature], n)[:n], -40, 40)))
@@ -157,10 +173,10 @@ def train(labels: np.ndarray, own: list[np.ndarray], swapped: dict[int, np.ndarr
         gradient = np.bincount(feature, slope[owner], len(values)).astype(float)
         gradient[-1] = slope.sum()
         if pairs:
-            m = len(pairs)
-            gap = np.bincount(left_owner, values[left], m)[:m] - np.bincount(right_owner, values[right], m)[:m]
-            gap *= 2 * COUNTERFACTUAL / m
-            gradient += np.bincount(left, gap[left_owner], len(values)) - np.bincount(right, gap[right_owner], len(values))
+            gap = np.bincount(left_owner, values[left], n)[:n] - np.bincount(other_owner, values[other], n)[:n]
+            gap = gap * (2 * COUNTERFACTUAL / pairs)
+            gradient += np.bincount(left, gap[left_owner], len(values))
+            gradient -= np.bincount(other, gap[other_owner], len(values))
         gradient[:-1] += RIDGE * values[:-1]
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.99 * square + 0.01 * gradient * gradient
@@ -170,10 +186,16 @@ def train(labels: np.ndarray, own: list[np.ndarray], swapped: dict[int, np.ndarr
     return Model(weights, float(values[-1]))
 
 
-def _flat(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts).astype(np.int64)
+def _batches(column: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Number of features of each row, and all features, of every batch; null has none."""
+    out = []
+    for chunk in column.chunks:
+        binary = chunk.fill_null(b"").cast(pa.large_binary())
+        offsets = np.frombuffer(binary.buffers()[1], np.int64)[binary.offset : binary.offset + len(binary) + 1]
+        data = binary.buffers()[2]
+        flat = np.frombuffer(data, "<u4", (offsets[-1] - offsets[0]) // 4, offsets[0]) if data else np.zeros(0, "<u4")
+        out.append((np.diff(offsets) // 4, flat))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -184,10 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.join(F.broadcast(known), "id").select("label", "text")  # at most `sample` pairs of numbers
     got = rows.mapInArrow(_sampler, "label double, own binary, swapped binary").toArrow()
-    labelled = got.column("label").to_numpy()
-    own = [np.frombuffer(x, "<u4") for x in got.column("own").to_pylist()]
-    swapped = {i: np.frombuffer(x, "<u4") for i, x in enumerate(got.column("swapped").to_pylist()) if x is not None}
-    return train(np.asarray(labelled, np.float64), own, swapped)
+    labels = np.asarray(got.column("label").to_numpy(), np.float64)
+    return train(labels, _batches(got.column("own")), _batches(got.column("swapped")))
 
 
 def _scorer(model: Model, schema: pa.Schema, kept: int):
