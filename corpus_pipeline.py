@@ -14,17 +14,40 @@ that lose all words stay, empty; ``n_chars`` follows the text where the column i
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.llm import ngram_join, packing, pii, queries, recompression, toxicity
-from gridlake.plans.staging import stage
+from gridlake.plans.staging import remove_stages, stage, stages_listed
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: learned scores and graph components have no SQL counterpart
 ORACLE_SQL = None
 
 
+#: folders that the stage before staged for its result, which is written when the next begins
+_staged: list[str] = []
+
+
+def stage_of(function: Stage) -> Stage:
+    """The stage, which first removes what the one before staged, unless ``docs`` still reads it."""
+
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _staged and not any(f"{path}/" in name for name in docs.inputFiles() for path in _staged):
+            remove_stages(spark, _staged)
+            _staged.clear()
+        with stages_listed() as made:
+            out = function(spark, docs, sf_dir)
+        _staged.extend(made)
+        return out
+
+    return run_stage
+
+
 def _numbered(df: DataFrame) -> DataFrame:
     """The same columns named by position, so that no name can clash."""
     return df.toDF(*(f"_{i}" for i in range(len(df.columns))))
@@ -39,6 +62,7 @@ def _with_text(df: DataFrame, columns: list[str], rest: list[str], text: Column)
     return df.select(*(at[c].alias(c) for c in columns))
 
 
+@stage_of
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = queries.toxicity_model(docs, queries.read(spark, sf_dir, "labels"))
     scored = _numbered(toxicity.score(docs, model, keep=docs.columns))
@@ -46,12 +70,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
+@stage_of
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.near_duplicates(docs, n=5, percent=80)
     dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
+@stage_of
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     cleaned = _numbered(recompression.remove_repeats(docs, size=35, keep=rest))
@@ -61,12 +87,14 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return _with_text(at, docs.columns, rest, F.col("cleaned"))
 
 
+@stage_of
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
     found = _numbered(pii.find_personal_data(docs, keep=rest))
     return _with_text(found, docs.columns, rest, F.col(f"_{len(found.columns) - 1}"))
 
 
+@stage_of
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -74,7 +102,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("substring_dedup", drop_repeated_passages),
