@@ -18,6 +18,10 @@ def texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
+#: rows in a batch at most, so that a row number in it fits 16 bits
+ROWS = 1 << 14
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose text column holds about ``most`` bytes; a longer text stands alone."""
     for batch in batches:
@@ -25,7 +29,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterato
         lengths = batch.column(column).cast(pa.large_binary())
         for i in range(batch.num_rows):
             n = len(lengths[i].as_buffer()) if lengths[i].is_valid else 0
-            if size + n > most and i > start:
+            if i > start and (size + n > most or i - start == ROWS):
                 yield batch.slice(start, i - start)
                 start, size = i, 0
             size += n

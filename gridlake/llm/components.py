@@ -20,23 +20,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         moved = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-    return moved.where(F.col("u") != F.col("v")).distinct()
+    return moved.where(F.col("u") != F.col("v"))
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node has two parents, or is both parent and child."""
+    ends = edges.select("u", F.lit(1).alias("parents"), F.lit(0).alias("children"))
+    ends = ends.unionAll(edges.select("v", F.lit(0), F.lit(1))).groupBy("u")
+    ends = ends.agg(F.sum("parents").alias("parents"), F.max("children").alias("children"))
+    return not ends.where("parents > 1 OR parents > 0 AND children > 0").isEmpty()
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of every node with a link; ``edges`` has ``u, v``.
 
     A hub with very many links is spread by Spark's skew join; nothing gathers a neighbourhood.
-    Each round is written to the shared folder, which cuts lineage.  Rounds grow with the
-    logarithm of the longest path.
+    Each round is written to the shared folder, which cuts lineage, and rounds end when all links
+    go from a node to its root.  Their number grows with the logarithm of the longest path.
     """
-    edges = edges.where("u != v").select("u", "v").distinct()
-    state = None
-    while True:
-        edges = stage(_star(_star(edges, True), False), "stars")
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if seen == state:
-            break
-        state = seen
-    roots = edges.select(F.col("v").alias("u"), "v").distinct()
-    return edges.unionAll(roots).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    edges = stage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while _unsettled(edges):
+        edges = stage(_star(_star(edges, True), False).distinct(), "stars")
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)

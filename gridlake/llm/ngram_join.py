@@ -31,7 +31,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import stage
+from ..plans.staging import stage, stages_removed
 from .arrow import slices
 from .components import connected
 from .words import FOLD, find_words, hash_spans, hash_windows, mix, pack_planes, text_bytes, unpack_planes
@@ -42,10 +42,11 @@ BLOCK = 4 << 20
 NAME = 6
 #: a name in this many texts of a block is sent as a count
 OFTEN = 16
-CELLS = 16
+#: parity bits of a set, for the suffix filter
+BITS = 512
 TRAVEL = "key long, kind string, block long, payload binary"
 COUNTS, SETS, KNOWN = "counts", "sets", "known"
-SETS_SCHEMA = "doc_id long, row long, n long, node long, tokens array<long>, cells array<int>"
+SETS_SCHEMA = "doc_id long, row long, n long, node long, tokens array<long>, parity array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +107,8 @@ def _scan(n: int, buckets: int):
             one[full] = np.add.reduceat(mix(name + np.uint64(1)), first[full])
             two[full] = np.add.reduceat(mix(name ^ np.uint64(0x5851F42D4C957F2D)), first[full])
         node = mix(mix(one) + two + count.astype(np.uint64))
-        cells = np.bincount(owner * CELLS + (name % np.uint64(CELLS)).astype(np.int64), minlength=texts * CELLS)
+        bits = np.bincount(owner * BITS + (mix(name) % np.uint64(BITS)).astype(np.int64), minlength=texts * BITS) & 1
+        parity = np.packbits(bits.astype(np.uint8), bitorder="little")
         order = np.argsort(name, kind="stable")
         ranked = name[order]
         heads = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
@@ -122,7 +124,7 @@ def _scan(n: int, buckets: int):
                 np.array(ids.is_null()).astype(np.uint8),
                 count.astype("<u4"),
                 node.astype("<u8"),
-                cells.astype("<u4"),
+                parity,
                 ranked[local].astype("<u8"),
                 owner[order][local].astype("<u2"),
             ),
@@ -220,7 +222,7 @@ def _sets_rows():
     """A row per text with its shared names, rarest first; the texts of a block together."""
 
     def finish(block: int, own: bytes, parts: list[bytes]) -> pa.RecordBatch:
-        ids, null, count, node, cells, often, often_owner = _unpack(own, "<i8", "u1", "<u4", "<u8", "<u4", "<u8", "<u2")
+        ids, null, count, node, parity, often, often_owner = _unpack(own, "<i8", "u1", "<u4", "<u8", "<i8", "<u8", "<u2")
         got = [_unpack(p, "<u8", "<u4", "<u2", "<u8", "<u4") for p in parts]
         name, seen, owner, big, big_seen = (
             (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, k) for k in ("<u8", "<u4", "<u2", "<u8", "<u4"))
@@ -243,10 +245,10 @@ def _sets_rows():
                 pa.array(node.view("<i8")),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(name.astype(np.int64))),
                 pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(ids) + 1, dtype=np.int32) * CELLS), pa.array(cells.astype(np.int32))
+                    pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (BITS // 64)), pa.array(parity)
                 ),
             ],
-            names=["doc_id", "row", "n", "node", "tokens", "cells"],
+            names=["doc_id", "row", "n", "node", "tokens", "parity"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +285,20 @@ def _passes(percent: int) -> Column:
     return (shorter * 100 >= longer * percent) & (F.least("a.pos", "b.pos") + rest >= _needed(percent))
 
 
+def _parity_columns() -> list[Column]:
+    return [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(BITS // 64)]
+
+
+def _suffix(percent: int) -> Column:
+    """Suffix filter: sets whose parity bits differ in d places differ in d names at least."""
+    differ = sum((F.bit_count(F.col(f"a.p{i}").bitwiseXOR(F.col(f"b.p{i}"))) for i in range(BITS // 64)), F.lit(0))
+    return F.col("a.n") + F.col("b.n") - differ >= 2 * _needed(percent)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` whose sets are similar enough, after the suffix filter over name cells."""
+    """Pairs ``u, v`` whose sets are similar enough."""
     joined = pairs.join(sets.alias("a"), F.col("u") == F.col("a.node")).join(sets.alias("b"), F.col("v") == F.col("b.node"))
-    bound = F.aggregate(F.zip_with("a.cells", "b.cells", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    common = F.size(F.array_intersect("a.tokens", "b.tokens"))
-    links = F.when(bound >= _needed(percent), common >= _needed(percent)).otherwise(F.lit(False))
-    return joined.where(links).select("u", "v")
+    return joined.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= _needed(percent)).select("u", "v")
 
 
 def similar_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -308,7 +317,7 @@ def similar_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: s
     return stage(
         sets.withColumn("prefix", F.slice("tokens", F.lit(1), prefix.cast("int")))
         .withColumn("tokens", F.when(F.size("prefix") > 0, F.col("tokens")))
-        .withColumn("cells", F.when(F.size("prefix") > 0, F.col("cells"))),
+        .withColumn("parity", F.when(F.size("prefix") > 0, F.col("parity"))),
         "sets",
     )
 
@@ -320,8 +329,9 @@ def _with_components(postings: DataFrame, components: DataFrame | None) -> DataF
 
 
 def links_between(classes: DataFrame, percent: int) -> DataFrame | None:
-    """``node, component`` of the classes (``node, n, tokens, cells, prefix, alone``) with a link."""
-    sets = classes.select("node", "n", "tokens", "cells")
+    """``node, component`` of the classes (``node, n, tokens, parity, prefix, alone``) with a link."""
+    sets = classes.select("node", "n", "tokens")
+    parity = classes.select("node", *_parity_columns())
     exploded = classes.select("node", "n", "alone", F.posexplode("prefix").alias("at", "name"))
     postings = exploded.select("name", "node", "n", (F.col("alone") + F.col("at")).alias("pos"))
     several = postings.groupBy("name").count().where("count > 1").select("name")
@@ -341,13 +351,17 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame | None:
             .distinct()
         )
         found = stage(_verify(pairs, sets, percent), "links")
-        links = found if links is None else links.unionAll(found)
-        components = stage(connected(links), "components")
+        if links is None:  # hubs are labels enough for the second round
+            links = found
+            components = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+        else:
+            links = links.unionAll(found)
+            components = connected(links)
     current = stage(_with_components(postings, components), "current")
     sizes = current.groupBy("name", "comp").count()
     main = sizes.groupBy("name").agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps"))
     main = main.where("comps > 1").select(F.col("name"), F.col("top.comp").alias("main"))
-    mixed = current.join(main, "name")
+    mixed = current.join(main, "name").join(parity, "node")
     pairs = (
         mixed.where("comp != main").alias("a")
         .join(mixed.alias("b"), F.col("a.name") == F.col("b.name"))
@@ -355,6 +369,7 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame | None:
             (F.col("a.comp") != F.col("b.comp"))
             & ((F.col("b.comp") == F.col("b.main")) | (F.col("a.node") < F.col("b.node")))
             & _passes(percent)
+            & _suffix(percent)
         )
         .select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v"))
         .distinct()
@@ -371,17 +386,19 @@ def near_duplicates(
     ``component_id`` is the least id reachable by links, ``class_id`` the least id with the same set.
     """
     sets = similar_sets(docs, n, percent, id_col, text_col)
-    classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("row"))
-    classes = stage(classes, "classes")
-    reps = (
-        sets.where(F.size("prefix") > 0)
-        .join(classes.select("row"), "row")
-        .select("node", "n", "tokens", "cells", "prefix", (F.col("n") - F.size("tokens")).alias("alone"))
-    )
-    components = links_between(stage(reps, "reps"), percent)
-    known = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    members = stage(known.join(least, "component").select("node", "class_id", "component_id"), "members")
+    with stages_removed(docs.sparkSession):
+        classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("row"))
+        classes = stage(classes, "classes")
+        reps = (
+            sets.where(F.size("prefix") > 0)
+            .join(classes.select("row"), "row")
+            .select("node", "n", "tokens", "parity", "prefix", (F.col("n") - F.size("tokens")).alias("alone"))
+        )
+        components = links_between(stage(reps, "reps"), percent)
+        known = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
+        members = known.join(least, "component").select("node", "class_id", "component_id")
+        members = stage(members, "members", outlives=True)
     joined = sets.select("doc_id", "n", "node").join(members, "node", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id"))
     return joined.select(
