@@ -10,9 +10,11 @@ from .text import CUR, CURRENCY, WS, col, js_trim, let
 
 # Currency codes accepted before or after an amount.
 CODES = (
-    "usd eur gbp jpy cad aud chf cny inr clp mxn ars cop brl dkk sek nok zar"
-).split()
+    "usd", "eur", "gbp", "jpy", "cad", "aud", "chf", "cny", "inr", "clp", "mxn", "ars", "cop", "brl",
+    "dkk", "sek", "nok", "zar",
+)
 
+# The shapes of numbers, rates and amounts.
 NUMERIC = rf"^[+-]?[0-9.,{WS}]+\z"
 RATE = rf"^[+-]?[0-9.,{WS}]+%\z"
 MONEY = rf"^[{CUR}]?[{WS}]*[+-]?[0-9.,{WS}]+[{CUR}]?\z"

@@ -26,7 +26,7 @@ _MON = "(?:" + "|".join(MONTHS) + ")"
 _WEEKDAY = "(?:" + "|".join(WEEKDAYS) + f")[a-z]*,?[{WS}]+"
 _S = f"[{WS}]+"
 
-#: the shapes that make a value "a date" for column typing, by first character
+# The shapes that make a value "a date" for column typing, by first character.
 DIGIT_FIRST = (
     r"(?i)^(?:\d{1,2}[/-]\d{1,2}[/-]\d{2,4}"
     r"|\d{4}[/-]\d{1,2}[/-]\d{1,2}"

@@ -57,7 +57,7 @@ def number_core(value: Column | str) -> Column:
     return F.translate(col(value), WHITE_SPACE + CURRENCY + "%", "")
 
 
-#: evidence name -> pattern counted over the sampled cores
+# Evidence name and the pattern counted over number cores.
 FORMAT_EVIDENCE = {
     "comma_dec": r",\d{2}\z",
     "dot_dec": r"\.\d{2}\z",

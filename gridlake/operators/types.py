@@ -19,22 +19,23 @@ SHARE = 0.7
 
 # Header words that settle a type.
 MONEY_WORDS = (
-    "price cost amount salary wage revenue budget expense payment fee bill total subtotal tax "
-    "discount refund balance debt income profit loss monto importe pago cargo cargos valor precio "
-    "abono saldo deposito retiro"
-).split()
+    "price", "cost", "amount", "salary", "wage", "revenue", "budget", "expense", "payment", "fee",
+    "bill", "total", "subtotal", "tax", "discount", "refund", "balance", "debt", "income", "profit",
+    "loss", "monto", "importe", "pago", "cargo", "cargos", "valor", "precio", "abono", "saldo",
+    "deposito", "retiro",
+)
 PERCENT_WORDS = (
-    "percent percentage rate ratio proportion share growth change increase decrease margin roi "
-    "apy apr"
-).split() + ["tax rate", "interest", "%"]
+    "percent", "percentage", "rate", "ratio", "proportion", "share", "growth", "change", "increase",
+    "decrease", "margin", "roi", "apy", "apr", "tax rate", "interest", "%",
+)
 DATE_WORDS = (
-    "date time created updated modified birth start end deadline due expiry timestamp when day "
-    "month year fecha creado actualizado"
-).split()
+    "date", "time", "created", "updated", "modified", "birth", "start", "end", "deadline", "due",
+    "expiry", "timestamp", "when", "day", "month", "year", "fecha", "creado", "actualizado",
+)
 NUMERIC_WORDS = (
-    "count sum avg average number value score quantity size weight height width length volume "
-    "area distance speed temperature"
-).split()
+    "count", "sum", "avg", "average", "number", "value", "score", "quantity", "size", "weight",
+    "height", "width", "length", "volume", "area", "distance", "speed", "temperature",
+)
 
 
 def canonical_type(name: str) -> str:
@@ -230,7 +231,7 @@ def detect_column_types(grid: DataFrame, sample_rows: int | None = None) -> Data
     agg = agg.withColumn("_total", F.greatest("_total", F.lit(1)))
     name = F.lower("header")
 
-    def wins(kind_name: str, words: list[str]) -> Column:
+    def wins(kind_name: str, words: tuple[str, ...]) -> Column:
         return (F.col(f"_{kind_name}") / F.col("_total") > SHARE) | name.rlike("|".join(words))
 
     type_ = (
