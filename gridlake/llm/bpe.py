@@ -30,7 +30,7 @@ from .arrow import process_memo, slices, texts
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: units (a space and what follows it) a worker remembers, in two generations
-UNITS = 500_000
+UNITS = 800_000
 #: pieces of more bytes than this contract many places in one round
 LONG = 48
 #: pieces handed to one recursive query
@@ -146,25 +146,21 @@ class _Coder:
     def encode_pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
         """(ids joined by commas, decoded bytes) of each piece."""
         coded, short, long = [], [], []
-        direct: list[tuple[int, int]] = []
+        out: list = [None] * len(pieces)
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
-            if rank is not None:
-                direct.append((i, rank))
+            if rank is not None:  # a token as it stands
+                out[i] = (b"%d" % rank, piece)
             else:
                 (long if len(piece) > LONG else short).append((i, piece))
         schema = pa.schema([("w", pa.int32()), ("p", pa.int32()), ("t", pa.int32())])
-        if direct:
-            w, t = zip(*direct)
-            coded.append(pa.table([pa.array(w, pa.int32()), pa.array(np.zeros(len(w), np.int32)), pa.array(t, pa.int32())], schema=schema))
         for query, some in ((CONTRACT, short), (CONTRACT_LONG, long)):
             for k in range(0, len(some), ROUND):
                 coded.append(self._rows(query, some[k : k + ROUND]).cast(schema))
         if not coded:
-            return []
+            return out
         self.db.register("coded", pa.concat_tables(coded))
         got = self.db.execute(DECODE).to_arrow_table()
-        out: list = [None] * len(pieces)
         columns = (got.column(c).to_pylist() for c in ("w", "ids", "bytes"))
         for w, ids, data in zip(*columns):
             out[w] = (ids.encode(), bytes.fromhex(data))
@@ -173,23 +169,23 @@ class _Coder:
     def learn(self, units: set[str]) -> None:
         if len(self.known) > UNITS // 2:
             self.older, self.known = self.known, {}
-        new = []
-        for unit in units:
-            if unit not in self.known:
-                if unit in self.older:
-                    self.known[unit] = self.older[unit]
-                else:
-                    new.append(unit)
+        new = [u for u in units if not self._remembered(u)]
         split = [self.pieces(u) for u in new]
-        order = list({p: None for parts in split for p in parts})
-        value = dict(zip(order, self.encode_pieces([p.encode() for p in order])))
+        order = [p for p in {p: None for parts in split for p in parts} if not self._remembered(p)]
+        self.known.update(zip(order, self.encode_pieces([p.encode() for p in order])))
         for unit, parts in zip(new, split):
-            if len(parts) == 1:
-                self.known[unit] = value[parts[0]]
-            else:
-                got = [value[p] for p in parts]
+            if len(parts) > 1:
+                got = [self.known[p] for p in parts]
                 self.known[unit] = (b",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
 
+    def _remembered(self, unit: str) -> bool:
+        if unit in self.known:
+            return True
+        value = self.older.get(unit)
+        if value is not None:
+            self.known[unit] = value
+        return value is not None
+
 
 def _coder(rank_file: bytes, pattern: str) -> _Coder:
     memo = process_memo("bpe")
