@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterator
@@ -37,6 +38,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterato
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and the next stage's needs are others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has its own policy
+
+
 def process_memo(name: str) -> dict:
     """A dictionary that lives as long as this Python worker, across tasks."""
     module = sys.modules.setdefault(f"_gridlake_memo_{name}", types.ModuleType(name))

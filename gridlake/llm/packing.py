@@ -15,6 +15,8 @@ columns are never read.
 from __future__ import annotations
 
 import os
+import re
+import struct
 import sys
 from collections import deque
 from collections.abc import Iterator
@@ -25,18 +27,20 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import process_memo, slices
+from .arrow import give_back, process_memo, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: ids held before a piece of the stream is packed
 CHUNK = 1 << 20
-#: words whose ids a Python worker remembers
-WORDS = 1_000_000
+#: words whose ids a Python worker remembers, in two generations
+WORDS = 600_000
 #: penalties in ids of padding: a cut at a sentence end, a cut elsewhere, one more sequence
 SENTENCE, INSIDE, SEQUENCE = 16, 96, 8
 #: stretches without a sentence end get a cut at every so many ids
 STEP = 512
+#: a single comma or stop after a letter or digit, before white space or the end
+MARK = re.compile(rb"(?<=[A-Za-z0-9])[,.](?=[ \n]|\Z)")
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
 
 SCHEMA = (
@@ -57,24 +61,36 @@ def _tokenizer(source: str):
         for piece, i in vocab.items():
             ends[i] = piece.removesuffix("</w>").endswith(SENTENCE_ENDS)
         memo.clear()
-        memo.update(source=source, tok=tok, ends=ends, words={})
+        memo.update(source=source, tok=tok, ends=ends, words={}, older={})
     return memo
 
 
-def encode_words(memo: dict, documents: list[list[bytes]]) -> list[bytes]:
-    """Little-endian ids of each document, its words encoded once per worker.
+def split_words(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer codes by themselves, A-Z as a-z.
 
-    The tokenizer drops white space and never joins across it, so words stand alone.
+    It drops white space, never joins across it, and keeps a mark after a letter apart.
     """
-    known = memo["words"]
-    if len(known) > WORDS:
-        known.clear()
-    new = [w for w in set().union(*documents) if w not in known]
+    return MARK.sub(rb" \g<0>", text).lower().split()
+
+
+def encode_words(memo: dict, documents: list[list[bytes]]) -> list[bytes]:
+    """Little-endian ids of each document, its words encoded once per worker."""
+    known, older = memo["words"], memo["older"]
+    if len(known) > WORDS // 2:
+        memo["older"] = older = known
+        memo["words"] = known = {}
+    new = []
+    for w in set().union(*documents):
+        if w not in known:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
         coded = memo["tok"].encode_batch([w.decode() for w in part], add_special_tokens=False)
         for w, c in zip(part, coded):
-            known[w] = np.asarray(c.ids, "<u4").tobytes()
+            known[w] = struct.pack(f"<{len(c.ids)}I", *c.ids)
     return [b"".join(map(known.__getitem__, words)) for words in documents]
 
 
@@ -210,13 +226,14 @@ def _packer(source: str, end_id: int, most: int):
         stream = _Stream(most, memo["ends"], TaskContext.get().partitionId() << 32)
         for batch in slices(batches, 1, 2 << 20):
             words = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            coded = encode_words(memo, [w.split() for w in words])
+            coded = encode_words(memo, [split_words(w) for w in words])
             for doc_id, data in zip(batch.column(0).to_pylist(), coded):
                 stream.add(doc_id, np.frombuffer(data + end, "<u4"))
             if stream.size >= CHUNK and (out := stream.pack(False)):
                 yield out
         if stream.size and (out := stream.pack(True)):
             yield out
+        give_back()
 
     return run
 

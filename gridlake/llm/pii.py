@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import slices, texts
+from .arrow import give_back, slices, texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -157,6 +157,7 @@ def _finder(schema: pa.Schema, kept: int):
                 pa.array([redact(t, s) if s else t for t, s in zip(values, spans)], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        give_back()
 
     return run
 

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import slices
+from .arrow import give_back, slices
 from .words import find_words, hash_spans, hash_windows, mix, pack_planes, text_bytes, unpack_planes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -190,6 +190,7 @@ def _scan(size: int, buckets: int):
             rows = [_message(block, TEXTS, block, sink.getvalue().to_pybytes())]
             rows += _window_rows(hash_spans(data, starts, ends), text, size, buckets, block)
             yield _batch(rows)
+        give_back()
 
     return run
 
@@ -235,6 +236,8 @@ def _match(size: int):
         rows = [_message(b, RANGES, b, _ranges(np.sort(np.concatenate(x)).astype(np.int64), size)) for b, x in found.items()]
         for i in range(0, len(rows), 256):
             yield _batch(rows[i : i + 256])
+        del keys, starts, found, rows
+        give_back()
 
     return run
 
@@ -276,6 +279,7 @@ def _clean(schema: pa.Schema):
                     ranges[block].append(payload)
         for block in list(blocks):
             yield from finish(blocks.pop(block), ranges.pop(block, []))
+        give_back()
 
     return run
 

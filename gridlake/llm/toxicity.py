@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import slices, texts
+from .arrow import give_back, slices, texts
 from .words import FOLD, find_words, hash_spans, mix, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -222,6 +222,7 @@ def _scorer(model: Model, schema: pa.Schema, kept: int):
             scores = whole.scores(*features(*text_bytes(batch.column(0))), batch.num_rows)
             columns = [*batch.columns[1 : kept + 1], pa.array(scores)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        give_back()
 
     return run
 
