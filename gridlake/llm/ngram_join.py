@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, stages_removed
-from .arrow import slices
+from .arrow import give_back, slices
 from .components import connected
 from .words import FOLD, find_words, hash_spans, hash_windows, mix, pack_planes, text_bytes, unpack_planes
 
@@ -153,6 +153,7 @@ def _scan(n: int, buckets: int):
         for k, batch in enumerate(slices(batches, 1, BLOCK)):
             data, offsets = text_bytes(batch.column(1))
             yield _batch(list(block_rows(part + k, batch.column(0), *shingles(data, offsets, n))))
+        give_back()
 
     return run
 
@@ -216,6 +217,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
     for i in range(0, len(rows), 64):
         yield _batch(rows[i : i + 64])
+    del light, owners, found, rows
+    give_back()
 
 
 def _sets_rows():
@@ -261,6 +264,7 @@ def _sets_rows():
                     parts[block].append(payload)
         for block in list(blocks):
             yield finish(block, blocks.pop(block), parts.pop(block, []))
+        give_back()
 
     return run
 
@@ -339,9 +343,9 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame | None:
     links, components = None, None
     for turn in range(2):
         current = _with_components(postings, components)
-        hub = current.groupBy("name").agg(
-            F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")).alias("b")
-        )
+        # the text with the fewest names rarer than this one is nearest to all that share it
+        central = F.struct((-F.col("pos") if turn == 0 else F.lit(0)).alias("first"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos", "comp")
+        hub = current.groupBy("name").agg(F.max(central).alias("b"))
         hub = hub.select("name", "b.node", "b.n", "b.pos", "b.comp")
         pairs = (
             current.alias("a")
