@@ -47,6 +47,14 @@ def give_back() -> None:
         pass  # another C library, which has its own policy
 
 
+def forget() -> None:
+    """Drop what kernels of other operators remember in this worker, before one that needs the room."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith("_gridlake_memo_"):
+            module.__dict__["memo"].clear()
+    give_back()
+
+
 def process_memo(name: str) -> dict:
     """A dictionary that lives as long as this Python worker, across tasks."""
     module = sys.modules.setdefault(f"_gridlake_memo_{name}", types.ModuleType(name))

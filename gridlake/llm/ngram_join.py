@@ -32,13 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.staging import stage, stages_removed
-from .arrow import give_back, slices
+from .arrow import forget, give_back, slices
 from .components import connected
 from .words import FOLD, find_words, hash_spans, hash_windows, mix, pack_planes, text_bytes, unpack_planes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 NAME = 6
 #: a name in this many texts of a block is sent as a count
 OFTEN = 16
@@ -149,6 +149,7 @@ def _scan(n: int, buckets: int):
             yield bucket, COUNTS, block, payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part = TaskContext.get().partitionId() << 24
         for k, batch in enumerate(slices(batches, 1, BLOCK)):
             data, offsets = text_bytes(batch.column(1))

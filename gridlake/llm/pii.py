@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import give_back, slices, texts
+from .arrow import forget, give_back, slices, texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,6 +144,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def _finder(schema: pa.Schema, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         finder = Finder()
         for batch in slices(batches, 0, BATCH):
             values = texts(batch.column(0))

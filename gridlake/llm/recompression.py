@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import give_back, slices
+from .arrow import forget, give_back, slices
 from .words import find_words, hash_spans, hash_windows, mix, pack_planes, text_bytes, unpack_planes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROUNDS = 7
 #: bytes of text in a block
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: bytes of a symbol's name and of a window's hash that travel
 NAME, HASH = 5, 6
 TRAVEL = "key long, kind string, block long, payload binary"
@@ -178,6 +178,7 @@ def _window_rows(words, text, size, buckets, block) -> Iterator[tuple]:
 
 def _scan(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         part = TaskContext.get().partitionId() << 24
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for k, batch in enumerate(slices(batches, 0, BLOCK)):

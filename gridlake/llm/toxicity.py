@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .arrow import give_back, slices, texts
+from .arrow import forget, give_back, slices, texts
 from .words import FOLD, find_words, hash_spans, mix, text_bytes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -215,6 +215,7 @@ def _scorer(model: Model, schema: pa.Schema, kept: int):
     values, bias = model.weights[used], model.bias
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         weights = np.zeros(1 << BITS)
         weights[used] = values
         whole = Model(weights, bias)
