@@ -7,8 +7,8 @@ All but the last return the columns they were given, in their order; columns the
 not know pass through, whatever their names.
 
 Defined results: a null text is scored, compared and masked as an empty one and stays null
-through the first two stages; rows without an id are never dropped as near duplicates; documents
-that lose all words stay, empty; ``n_chars`` follows the text where the column is there.
+through the first two stages; of near duplicates exactly one row stays, one without an id only if none
+has an id; blank texts are no near duplicates; documents that lose all words stay, empty; ``n_chars`` follows the text where the column is there.
 """
 
 from __future__ import annotations
@@ -72,9 +72,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage_of
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.near_duplicates(docs, n=5, percent=80)
-    dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group the row with the least id stays, a null one last; of repeats of that row, one."""
+    surplus = stage(ngram_join.surplus_rows(docs, n=5, percent=80), "surplus")
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    rows = _numbered(docs.select("*", *ngram_join.row_key()))
+    doc_id, text_name = (F.col(f"_{len(names) + i}") for i in range(2))
+    same = doc_id.eqNullSafe(F.col("doc_id")) & (text_name == F.col("text_name"))
+    alone = rows.join(surplus, same, "left_anti").select(*names)
+    repeated = rows.join(surplus.where("first"), same, "left_semi").groupBy(doc_id, text_name)
+    repeated = repeated.agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return alone.unionAll(repeated).toDF(*docs.columns)
 
 
 @stage_of

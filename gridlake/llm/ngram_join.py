@@ -46,7 +46,7 @@ OFTEN = 16
 BITS = 512
 TRAVEL = "key long, kind string, block long, payload binary"
 COUNTS, SETS, KNOWN = "counts", "sets", "known"
-SETS_SCHEMA = "doc_id long, row long, n long, node long, tokens array<long>, parity array<long>"
+SETS_SCHEMA = "doc_id long, text_name long, row long, n long, node long, tokens array<long>, parity array<long>"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +97,7 @@ def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 def _scan(n: int, buckets: int):
-    def block_rows(block: int, ids: pa.Array, owner: np.ndarray, name: np.ndarray) -> Iterator[tuple]:
+    def block_rows(block: int, ids: pa.Array, text_names: pa.Array, owner: np.ndarray, name: np.ndarray) -> Iterator[tuple]:
         texts = len(ids)
         count = np.bincount(owner, minlength=texts)
         first = np.cumsum(count) - count
@@ -122,6 +122,7 @@ def _scan(n: int, buckets: int):
             _pack(
                 ids.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"),
                 np.array(ids.is_null()).astype(np.uint8),
+                text_names.to_numpy(zero_copy_only=False).astype("<i8"),
                 count.astype("<u4"),
                 node.astype("<u8"),
                 parity,
@@ -153,7 +154,7 @@ def _scan(n: int, buckets: int):
         part = TaskContext.get().partitionId() << 24
         for k, batch in enumerate(slices(batches, 1, BLOCK)):
             data, offsets = text_bytes(batch.column(1))
-            yield _batch(list(block_rows(part + k, batch.column(0), *shingles(data, offsets, n))))
+            yield _batch(list(block_rows(part + k, batch.column(0), batch.column(2), *shingles(data, offsets, n))))
         give_back()
 
     return run
@@ -226,7 +227,7 @@ def _sets_rows():
     """A row per text with its shared names, rarest first; the texts of a block together."""
 
     def finish(block: int, own: bytes, parts: list[bytes]) -> pa.RecordBatch:
-        ids, null, count, node, parity, often, often_owner = _unpack(own, "<i8", "u1", "<u4", "<u8", "<i8", "<u8", "<u2")
+        ids, null, text_names, count, node, parity, often, often_owner = _unpack(own, "<i8", "u1", "<i8", "<u4", "<u8", "<i8", "<u8", "<u2")
         got = [_unpack(p, "<u8", "<u4", "<u2", "<u8", "<u4") for p in parts]
         name, seen, owner, big, big_seen = (
             (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, k) for k in ("<u8", "<u4", "<u2", "<u8", "<u4"))
@@ -244,6 +245,7 @@ def _sets_rows():
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(ids, pa.int64(), mask=null.astype(bool)),
+                pa.array(text_names),
                 pa.array((block << 16) + np.arange(len(ids))),
                 pa.array(count.astype(np.int64)),
                 pa.array(node.view("<i8")),
@@ -252,7 +254,7 @@ def _sets_rows():
                     pa.array(np.arange(len(ids) + 1, dtype=np.int32) * (BITS // 64)), pa.array(parity)
                 ),
             ],
-            names=["doc_id", "row", "n", "node", "tokens", "parity"],
+            names=["doc_id", "text_name", "row", "n", "node", "tokens", "parity"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,11 +308,17 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.size(F.array_intersect("a.tokens", "b.tokens")) >= _needed(percent)).select("u", "v")
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """What tells rows apart: the id and a hash of the text.  Rows that agree in both are repeats of one row."""
+    return F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def similar_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Step 1 of the module: one written row per text, see ``SETS_SCHEMA``."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id, text_name = row_key(id_col, text_col)
+    source = docs.select(doc_id.alias("doc_id"), F.col(text_col).alias("text"), text_name.alias("text_name"))
     sets = (
         source.mapInArrow(_scan(n, 4 * parts), TRAVEL)
         .repartition(parts, "key")
@@ -382,17 +390,16 @@ def links_between(classes: DataFrame, percent: int) -> DataFrame | None:
     return connected(links.unionAll(_verify(pairs, sets, percent)))
 
 
-def near_duplicates(
-    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` of every row.
+def _grouped(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text_name, n`` of every row, and ``class_id, component_id, first`` of rows with names.
 
-    Rows link when 100 times the common n-grams reach ``percent`` times all n-grams of both.
-    ``component_id`` is the least id reachable by links, ``class_id`` the least id with the same set.
+    ``first`` is the key of the first row of the component: least id, a null one last, and then least text name.
     """
     sets = similar_sets(docs, n, percent, id_col, text_col)
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_name")
     with stages_removed(docs.sparkSession):
-        classes = sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id"), F.min("row").alias("row"))
+        classes = sets.where("n > 0").groupBy("node")
+        classes = classes.agg(F.min("doc_id").alias("class_id"), F.min("row").alias("row"), F.min(key).alias("first"))
         classes = stage(classes, "classes")
         reps = (
             sets.where(F.size("prefix") > 0)
@@ -401,14 +408,38 @@ def near_duplicates(
         )
         components = links_between(stage(reps, "reps"), percent)
         known = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = known.groupBy("component").agg(F.min("class_id").alias("component_id"))
-        members = known.join(least, "component").select("node", "class_id", "component_id")
+        least = known.groupBy("component").agg(F.min("class_id").alias("component_id"), F.min("first").alias("least"))
+        members = known.join(least, "component").select("node", "class_id", "component_id", F.col("least").alias("first"))
         members = stage(members, "members", outlives=True)
-    joined = sets.select("doc_id", "n", "node").join(members, "node", "left")
+    return sets.select("doc_id", "text_name", "n", "node").join(members, "node", "left")
+
+
+def near_duplicates(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, n_shingles, class_id, component_id`` of every row.
+
+    Rows link when 100 times the common n-grams reach ``percent`` times all n-grams of both.
+    ``component_id`` is the least id reachable by links, ``class_id`` the least id with the same set.
+    """
     own = F.when(F.col("n") == 0, F.col("doc_id"))
-    return joined.select(
+    return _grouped(docs, n, percent, id_col, text_col).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce(own, "class_id").alias("class_id"),
         F.coalesce(own, "component_id").alias("component_id"),
     )
+
+
+def surplus_rows(
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``doc_id, text_name, first`` of the row keys (see ``row_key``) that keep less than all their rows.
+
+    Where ``first`` is true, one row of the key is its component's; where it is false, none is.
+    """
+    rows = _grouped(docs, n, percent, id_col, text_col).where("n > 0")
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_name") == F.col("first.text_name"))
+    keys = rows.select("doc_id", "text_name", first.alias("first")).groupBy("doc_id", "text_name")
+    keys = keys.agg(F.min("first").alias("first"), F.count("*").alias("rows"))
+    return keys.where("NOT first OR rows > 1").drop("rows")

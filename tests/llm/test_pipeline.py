@@ -8,6 +8,7 @@ from gridlake.llm import pii, queries
 
 import corpus_pipeline
 
+from .conftest import prose
 from .test_duplicates import components, shingles, words
 
 SF = "/root/testdata/sf0.001"
@@ -64,6 +65,22 @@ def test_stages_on_awkward_rows(spark, folder):
     assert {r.doc_id for r in packed} == {r.doc_id for r in masked.collect()}
 
 
+def test_one_row_of_each_group_of_near_duplicates_stays(spark, awkward, folder):
+    """Repeated rows, copies without an id and ids with several texts, by rows and not by ids."""
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_duplicates"](spark, awkward, folder)
+    assert Counter(r.doc_id for r in kept.collect())[9] == 1
+
+    one, two, three, four = (prose(i, 130) for i in (301, 302, 303, 304))
+    rows = [(None, one), (None, one), (5, two), (None, two), (6, three), (6, three), (6, four), (3, four), (None, ""), (None, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = stages["near_duplicates"](spark, docs, folder)
+    want = Counter([(None, one), (5, two), (6, three), (3, four), (None, ""), (None, ""), (8, None)])
+    assert Counter(map(tuple, kept.collect())) == want
+    thinned = stages["substring_dedup"](spark, kept, folder)
+    assert Counter(map(tuple, thinned.collect())) == want
+
+
 def test_run_over_no_rows(spark, no_docs, tmp_path):
     no_docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
