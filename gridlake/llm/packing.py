@@ -7,6 +7,8 @@ padding is linear in the start of a sequence, so the best start within reach is
 of a monotone queue.  The scan is the only stage: no exchange, memory bounded by
 ``CHUNK`` ids and the longest document.
 
+Special strings of the tokenizer in a text become their ids, as the library codes them.
+
 Defined results: a null or empty text is the end id alone; a null ``doc_id`` stays null;
 repeated rows are packed as often as they occur; an empty table gives no rows; other
 columns are never read.
@@ -14,6 +16,7 @@ columns are never read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -55,22 +58,40 @@ def _tokenizer(source: str):
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(source)
+        # special strings are split out before; words that are like one after lower-casing are words
         tok.encode_special_tokens = True
+        pattern, special = special_strings(source)
         vocab = tok.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocab.values()) + 1, bool)
         for piece, i in vocab.items():
             ends[i] = piece.removesuffix("</w>").endswith(SENTENCE_ENDS)
         memo.clear()
-        memo.update(source=source, tok=tok, ends=ends, words={}, older={})
+        memo.update(source=source, tok=tok, ends=ends, pattern=pattern, special=special, words={}, older={})
     return memo
 
 
-def split_words(text: bytes) -> list[bytes]:
+def special_strings(source: str) -> tuple[re.Pattern | None, dict[bytes, bytes]]:
+    """A pattern of the tokenizer's special strings, and the ids of their parts (see ``split_words``)."""
+    added = json.loads(source).get("added_tokens") or []
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special strings must be matched as they stand")
+    strings = sorted((t["content"].encode() for t in added), key=len, reverse=True)
+    pattern = re.compile(b"(" + b"|".join(map(re.escape, strings)) + b")") if strings else None
+    return pattern, {b" " + t["content"].encode(): struct.pack("<I", t["id"]) for t in added}
+
+
+def split_words(text: bytes, special: re.Pattern | None = None) -> list[bytes]:
     """Parts of a text that the tokenizer codes by themselves, A-Z as a-z.
 
-    It drops white space, never joins across it, and keeps a mark after a letter apart.
+    It drops white space, never joins across it, and keeps a mark after a letter apart.  A special string
+    is a part of its own, told from words by a space before it.
     """
-    return MARK.sub(rb" \g<0>", text).lower().split()
+    if special is None or not special.search(text):
+        return MARK.sub(rb" \g<0>", text).lower().split()
+    words = []
+    for i, part in enumerate(special.split(text)):
+        words += [b" " + part] if i % 2 else split_words(part)
+    return words
 
 
 def encode_words(memo: dict, documents: list[list[bytes]]) -> list[bytes]:
@@ -82,7 +103,9 @@ def encode_words(memo: dict, documents: list[list[bytes]]) -> list[bytes]:
     new = []
     for w in set().union(*documents):
         if w not in known:
-            if w in older:
+            if w in memo["special"]:
+                known[w] = memo["special"][w]
+            elif w in older:
                 known[w] = older[w]
             else:
                 new.append(w)
@@ -226,7 +249,7 @@ def _packer(source: str, end_id: int, most: int):
         stream = _Stream(most, memo["ends"], TaskContext.get().partitionId() << 32)
         for batch in slices(batches, 1, 2 << 20):
             words = [b"" if t is None else t for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            coded = encode_words(memo, [split_words(w) for w in words])
+            coded = encode_words(memo, [split_words(w, memo["pattern"]) for w in words])
             for doc_id, data in zip(batch.column(0).to_pylist(), coded):
                 stream.add(doc_id, np.frombuffer(data + end, "<u4"))
             if stream.size >= CHUNK and (out := stream.pack(False)):

@@ -93,6 +93,17 @@ def test_packing_repeated_rows_and_null_ids(awkward):
     assert any(r.doc_id is None for r in rows)
 
 
+def test_packing_codes_special_strings_as_the_library(spark):
+    tok = Tokenizer.from_file(WORDS)
+    ends = ("<|endoftext|>", "<|startoftext|>")
+    texts = ["one <|endoftext|> two", "One<|endoftext|>two, <|ENDOFTEXT|>", "<|endoftext|>", "a.<|startoftext|>, b", "<|endof text|>"]
+    texts += [f"{a}{x}{b}" for x in ends for a in ("", "é", "9.", "it'", " \n") for b in (".5", "s,", "\u0301", ends[1], "  ")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    assert expected[0] == [637, 49407, 1237, 2]
+    check_packing(packing.pack_documents(docs, WORDS).collect(), expected)
+
+
 def test_packing_of_nothing(no_docs):
     assert packing.pack_documents(no_docs, WORDS).count() == 0
 
