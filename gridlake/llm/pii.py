@@ -1,9 +1,9 @@
 """Personal data in texts: anchors by Aho-Corasick, boundaries by local parsers.
 
-One automaton finds at-signs, ``://``, plus signs and identifier cues in a text.  A parser
+One automaton finds at-signs, ``://``, plus signs and, in any case of letters, identifier cues in a text.  A parser
 then expands each anchor to the left and right and validates what it finds: domain labels,
 account digits, check digits of account numbers.  Kinds that have no literal anchor
-(addresses of machines, cards) start at digits.  The scan is the only stage; a task holds
+(addresses of machines, cards, IBANs) are scans of the whole text by their patterns.  The scan is the only stage; a task holds
 one batch of texts.
 
 Base kinds follow the leftmost matches of their patterns without overlap, and a match that
@@ -43,7 +43,12 @@ IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:?#]{1,64}(?::[^\s/@]{0,128})?@")
-ACCOUNT = re.compile(r"(?:[ ]?(?:number|no\.?|nr\.?|id))?[ ]?[:=#]?[ ]?((?=[A-Z0-9-]*[0-9]{4})[A-Z0-9][A-Z0-9-]{4,33}[A-Z0-9])(?![A-Za-z0-9])")
+# what may stand between a cue and its identifier; a filler in capitals could be part of the identifier, so it ends there
+FILLER = r"(?:[ ]?(?:(?i:number|no\.?|nr\.?|id)(?![A-Za-z0-9])|number|no\.?|nr\.?|id))?(?:[ ](?i:is)(?![A-Za-z0-9]))?[ ]?[:=#]?[ ]?"
+# digits in groups, eight or more in all, or an identifier without spaces
+GROUPED = r"(?=[0-9](?:[ .-]?[0-9]){7})[0-9]{2,6}(?:[ -][0-9]{2,11}|\.[0-9]{3,11})+(?!-?[A-Za-z0-9])"
+COMPACT = r"(?=[A-Z0-9-]*[0-9]{4})[A-Z0-9][A-Z0-9-]{4,33}[A-Z0-9](?![A-Za-z0-9])"
+ACCOUNT = re.compile(f"{FILLER}({GROUPED}|{COMPACT})")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -61,6 +66,12 @@ def iban_valid(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def lower_in_place(text: str) -> str:
+    """The text in lower case, every character at its own offset."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(d := c.lower()) > 1 else d for c in text)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -86,14 +97,13 @@ class Finder:
         for word in ("@", "://", "+"):
             self.anchors.add_word(word, (word, len(word)))
         for cue in cues:
-            for form in {cue, cue.capitalize(), cue.upper()}:
-                self.anchors.add_word(form, ("cue", len(form)))
+            self.anchors.add_word(cue.lower(), ("cue", len(cue)))
         self.anchors.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, int]]:
         out = []
         after_email = after_phone = 0
-        for last, (what, _) in self.anchors.iter(text):
+        for last, (what, _) in self.anchors.iter(lower_in_place(text)):
             if what == "@":
                 hit = _email(text, last, after_email)
                 if hit:

@@ -94,6 +94,29 @@ def test_personal_data_further_kinds_and_masks():
     assert pii.redact("clean", []) == "clean"
 
 
+@pytest.mark.parametrize(
+    ("text", "number"),
+    [
+        ("Account Number: 12345678", "12345678"),
+        ("Account No. 12345678", "12345678"),
+        ("ACCOUNT NO: 12345678.", "12345678"),
+        ("Social Security Number 123-45-6789", "123-45-6789"),
+        ("sOCIAL sECURITY 123 45 6789", "123 45 6789"),
+        ("account 1234 5678 9012, then", "1234 5678 9012"),
+        ("account number is 12345678", "12345678"),
+        ("Account Is: 123.456.789", "123.456.789"),
+        ("\u0130 PassPort ID12345678", "ID12345678"),
+        ("account 12-345678-AB", "12-345678-AB"),
+        ("account 12345678 2020", "12345678"),
+        ("accountant 12345678", None),
+        ("account nobody 12345678", None),
+        ("account 25 2020", None),
+    ],
+)
+def test_account_numbers_in_their_written_forms(text, number):
+    assert [text[s:e] for s, r, e in pii.Finder().find(text) if pii.KINDS[r] == "account"] == ([number] if number else [])
+
+
 def plain_winnow(text, k, w):
     found = re.findall(r"[^\s]{1,8}", (text or "").lower(), re.ASCII)
     grams = [tuple(found[i : i + k]) for i in range(max(1, len(found) - k + 1))] if found else []
