@@ -1,18 +1,21 @@
 """Near copies of vectors by a pivot-permutation index.
 
+Vectors of each length are indexed apart, since only vectors of one length have a cosine.
 Reference points (pivots) far from one another come from a bounded sample of the vectors.
 Every vector is described by its ``nearest`` pivots, nearest first.  The inverted lists are
 keyed by two pivots, so that vectors in one list share at least two: the shared-pivot count
 is what admits a pair.  Pairs of a list are verified by cosine in double precision, in
 blocks; a pair that meets in several lists counts in the list of its two least shared pivots.
 
-Equal vectors are one class and are indexed once, with their number.  A list longer than
+Equal vectors are one class and are indexed once, with their number, under a row number: ids
+may be null.  Lengths with at most ``FEWEST`` classes have one list; each other length takes a
+sample of its own.  A list longer than
 ``BLOCK`` is cut into blocks and compared block by block in separate groups, so no list is
 gathered whole.  A group returns a row per vector (links and the least vector it reaches
 there), not a row per pair.
 
-Defined results: vectors that are null, empty, zero, of another length than most or with null
-or non-finite components link with nothing; a null id stays null; repeated rows are copies;
+Defined results: vectors that are null, empty, zero or with null or non-finite components link
+with nothing; a null id stays null, its row counts as a link and is never the least id; repeated rows are copies;
 an empty table gives no rows.
 """
 
@@ -62,22 +65,33 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
-def _describer(pivots: np.ndarray, width: int, nearest: int):
+def _describer(pivots: dict[int, np.ndarray], nearest: int):
+    """Nearest pivots of each vector; lengths without two pivots have one list, that of 0 and 1."""
+
+    def describe(part: pa.RecordBatch, width: int) -> pa.RecordBatch:
+        known = pivots.get(width)
+        if known is None or min(len(known), nearest) < 2:
+            order = np.tile(np.array([0, 1], np.int32), (part.num_rows, 1))
+        else:
+            near = np.argsort(-(_unit(_matrix(part.column(3), width)) @ known.T), axis=1, kind="stable")[:, :nearest]
+            order = near.astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [
+                *part.columns,
+                pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel())
+                ),
+            ],
+            names=["rep", "copies", "width", "vector", "pivots"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2048):
                 part = batch.slice(k, 2048)
-                near = np.argsort(-(_unit(_matrix(part.column(2), width)) @ pivots.T), axis=1, kind="stable")[:, :nearest]
-                order = near.astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns,
-                        pa.ListArray.from_arrays(
-                            pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel())
-                        ),
-                    ],
-                    names=["rep", "copies", "vector", "pivots"],
-                )
+                widths = part.column(2).to_numpy()
+                for width in np.unique(widths).tolist():
+                    yield describe(part.filter(pa.array(widths == width)), width)
 
     return run
 
@@ -95,7 +109,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _verifier(width: int, least: float):
+def _verifier(least: float):
     """Links of each group (one list, two blocks of it): rows of a vector, its links and its root."""
 
     def group(low, high, ids, copies, vectors, pivots, side) -> tuple | None:
@@ -136,7 +150,7 @@ def _verifier(width: int, least: float):
 
         def groups(table: pa.Table, last: bool):
             """Whole groups of a table sorted by group; the last one may go on in the next batch."""
-            keys = np.stack([table.column(c).to_numpy() for c in range(4)], axis=1)
+            keys = np.stack([table.column(c).to_numpy() for c in range(5)], axis=1)
             edges = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
             stops = np.append(edges[1:], len(keys))
             if not last:
@@ -145,13 +159,16 @@ def _verifier(width: int, least: float):
             part = table.slice(0, done).combine_chunks()
             found = []
             if done:
-                side, ids, copies = (part.column(i).to_numpy() for i in (4, 5, 6))
-                vectors = _matrix(part.column(7).combine_chunks(), width)
-                pivots = np.asarray(part.column(8).combine_chunks().flatten()).reshape(done, -1)
+                side, ids, copies = (part.column(i).to_numpy() for i in (5, 6, 7))
+                vectors, pivots = (part.column(i).combine_chunks() for i in (8, 9))
+                numbers, order = np.asarray(vectors.flatten(), np.float64), np.asarray(pivots.flatten())
+                first, first_pivot = (np.asarray(x.offsets) - x.offsets[0].as_py() for x in (vectors, pivots))
                 for a, b in zip(edges, stops):
-                    if b - a > 1:
-                        low, high = keys[a][0], keys[a][1]
-                        got = group(low, high, ids[a:b], copies[a:b], vectors[a:b], pivots[a:b], side[a:b])
+                    if b - a > 1:  # the vectors of a group have one length
+                        low, high = keys[a][1], keys[a][2]
+                        rows = numbers[first[a] : first[b]].reshape(b - a, -1)
+                        near = order[first_pivot[a] : first_pivot[b]].reshape(b - a, -1)
+                        got = group(low, high, ids[a:b], copies[a:b], rows, near, side[a:b])
                         if got:
                             found.append(got)
             return found, table.slice(done)
@@ -177,43 +194,47 @@ def near_vectors(
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    width_row = rows.where(F.size("vector") > 0).groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = width_row["w"] if width_row else 1
-    valid = (F.size("vector") == width) & finite & F.exists("vector", lambda x: x != 0)
+    valid = (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("valid", F.coalesce(valid, F.lit(False)))
-    classes = rows.where("valid").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    classes = stage(classes.where("rep IS NOT NULL").select("rep", "copies", "vector"), "classes")
-    n = classes.count()
-    count = min(MOST, max(FEWEST, ceil(PER_ROOT * sqrt(n))))
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLED * count).select("vector").collect()
-    if n:
-        pivots = choose_pivots(_unit(np.array([r[0] for r in sample], np.float64)), count)
-    else:
-        pivots = np.ones((1, width))
-    nearest = min(nearest, len(pivots))
+    classes = rows.where("valid").groupBy("vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # row numbers are fixed once written
+    classes = classes.select(F.monotonically_increasing_id().alias("rep"), "least", "copies", F.size("vector").alias("width"), "vector")
+    classes = stage(classes, "classes")
+    pivots = {}
+    for width, n in classes.groupBy("width").count().where(F.col("count") > FEWEST).collect():
+        count = min(MOST, max(FEWEST, ceil(PER_ROOT * sqrt(n))))
+        sample = classes.where(F.col("width") == width).orderBy(F.xxhash64("least"), "least", F.xxhash64("vector"))
+        sample = sample.limit(SAMPLED * count).select("vector").collect()
+        pivots[width] = choose_pivots(_unit(np.array([r[0] for r in sample], np.float64)), count)
     kind = classes.schema["vector"].dataType.simpleString()
     described = stage(
-        classes.mapInArrow(
-            _describer(pivots, width, nearest), f"rep long, copies long, vector {kind}, pivots array<int>"
+        classes.drop("least").mapInArrow(
+            _describer(pivots, nearest), f"rep long, copies long, width int, vector {kind}, pivots array<int>"
         ),
         "described",
     )
-    if nearest < 2:  # a single pivot describes all: one list
-        pairs = F.array(F.struct(F.lit(0).alias("low"), F.lit(0).alias("high")))
-    else:
-        pairs = F.array(
-            *(
-                F.struct(F.least(F.get("pivots", i), F.get("pivots", j)).alias("low"), F.greatest(F.get("pivots", i), F.get("pivots", j)).alias("high"))
-                for i in range(nearest)
-                for j in range(i + 1, nearest)
+    most = max(2, nearest)
+    pairs = F.array(
+        *(
+            F.when(
+                F.get("pivots", F.lit(j)).isNotNull(),
+                F.struct(
+                    F.least(F.get("pivots", F.lit(i)), F.get("pivots", F.lit(j))).alias("low"),
+                    F.greatest(F.get("pivots", F.lit(i)), F.get("pivots", F.lit(j))).alias("high"),
+                ),
             )
+            for i in range(most)
+            for j in range(i + 1, most)
         )
+    )
+    pairs = F.filter(pairs, lambda pair: pair.isNotNull())
     listed = described.select("*", F.inline(pairs))
-    sizes = listed.groupBy("low", "high").count().where("count > 1")
-    sizes = sizes.select("low", "high", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    cells = listed.join(sizes, ["low", "high"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = listed.groupBy("width", "low", "high").count().where("count > 1")
+    sizes = sizes.select("width", "low", "high", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    cells = listed.join(sizes, ["width", "low", "high"]).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(
+        "width",
         "low",
         "high",
         F.least("own", "other").alias("i"),
@@ -225,17 +246,20 @@ def near_vectors(
         "pivots",
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = cells.repartition(parts, "low", "high", "i", "j").sortWithinPartitions("low", "high", "i", "j")
-    links = stage(cells.mapInArrow(_verifier(width, least), "rep long, links long, root long"), "links")
+    keys = ("width", "low", "high", "i", "j")
+    cells = cells.repartition(parts, *keys).sortWithinPartitions(*keys)
+    links = stage(cells.mapInArrow(_verifier(least), "rep long, links long, root long"), "links")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     components = connected(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
+    members = components.select(F.col("node").alias("rep"), "component")
+    named = members.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
     classes = (
         classes.join(counts, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
+        .join(members.join(named, "component").select("rep", "component_id"), "rep", "left")
         .select(
             "vector",
             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
+            F.coalesce("component_id", "least").alias("component_id"),
         )
     )
     linked = rows.where("valid").join(classes, "vector", "left").select("vec_id", "n_links", "component_id")

@@ -181,6 +181,31 @@ def test_near_vectors(spark):
     assert all(r.n_links == 0 and r.kept for r in got if r.vec_id >= 1000)
 
 
+def test_near_vectors_of_several_lengths_and_without_ids(spark):
+    rng = np.random.default_rng(12)
+    table = []
+    for width, groups in ((16, 40), (32, 30), (5, 3), (1, 1)):
+        for centre in rng.normal(size=(groups, width)):
+            for _ in range(4):
+                near = centre if width == 1 else centre + rng.normal(size=width) * 0.01
+                table.append((len(table), near.tolist()))
+    table += [(None, [x * 1.001 for x in v]) for _, v in table[:3]]
+    table += [(None, [1000.0 + x for x in range(9)]), (None, [1000.0 + x for x in range(9)]), (None, [1000.5 + x for x in range(9)])]
+    df = spark.createDataFrame(table, "vec_id long, embedding array<double>").repartition(4)
+
+    def near(a, b):
+        return len(a) == len(b) and np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95
+
+    links = [[j for j, (_, b) in enumerate(table) if j != i and near(a, b)] for i, (_, a) in enumerate(table)]
+    root = components(range(len(table)), [(i, j) for i, own in enumerate(links) for j in own])
+    least = {}
+    for i, (vec_id, _) in enumerate(table):
+        if vec_id is not None:
+            least[root[i]] = min(vec_id, least.get(root[i], vec_id))
+    want = Counter((vec_id, len(links[i]), least.get(root[i])) for i, (vec_id, _) in enumerate(table))
+    assert Counter((r.vec_id, r.n_links, r.component_id) for r in pivots.near_vectors(df).collect()) == want
+
+
 def test_near_vectors_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert pivots.near_vectors(empty).count() == 0
