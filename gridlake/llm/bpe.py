@@ -4,8 +4,9 @@ Texts are cut into pieces by the tokenizer's pattern.  Each Python worker holds
 DuckDB database with the merge table: all pairs of tokens whose joined bytes are a token,
 with its rank.  New pieces of a batch become token-position rows; a recursive query joins
 neighbours with the merge table and contracts the leftmost pair of least rank of every
-piece until none is left.  Decoding joins ids with the vocabulary and aggregates bytes by
-position.  Pieces repeat, so the ids of recent units are remembered, ``UNITS`` per worker at most.
+piece until none is left; a piece that is a token skips the query.  Pieces repeat, so the ids of
+recent units are remembered, ``UNITS`` per worker at most.  Decoding starts from the ids of each
+document as they are returned: it looks all of them up in the vocabulary and joins the bytes in order.
 
 Defined results: null and empty texts have no tokens and decode to nothing; ties take the
 leftmost pair; long pieces contract all places of the least pair at once where that cannot
@@ -83,11 +84,7 @@ WITH RECURSIVE state(w, p, t, live) AS (
 SELECT w, p, t FROM state WHERE NOT live
 """
 
-DECODE = """
-SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids,
-       string_agg(v.hex, '' ORDER BY p) AS bytes
-FROM coded JOIN vocabulary v USING (t) GROUP BY w
-"""
+IDS = "SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids FROM coded GROUP BY w"
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -117,17 +114,16 @@ class _Coder:
         self.pieces = regex.compile(white).findall
         self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
         self.ranks = ranks
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.tokens = {b"%d" % rank: token for token, rank in ranks.items()}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
         a, b, r, many = zip(*merge_rows(ranks))
         int32 = pa.int32()
         merges = pa.table({"a": pa.array(a, int32), "b": pa.array(b, int32), "r": pa.array(r, int32), "many": pa.array(many)})
-        vocabulary = pa.table({"t": pa.array(ranks.values(), int32), "hex": pa.array([k.hex() for k in ranks])})
-        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
-            self.db.register("incoming", table)
-            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
-            self.db.unregister("incoming")
+        self.db.register("incoming", merges)
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM incoming")
+        self.db.unregister("incoming")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def _rows(self, query: str, pieces: list[tuple[int, bytes]]) -> pa.Table:
@@ -143,14 +139,14 @@ class _Coder:
         self.db.register("start_rows", table)
         return self.db.execute(query).to_arrow_table()
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids joined by commas, decoded bytes) of each piece."""
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, joined by commas."""
         coded, short, long = [], [], []
         out: list = [None] * len(pieces)
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is not None:  # a token as it stands
-                out[i] = (b"%d" % rank, piece)
+                out[i] = b"%d" % rank
             else:
                 (long if len(piece) > LONG else short).append((i, piece))
         schema = pa.schema([("w", pa.int32()), ("p", pa.int32()), ("t", pa.int32())])
@@ -160,12 +156,15 @@ class _Coder:
         if not coded:
             return out
         self.db.register("coded", pa.concat_tables(coded))
-        got = self.db.execute(DECODE).to_arrow_table()
-        columns = (got.column(c).to_pylist() for c in ("w", "ids", "bytes"))
-        for w, ids, data in zip(*columns):
-            out[w] = (ids.encode(), bytes.fromhex(data))
+        got = self.db.execute(IDS).to_arrow_table()
+        for w, ids in zip(*(got.column(c).to_pylist() for c in ("w", "ids"))):
+            out[w] = ids.encode()
         return out
 
+    def decode(self, line: bytes) -> bytes:
+        """The bytes of ids joined by commas, in their order."""
+        return b"".join(map(self.tokens.__getitem__, line.split(b","))) if line else b""
+
     def learn(self, units: set[str]) -> None:
         if len(self.known) > UNITS // 2:
             self.older, self.known = self.known, {}
@@ -175,8 +174,7 @@ class _Coder:
         self.known.update(zip(order, self.encode_pieces([p.encode() for p in order])))
         for unit, parts in zip(new, split):
             if len(parts) > 1:
-                got = [self.known[p] for p in parts]
-                self.known[unit] = (b",".join([g[0] for g in got]), b"".join([g[1] for g in got]))
+                self.known[unit] = b",".join([self.known[p] for p in parts])
 
     def _remembered(self, unit: str) -> bool:
         if unit in self.known:
@@ -203,11 +201,10 @@ def _encoder(rank_file: bytes, pattern: str, batch_bytes: int):
             coder.learn(set().union(*found))
             counts, ids, decoded = [], [], []
             for units in found:
-                got = [coder.known[u] for u in units]
-                line = b",".join([g[0] for g in got])
+                line = b",".join([coder.known[u] for u in units])
                 counts.append(line.count(b",") + 1 if line else 0)
                 ids.append(line)
-                decoded.append(b"".join([g[1] for g in got]))
+                decoded.append(coder.decode(line))
             del found
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()).cast(pa.string()), pa.array(decoded, pa.binary())],

@@ -53,6 +53,26 @@ def test_bpe_of_nothing(no_docs):
     assert bpe.encode_documents(no_docs, RANKS, tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_decodes_the_ids_of_the_document(coder):
+    """A fault in the remembered ids of a unit shows in the decoded bytes."""
+    import pyarrow as pa
+
+    rank_file = open(RANKS, "rb").read()
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["one two one"])], names=["doc_id", "text"])
+    run = bpe._encoder(rank_file, tokenizers.PATTERN, 1 << 20)
+    (got,) = run(iter([batch]))
+    assert got.column("decoded").to_pylist() == [b"one two one"]
+    held = bpe._coder(rank_file, tokenizers.PATTERN)
+    try:
+        ids = ",".join(map(str, coder.encode_ordinary(" three"))).encode()
+        was = held.known[" two"]
+        held.known[" two"] = ids if isinstance(was, bytes) else (ids, *was[1:])
+        (got,) = run(iter([batch]))
+        assert got.column("decoded").to_pylist() == [b"one three one"]
+    finally:
+        held.known[" two"] = was
+
+
 def check_packing(rows, expected, most=4096):
     pieces = defaultdict(list)
     for r in rows:
