@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, ngram_join, packing, pii, pivots, recompression, secrets, toxicity, winnowing
+from . import (
+    alignment,
+    bpe,
+    licenses,
+    ngram_join,
+    packing,
+    pii,
+    pivots,
+    recompression,
+    secrets,
+    toxicity,
+    vafile,
+    whitening,
+    winnowing,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -138,3 +152,32 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     twenty words licenses its directory."""
     path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
     return licenses.scan_licenses(read(spark, sf_dir, "documents"), path, share=0.05)
+
+
+@query
+def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``deviation`` is null where it does not fit a long; ``deviation_exact`` always holds it."""
+    white = whitening.whiten(read(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+    return white.select(
+        "vec_id",
+        "component",
+        "n",
+        F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+        "whitened",
+        "explained",
+        "identity_error",
+        F.col("deviation").alias("deviation_exact"),
+    )
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tokenizers
+
+    docs = read(spark, sf_dir, "documents")
+    return alignment.align_tokenizers(docs, tokenizers.path("byte_bpe_50k.json"), tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op13_vector_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)

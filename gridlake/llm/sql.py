@@ -64,4 +64,13 @@ kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.pos) AS text FROM e AN
 removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(removed.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN removed USING (doc_id)""",
+    "op13_vector_file_search": """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, q.r, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score, c.r AS other
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) AS n FROM pairs)
+SELECT query_id, n::INT AS rank, vec_id, score FROM ranked WHERE n <= 20""",
 }
