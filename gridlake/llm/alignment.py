@@ -27,6 +27,8 @@ import os
 import re
 import sys
 from collections.abc import Iterator
+from itertools import chain
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: units a worker remembers, in two generations
 UNITS = 800_000
 #: bytes of text in a block, about
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: characters of new units that are encoded together
-TOGETHER = 1 << 14
+TOGETHER = 1 << 12
 #: a unit that ends where no unit of the text does, put before others: its end is a boundary
 LEAD = " a"
+#: letters after which a text may be cut before punctuation, if no piece holds the two side by side; the byte-level
+#: pattern always cuts there
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: what stands between ids: more of the same side, the other side, the next group, the next unit
+MARKS = np.frombuffer(b",|;\n", np.uint8)
+COMMAS = bytes.maketrans(b"|;\n", b",,,")
 #: links of a group that are written out one by one; longer groups count distinct ids first
 SMALL = 4096
 
@@ -109,10 +117,12 @@ class _Coder:
         ]
         self.a_length = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_length = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.space = self.b.piece_to_id("▁")
+        self.a_names = np.array([[f"{i}{c}" for i in range(len(self.a_bytes))] for c in ",|"], object)
+        self.b_names = np.array([[f"{i}{c}" for i in range(len(self.b_bytes))] for c in ",;\n"], object)
         self.units = self._splitter(json.loads(a_source), pieces)
-        self.known: dict[str, tuple | None] = {}
-        self.older: dict[str, tuple | None] = {}
+        self.known: dict[str, str | None] = {}
+        self.older: dict[str, str | None] = {}
+        self.changed: set[str] = set()
 
     @staticmethod
     def _splitter(a: dict, pieces: list[str]):
@@ -122,59 +132,62 @@ class _Coder:
         if not by_pattern or any("▁" in p.lstrip("▁") for p in pieces):
             return lambda text: [text]
         white = re.compile(f"[{WHITE}]")
-        glue = "".join(sorted({c for p in pieces for c in p if c != " " and white.match(c)}))
-        more = f"(?:[{re.escape(glue)}][{WHITE}]*[^{WHITE}]*)*" if glue else ""
-        return re.compile(f"[{WHITE}]*[^{WHITE}]+{more}|[{WHITE}]+").findall
+        glue = re.escape("".join(sorted({c for p in pieces for c in p if c != " " and white.match(c)})))
+        cut = "".join(c for c in punctuation if c != "_" and not any(re.search(f"[{LETTERS}]{re.escape(c)}", p) for p in pieces))
+        stop = WHITE + re.escape(cut)
+        rest = f"[^{stop}]*+" + (f"(?:(?<![{LETTERS}])[{re.escape(cut)}][^{stop}]*+)*+" if cut else "")
+        more = f"(?:[{glue}][{WHITE}]*+{rest})*+" if glue else ""
+        return re.compile(f"[{WHITE}]*+[^{WHITE}]{rest}{more}|[{WHITE}]++").findall
 
     def _encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
         """Ids and ends of both tokenizers over ``text``, which starts with the space that the second adds; none if changed."""
         data = text.encode()
         coded = self.a.encode(text, add_special_tokens=False)
         a = np.array(coded.ids, np.int64)
-        spans = np.array(coded.offsets, np.int64).reshape(-1, 2)
-        pieces = self.b.encode(text[1:], return_type="proto").pieces
-        b = np.array([p.id for p in pieces], np.int64)
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
+        pieces = [(p.id, p.begin, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces]
+        b, begins, ends = np.fromiter(chain.from_iterable(pieces), np.int64, 3 * len(pieces)).reshape(-1, 3).T
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != data or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != data:
             return None
         char_at = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), len(data))
         a_ends = byte_ends(char_at[spans[:, 0]], char_at[spans[:, 1]], self.a_length[a])
-        begins = np.array([p.begin for p in pieces], np.int64) + 1  # the space in front is in no span
-        ends = np.array([p.end for p in pieces], np.int64) + 1
+        begins, ends = begins + 1, ends + 1  # the space in front is in no span
         if len(begins):
             begins[0] = 0
         b_ends = byte_ends(begins, ends, self.b_length[b])
         return a, a_ends, b, b_ends
 
-    def _entries(self, parts: list[str], lead: str) -> list[tuple] | None:
-        """What is remembered of each part of one string, if every part ends with a token of either."""
+    def _groups(self, parts: list[str], lead: str) -> list[str] | None:
+        """The groups of each part of one string, if every part ends with a token of either."""
         coded = self._encode(lead + "".join(parts))
         if coded is None:
             return None
         a, a_ends, b, b_ends = coded
         ends = np.cumsum([len(p.encode()) for p in parts]) + len(lead)
-        starts = np.append(len(lead), ends[:-1])
         common = common_ends(a_ends, b_ends)
         bounds = np.append(len(lead), ends) if lead else ends
         if not np.isin(bounds, common).all():
             return None
-        group_a = np.searchsorted(a_ends, common, "right")
-        group_b = np.searchsorted(b_ends, common, "right")
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        names, i, j = [], 0, 0
-        for k, m in zip(group_a.tolist(), group_b.tolist()):
-            names.append(
-                f"{name_a[i]}|{name_b[j]}" if k - i == 1 == m - j else f"{','.join(name_a[i:k])}|{','.join(name_b[j:m])}"
-            )
-            i, j = k, m
-        cuts = [np.searchsorted(x, np.stack([starts, ends]), "right").T.tolist() for x in (a_ends, b_ends, common)]
-        a, b = a.astype("<u4"), b.astype("<u4")
-        return [
-            (a[a0:a1].tobytes(), b[b0:b1].tobytes(), ";".join(names[g0:g1]))
-            for (a0, a1), (b0, b1), (g0, g1) in zip(*cuts)
-        ]
-
-    def _encode_units(self, units: list[str]) -> list[tuple | None]:
-        found = self._entries(units, LEAD)
+        if lead:
+            a, b = (x[np.searchsorted(e, len(lead), "right") :] for x, e in ((a, a_ends), (b, b_ends)))
+            a_ends, b_ends, common = (x[np.searchsorted(x, len(lead), "right") :] for x in (a_ends, b_ends, common))
+        return self._names(a, a_ends, b, b_ends, common, ends)
+
+    def _names(self, a, a_ends, b, b_ends, common, ends) -> list[str]:
+        """The groups of every part as text, ``a1,a2|b1;a3|b2,b3``: tokens in order, each with what follows it."""
+        group_a, group_b = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
+        n_a, n_b = np.bincount(group_a, minlength=len(common)), np.bincount(group_b, minlength=len(common))
+        all_a, all_b = np.cumsum(n_a), np.cumsum(n_b)
+        last_of_part = np.isin(common, ends)
+        out = np.empty(len(a) + len(b), object)
+        last_a = np.arange(len(a)) + 1 == all_a[group_a]
+        last_b = np.arange(len(b)) + 1 == all_b[group_b]
+        out[np.arange(len(a)) + (all_b - n_b)[group_a]] = self.a_names[last_a.astype(int), a]
+        out[np.arange(len(b)) + all_a[group_b]] = self.b_names[last_b.astype(int) + (last_b & last_of_part[group_b]), b]
+        return "".join(out.tolist()).split("\n")[:-1]
+
+    def _encode_units(self, units: list[str]) -> list[str | None]:
+        found = self._groups(units, LEAD)
         if found is not None:
             return found
         if len(units) == 1:
@@ -182,14 +195,15 @@ class _Coder:
         half = len(units) // 2  # one of them is changed, or reaches across: look for it
         return self._encode_units(units[:half]) + self._encode_units(units[half:])
 
-    def whole(self, text: str) -> tuple | None:
+    def whole(self, text: str) -> str | None:
         """A text as one unit, encoded on its own."""
-        found = self._entries([text], "")
+        found = self._groups([text], "")
         return found[0] if found else None
 
     def learn(self, units: set[str]) -> None:
         if len(self.known) > UNITS // 2:
             self.older, self.known = self.known, {}
+            self.changed.clear()
         known, older = self.known, self.older
         together, size, last = [], 0, []
         for u in units:
@@ -197,16 +211,22 @@ class _Coder:
                 continue
             if u in older:
                 known[u] = older[u]
+                if older[u] is None:
+                    self.changed.add(u)
             elif u[-1].isspace():
                 last.append([u])  # white space at the end of a text: nothing may follow it
             else:
                 if size > TOGETHER or not together:
                     together.append([])
                     size = 0
+                if not u[0].isspace():
+                    together[-1].append(LEAD)  # it follows a letter
                 together[-1].append(u)
                 size += len(u)
         for some in together + last:
-            known.update(zip(some, self._encode_units(some)))
+            names = self._encode_units(some)
+            known.update(zip(some, names))
+            self.changed.update(u for u, x in zip(some, names) if x is None)
 
 
 def _coder(a_source: str, b_model: bytes) -> _Coder:
@@ -228,8 +248,11 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 def _counted(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, rising, with how often each occurs or the sum of its weights."""
     if weights is None:
-        return np.unique(keys, return_counts=True)
+        keys = np.sort(keys)
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return keys[first], np.diff(first, append=len(keys))
     order = np.argsort(keys, kind="stable")
     keys, sums = keys[order], np.append(0, np.cumsum(weights[order]))
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -257,7 +280,6 @@ class _Block:
     def __init__(self, coder: _Coder):
         self.coder = coder
         self.index: dict[str, int] = {}
-        self.entries: list[tuple] = []
         self.names: list[str] = []
         self.ids: list = []
         self.units: list[np.ndarray] = []
@@ -269,41 +291,50 @@ class _Block:
         found = [coder.units(" " + t) if t else [] for t in strings]
         every = set().union(*found)
         coder.learn(every)
-        changed = {u for u in every if coder.known[u] is None}
-        wholes = {}
-        if changed:
+        known = coder.known
+        if not coder.changed.isdisjoint(every):
+            known = dict(known)
             for i, units in enumerate(found):
-                if not changed.isdisjoint(units):
+                if not coder.changed.isdisjoint(units):  # the whole text decides
                     text = " " + strings[i]
-                    entry = wholes[text] if text in wholes else wholes.setdefault(text, coder.whole(text))
-                    found[i] = [text] if entry else []
+                    known[text] = coder.whole(text)
+                    found[i] = [text] if known[text] else []
             every = set().union(*found)
-        for u in every - index.keys():
-            index[u] = len(self.entries)
-            entry = wholes.get(u) or coder.known[u]
-            self.entries.append(entry)
-            self.names.append(entry[2])
+        new = [u for u in every if u not in index]
+        index.update(zip(new, range(len(self.names), len(self.names) + len(new))))
+        self.names.extend(map(known.__getitem__, new))
+        at, named = index.__getitem__, self.names.__getitem__
         for i, t, units in zip(ids, strings, found):
-            numbers = list(map(index.__getitem__, units))
+            numbers = list(map(at, units))
             self.ids.append(i)
-            self.units.append(np.array(numbers, np.int64))
-            line = ";".join(map(self.names.__getitem__, numbers))
-            self.hashes.append(hashlib.sha256(line.encode()).hexdigest() if numbers else "")
+            self.units.append(np.array(numbers, np.int32))
+            self.hashes.append(hashlib.sha256(";".join(map(named, numbers)).encode()).hexdigest() if numbers else "")
             self.size += len(t)
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Of all units in order: ids of either side, tokens of either side of each group, groups of each unit."""
+        data = np.frombuffer(("\n".join(self.names) + "\n").encode() if self.names else b"", np.uint8)
+        marks = np.flatnonzero(np.isin(data, MARKS))
+        sort = data[marks]
+        numbers = np.fromstring(data.tobytes().translate(COMMAS), np.int64, sep=",") if len(data) else np.zeros(0, np.int64)
+        ends_group = (sort == MARKS[2]) | (sort == MARKS[3])
+        bars, groups = np.cumsum(sort == MARKS[1]), np.cumsum(ends_group)
+        on_b = bars - (sort == MARKS[1]) > groups - ends_group
+        group = groups - ends_group
+        n = int(groups[-1]) if len(groups) else 0
+        n_a, n_b = (np.bincount(group[x], minlength=n) for x in (~on_b, on_b))
+        per_unit = np.diff(groups[sort == MARKS[3]], prepend=0)
+        return numbers[~on_b], numbers[on_b], n_a, n_b, per_unit
+
     def packed(self, number: int) -> pa.RecordBatch:
-        n_units = len(self.entries)
-        a, b = (np.frombuffer(b"".join(e[i] for e in self.entries), "<u4").astype(np.int64) for i in range(2))
-        per_unit = [np.array([len(e[i]) // 4 for e in self.entries], np.int64) for i in range(2)]
-        a_ends, b_ends = np.cumsum(self.coder.a_length[a]), np.cumsum(self.coder.b_length[b])
-        common = common_ends(a_ends, b_ends)
-        n_a, n_b = (np.diff(np.searchsorted(x, common, "right"), prepend=0) for x in (a_ends, b_ends))
-        unit_of = np.searchsorted(np.cumsum(per_unit[0]), np.cumsum(n_a))  # of a group: by the number of tokens before its end
+        a, b, n_a, n_b, n_groups = self.tables()
+        n_units = len(self.names)
+        unit_of = np.repeat(np.arange(n_units), n_groups)
         group, pair, links = group_links(a, b, n_a, n_b)
         pairs, position = np.unique(pair, return_inverse=True)
         n_pairs = max(len(pairs), 1)
         unit_pairs, pair_counts = _counted(unit_of[group] * n_pairs + position, links)
-        sums = [*per_unit, np.bincount(unit_of, minlength=n_units), _per(unit_of, n_a * n_b, n_units)]
+        sums = [_per(unit_of, x, n_units) for x in (n_a, n_b, np.ones(len(n_a), np.int64), n_a * n_b)]
 
         lengths = np.array([len(x) for x in self.units], np.int64)
         docs = np.repeat(np.arange(len(lengths)), lengths)
@@ -314,7 +345,7 @@ class _Block:
         wide = np.diff(held)[unit] if n_units else np.zeros(0, np.int64)
         nth = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide, wide)
         seen = unit_pairs[np.repeat(held[unit], wide) + nth] % n_pairs
-        with_pair = np.unique(np.repeat(doc, wide) * n_pairs + seen) % n_pairs
+        with_pair = _counted(np.repeat(doc, wide) * n_pairs + seen)[0] % n_pairs
         per_doc = [_per(doc, doc_counts * x[unit], len(lengths)).tolist() if n_units else [0] * len(lengths) for x in sums]
         row = {
             "block": number,
