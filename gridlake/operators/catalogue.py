@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WHITE_SPACE, has_text, text_hash_base36
-from .grid import KEY, attach, join_null_safe, rank_within
+from .grid import KEY, attach, dense_grid, has_runs, join_null_safe, rank_within
 
 # Layout cut-offs and the preview size.
 MIN_DENSITY = 0.15
@@ -18,14 +18,15 @@ HEAD_ROWS = PREVIEW_ROWS + 1
 
 def table_sizes(grid: DataFrame) -> DataFrame:
     """Counts per table: numeric buffers only, so this stays a hash aggregate."""
-    filled = F.size(F.filter("cells", has_text))
+    held, width = ("texts", F.col("width")) if has_runs(grid) else ("cells", F.size("cells"))
+    filled = F.size(F.filter(held, has_text))
     return (
         grid.groupBy(*KEY)
         .agg(
             F.count("*").alias("n_rows"),
-            F.coalesce(F.max(F.when(F.col("row_idx") == 0, F.size("cells"))), F.lit(0)).alias("n_cols"),
+            F.coalesce(F.max(F.when(F.col("row_idx") == 0, width)), F.lit(0)).alias("n_cols"),
             F.sum(filled).alias("filled_cells"),
-            F.sum(F.size("cells")).alias("total_cells"),
+            F.sum(width).alias("total_cells"),
         )
         .withColumn("density", F.col("filled_cells") / F.nullif(F.col("total_cells"), F.lit(0)))
         .withColumn("avg_row_fill", F.col("filled_cells") / F.col("n_rows"))
@@ -34,7 +35,7 @@ def table_sizes(grid: DataFrame) -> DataFrame:
 
 def table_heads(grid: DataFrame) -> DataFrame:
     """First rows of each table (at most ``HEAD_ROWS``) and the element attributes."""
-    top = grid.where(F.col("row_idx") < HEAD_ROWS)
+    top = dense_grid(grid.where(F.col("row_idx") < HEAD_ROWS))
     if "attrs" not in grid.columns:
         top = top.withColumn(
             "attrs",
@@ -212,7 +213,7 @@ def merge_tables(
     cols = incoming.columns
     order = F.struct(F.col(position).isNull(), F.col(position), F.xxhash64(*cols))
     first = incoming.groupBy(id_col).agg(F.min_by(F.struct(*cols), order).alias("_t"))
-    fresh = first.join(existing.select(id_col).distinct(), id_col, "left_anti").select("_t.*")
+    fresh = join_null_safe(first, existing.select(id_col).distinct(), [id_col], "left_anti").select("_t.*")
     return existing.unionByName(fresh.select(*existing.columns))
 
 
@@ -243,7 +244,5 @@ def search_tables(tables: DataFrame, grid: DataFrame, query: str) -> DataFrame:
     keys = hits.select(*KEY).distinct()
     found = join_null_safe(tables, keys, KEY, "left_semi")
     hay = F.lower(F.concat(F.coalesce("preview", F.lit("")), F.lit("\n"), _joined(F.coalesce("header", F.array().cast("array<string>")), " ")))
-    dataless = tables.where(hay.contains(q)).join(
-        grid.where(F.col("row_idx") == 0).select(*KEY), KEY, "left_anti"
-    )
+    dataless = join_null_safe(tables.where(hay.contains(q)), grid.where(F.col("row_idx") == 0).select(*KEY), KEY, "left_anti")
     return found.unionByName(dataless)

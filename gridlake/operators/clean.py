@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_text
 from ..plans.staging import stage
-from .grid import KEY, attach, bucket, join_null_safe
+from .grid import KEY, attach, bucket, has_runs, join_null_safe, run_columns
 
 
 def pad_rows(grid: DataFrame) -> DataFrame:
@@ -23,42 +23,72 @@ def pad_rows(grid: DataFrame) -> DataFrame:
     )
 
 
+#: columns whose filled state fits one word
+WORD = 62
+
+
+def _word(filled: Column, word: Column | int = 0) -> Column:
+    """The filled columns of one word as bits."""
+    return F.aggregate(
+        F.filter(filled, lambda c: F.floor(c / WORD) == word),
+        F.lit(0).cast("bigint"),
+        lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % WORD).cast("int"))),
+    )
+
+
+def _columns(bits: Column, word: Column | int = 0) -> Column:
+    """The columns of a word's bits, in order."""
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(WORD - 1).cast("bigint"))
+    return F.transform(F.filter(places, lambda i: F.getbit(bits, i.cast("int")) == 1), lambda i: i + word * F.lit(WORD).cast("bigint"))
+
+
 def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     """Pad, drop columns that are empty everywhere, drop empty body rows, renumber rows.
 
     A row is non-empty in the kept columns exactly when it has any text at all, so one
     aggregate over (table, bucket) yields the filled columns and the surviving row counts
-    together.  That aggregate has one row per 65 536 grid rows of a table; it is staged,
+    together.  Filled columns are bits of a long, or-ed on the way; only rows that reach past the first
+    word are taken apart, into words.  That aggregate has one row per 65 536 grid rows of a table; it is staged,
     because both the kept columns of the table and the row offsets of its buckets come
     from it.  Rows are then renumbered inside their bucket.  A table without any text is
-    only padded.
+    only padded.  A grid in runs comes out with ``cells``: its kept columns all hold text.
     """
-    own = grid.columns
-    filled = F.filter(
-        F.transform("cells", lambda c, i: F.when(has_text(c), i)), lambda i: i.isNotNull()
-    )
-    marked = grid.withColumn("_bucket", bucket(size=bucket_rows)).withColumn(
-        "_alive", (F.col("row_idx") == 0) | F.exists("cells", has_text)
+    runs = has_runs(grid)
+    own = [c for c in grid.columns if c not in ("width", "at")]
+    own = ["cells" if c == "texts" else c for c in own]
+    held = "texts" if runs else "cells"
+    column = run_columns() if runs else F.transform(held, lambda _, i: i.cast("bigint"))
+    filled = F.transform(
+        F.filter(F.zip_with(held, column, lambda t, c: F.when(has_text(t), c)), lambda c: c.isNotNull()), lambda c: c
     )
-    first = F.coalesce("_p", F.lit(0)) == 0  # one exploded row stands for its grid row
+    width = F.col("width") if runs else F.size(held).cast("bigint")
+    marked = grid.withColumn("_bucket", bucket(size=bucket_rows))
+    seen = marked.select(*KEY, "row_idx", "_bucket", width.alias("_w"), filled.alias("_filled"))
+    alive = (F.col("row_idx") == 0) | (F.size("_filled") > 0)
     per_bucket = stage(
-        marked.select(
-            *KEY, "_bucket", "_alive", F.size("cells").alias("_w"), F.posexplode_outer(filled).alias("_p", "_c")
-        )
+        seen.select(*KEY, "_bucket", "_w", alive.alias("_alive"), _word(F.col("_filled")).alias("_bits"))
         .groupBy(*KEY, "_bucket")
         .agg(
-            F.collect_set("_c").alias("_cols"),
+            F.bit_or("_bits").alias("_bits"),
             F.max("_w").alias("_w"),
-            F.count_if(first).alias("_rows"),
-            F.count_if(first & F.col("_alive")).alias("_live"),
+            F.count("*").alias("_rows"),
+            F.count_if("_alive").alias("_live"),
         ),
         "clean",
     )
-    kept = (
-        per_bucket.select(*KEY, "_w", F.explode_outer("_cols").alias("_c"))
+    further = F.array_distinct(F.transform(F.filter("_filled", lambda c: c >= WORD), lambda c: F.floor(c / WORD)))
+    words = (
+        seen.where(F.col("_w") > WORD)
+        .select(*KEY, "_filled", F.explode(further).alias("_word"))
+        .groupBy(*KEY, "_word")
+        .agg(F.bit_or(_word(F.col("_filled"), F.col("_word"))).alias("_bits"))
         .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_set("_c")).alias("_keep"), F.max("_w").alias("_width"))
+        .agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("_words"))
     )
+    kept = per_bucket.groupBy(*KEY).agg(F.bit_or("_bits").alias("_bits"), F.max("_w").alias("_width"))
+    more = F.flatten(F.transform("_words", lambda x: _columns(x["_bits"], x["_word"])))
+    keep = F.concat(_columns(F.col("_bits")), F.coalesce(more, F.array().cast("array<bigint>")))
+    kept = join_null_safe(kept, words, KEY, "left").select(*KEY, "_width", keep.alias("_keep"))
     before = (
         Window.partitionBy(*KEY).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -70,18 +100,26 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     )
     facts = join_null_safe(offsets, kept, KEY)
     blank = F.size("_keep") == 0
-    columns = F.when(
-        blank, F.sequence(F.lit(0), F.greatest(F.col("_width") - 1, F.lit(0)))
-    ).otherwise(F.col("_keep"))
+    text = F.exists(held, has_text)
+    if runs:
+        at = F.when(F.col("at").isNull(), F.lit(None)).otherwise(F.map_from_arrays("at", "texts"))
+        rows = join_null_safe(marked.withColumn("_at", at), facts, [*KEY, "_bucket"])
+        value = lambda i: F.when(F.col("at").isNull(), F.get("texts", i.cast("int"))).otherwise(F.try_element_at("_at", i))
+    else:
+        rows = join_null_safe(marked, facts, [*KEY, "_bucket"])
+        value = lambda i: F.get(held, i.cast("int"))
+    padded = F.array_repeat(F.lit(""), F.col("_width").cast("int"))
+    if not runs:
+        padded = F.transform(padded, lambda blank, i: F.coalesce(F.get(held, i), blank))
+    cells = F.when(blank, padded).otherwise(
+        F.transform("_keep", lambda i: F.coalesce(value(i), F.lit("")))
+    )
     within = Window.partitionBy(*KEY, "_bucket").orderBy("row_idx")
     offset = F.when(blank, F.col("_rows_before")).otherwise(F.col("_live_before"))
     return (
-        join_null_safe(marked, facts, [*KEY, "_bucket"])
-        .where(blank | F.col("_alive"))
+        rows.where(blank | (F.col("row_idx") == 0) | text)
         .withColumn("row_idx", offset + F.row_number().over(within) - 1)
-        .withColumn(
-            "cells", F.transform(columns, lambda i: F.coalesce(F.get("cells", i), F.lit("")))
-        )
+        .withColumn("cells", cells)
         .select(*own)
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import site_name
 from ..plans.staging import stage
-from .grid import KEY, attach, rank_within
+from .grid import KEY, attach, join_null_safe, rank_within
 
 # Name limits of the export format.
 SOURCE_CHARS, SHEET_CHARS = 20, 31
@@ -146,7 +146,8 @@ def export_all(
     manifest = stage(export_manifest(tables, export_date, source=source), "manifest")
     if manifest.isEmpty():
         raise ValueError("no valid table data to export")
-    facts = manifest.select(*KEY).join(tables.select(*KEY, (F.col("n_rows") - 1).alias("last_row")), KEY)
+    sizes = tables.select(*KEY, (F.col("n_rows") - 1).alias("last_row"))
+    facts = join_null_safe(manifest.select(*KEY), sizes, KEY)
     write_lines(export_lines(attach(grid, facts), fmt), f"{path}/tables", folders)
     manifest.write.parquet(f"{path}/manifest")
     return manifest.sparkSession.read.parquet(f"{path}/manifest")

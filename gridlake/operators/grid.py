@@ -1,6 +1,8 @@
 """The grid model and the two skew-safe building blocks every operator shares.
 
 ``grid``  : page_id, kind, table_idx, row_idx, cells ARRAY<STRING>   (row 0 = header)
+``runs``  : the same with width, at ARRAY<BIGINT>, texts ARRAY<STRING> for cells: the columns ``at`` (null: the first
+            ones) hold ``texts``, the rest of ``width`` columns are blank
 ``cells`` : page_id, kind, table_idx, row_idx, col_idx, value
 
 One table may hold a large share of all rows, so no operator shuffles rows by
@@ -56,7 +58,41 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_right_{k}" for k in keys))
 
 
+RUNS = ["width", "at", "texts"]
+
+
+def has_runs(grid: DataFrame) -> bool:
+    return "texts" in grid.columns
+
+
+def run_columns() -> Column:
+    """The column of each text of a row in runs."""
+    first_ones = F.transform("texts", lambda _, i: i.cast("bigint"))
+    return F.coalesce("at", first_ones)
+
+
+def dense_grid(grid: DataFrame) -> DataFrame:
+    """A grid in runs with ``cells``, one text per column; other grids as they are."""
+    if not has_runs(grid):
+        return grid
+
+    def blanks(n: Column) -> Column:
+        return F.array_repeat(F.lit(""), F.greatest(n, F.lit(0)).cast("int"))
+
+    short = F.concat("texts", blanks(F.col("width") - F.size("texts")))
+    until = F.slice(F.concat("at", F.array("width")), F.lit(2), F.size("at"))
+    spread = F.zip_with(F.arrays_zip("at", "texts"), until, lambda x, e: F.concat(F.array(x["texts"]), blanks(e - x["at"] - 1)))
+    first = F.coalesce(F.get("at", F.lit(0)), F.col("width"))
+    cells = F.when(F.col("at").isNull(), short).otherwise(F.concat(blanks(first), F.flatten(spread)))
+    own = ["cells" if c == "texts" else c for c in grid.columns if c not in ("width", "at")]
+    return grid.withColumn("cells", cells).select(*own)
+
+
 def to_cells(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per cell; of a grid in runs, one per cell that holds text."""
+    if has_runs(grid):
+        held = grid.select(*(keys or KEY), "row_idx", F.inline(F.arrays_zip(run_columns().alias("col_idx"), F.col("texts").alias("value"))))
+        return held.withColumn("col_idx", F.col("col_idx").cast("int"))
     return grid.select(*(keys or KEY), "row_idx", F.posexplode("cells").alias("col_idx", "value"))
 
 

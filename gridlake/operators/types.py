@@ -11,7 +11,7 @@ from ..functions.classes import PERCENT_SAMPLE, is_numeric_kind, looks_like_mone
 from ..functions.dates import looks_like_date, parse_date
 from ..functions.numbers import FORMAT_EVIDENCE, decide_format, format_evidence, parse_number
 from ..functions.text import CUR, WS, js_trim
-from .grid import KEY, attach, join_null_safe, to_cells
+from .grid import KEY, attach, dense_grid, join_null_safe, to_cells
 
 TYPES = ("categorical", "numeric", "money", "rate", "date")
 # Fixed value: the share of a kind that settles a column's type.
@@ -94,7 +94,7 @@ def _pin(profile: DataFrame, overrides: DataFrame, on: list[str]) -> DataFrame:
         F.col("thousand").alias("_thousand"),
         F.col("decimal").alias("_decimal"),
     )
-    joined = profile.join(pins, on, "left")
+    joined = join_null_safe(profile, pins, on, "left")
     type_ = F.coalesce(
         F.when(F.col("_type") == "percentage", F.lit("rate")).otherwise(F.col("_type")), F.col("type")
     )
@@ -153,7 +153,7 @@ def attach_profile(grid: DataFrame, profile: DataFrame) -> DataFrame:
         ).alias("cols"),
         F.max("last_row").alias("last_row"),
     )
-    body = grid.where(F.col("row_idx") > 0).select(*KEY, "row_idx", "cells")
+    body = dense_grid(grid).where(F.col("row_idx") > 0).select(*KEY, "row_idx", "cells")
     return attach(body, facts)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as _html
 import re
 import sys
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import WHITE_SPACE
+from ..operators.grid import dense_grid
 
 # executors need not have this package installed: the scanner travels with the plan
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -225,10 +227,41 @@ def read_page(source: str) -> _Page:
     return page
 
 
-def grid_rows(page: _Page, table: _Table) -> Iterator[list[str]]:
-    """Lay cells out row by row; only the spans still running are remembered.
+class _Line:
+    """A row under construction: text by column, blanks left out, columns in order."""
 
-    The width is the largest colspan total.  A cell starts at the first blank
+    __slots__ = ("at", "texts")
+
+    def __init__(self) -> None:
+        self.at: list[int] = []
+        self.texts: list[str] = []
+
+    def put(self, first: int, last: int, text: str) -> None:
+        """``text`` in ``first``, blanks up to ``last``."""
+        i, j = bisect_left(self.at, first), bisect_right(self.at, last)
+        self.at[i:j], self.texts[i:j] = ([first], [text]) if text else ([], [])
+
+    def free(self, at: int) -> int:
+        """The first blank column at or after ``at``."""
+        i = bisect_left(self.at, at)
+        while i < len(self.at) and self.at[i] == at:
+            at, i = at + 1, i + 1
+        return at
+
+
+def grid_width(table: _Table) -> int:
+    """The largest colspan total of a row; one that does not fit a long cannot be stored."""
+    width = max((sum(c[2] for c in r) for r in table.rows if r), default=0)
+    if width >= 1 << 63:
+        raise ValueError("a row has more columns than can be counted")
+    return width
+
+
+def grid_rows(page: _Page, table: _Table) -> Iterator[tuple[int, list[int] | None, list[str]]]:
+    """Rows as runs: width, columns that hold text (none: the first ones), and their texts.
+
+    Spans cost nothing by their length: only the spans still running are remembered, each as one
+    interval.  The width is the largest colspan total.  A cell starts at the first blank
     column at or after the cursor.  A rowspan repeats its text in its first column;
     the other columns of a colspan are blank.  Rowspans past the last row add rows.
     """
@@ -236,54 +269,50 @@ def grid_rows(page: _Page, table: _Table) -> Iterator[list[str]]:
     if not filled:
         return
     text_of = page.cell_text
+    width = grid_width(table)
     if not table.spans:
-        width = max(map(len, filled))
         for row in filled:
-            line = [text_of(cell) for cell in row]
-            yield line if len(line) == width else line + [""] * (width - len(line))
+            yield width, None, [text_of(cell) for cell in row]
         return
-    width = max(sum(c[2] for c in r) for r in filled)
     height = max(i + c[3] for i, r in enumerate(filled) for c in r)
-    running: dict[int, list[tuple[int, str]]] = {}
+    running: list[tuple[int, int, int, str]] = []  # last row, first column, last column, text; the later covers the earlier
     for r in range(max(height, len(filled))):
-        line = [""] * width
-        for c in list(running):
-            running[c] = [w for w in running[c] if w[0] >= r]
-            if running[c]:
-                line[c] = running[c][-1][1]
-            else:
-                del running[c]
+        line = _Line()
+        running = [span for span in running if span[0] >= r]
+        for _, first, last, text in running:
+            line.put(first, last, text)
         at = 0
         for cell in filled[r] if r < len(filled) else ():
-            while at < width and line[at] != "":
-                at += 1
-            for c in range(at, min(at + cell[2], width)):
-                line[c] = text_of(cell) if c == at else ""
+            at = line.free(at)
+            if at < width:
+                last, text = min(at + cell[2], width) - 1, text_of(cell)
+                line.put(at, last, text)
                 if cell[3] > 1:
-                    running.setdefault(c, []).append((r + cell[3] - 1, line[c]))
+                    running.append((r + cell[3] - 1, at, last, text))
             at += cell[2]
-        yield line
+        yield width, line.at, line.texts
+
+
+def _attrs(url: str | None, found: dict[str, str], nested: int) -> dict:
+    return {
+        "url": url,
+        "element_id": found.get("id") or None,
+        "element_name": found.get("name") or None,
+        "role": found.get("role"),
+        "nested_tables": nested,
+    }
 
 
 def _records(page_id, url: str | None, source: str, want: str) -> Iterator[tuple]:
     page = read_page(source)
     if want in ("table", "both"):
+        for table in page.tables:
+            grid_width(table)  # a page that cannot be stored fails before its first row
         for idx, table in enumerate(page.tables):
             held = None
             for r, line in enumerate(grid_rows(page, table)):
-                a = table.attrs
-                attrs = (
-                    {
-                        "url": url,
-                        "element_id": a.get("id") or None,
-                        "element_name": a.get("name") or None,
-                        "role": a.get("role"),
-                        "nested_tables": table.nested,
-                    }
-                    if r == 0
-                    else None
-                )
-                record = (page_id, "html", idx, r, line, attrs)
+                attrs = _attrs(url, table.attrs, table.nested) if r == 0 else None
+                record = (page_id, "html", idx, r, *line, attrs)
                 if r == 0:
                     held = record  # a grid of one row is not a table
                     continue
@@ -296,15 +325,17 @@ def _records(page_id, url: str | None, source: str, want: str) -> Iterator[tuple
             text = "".join(page.buf[block.start : block.end])
             if block.tag == "pre" and text.startswith("\n"):
                 text = text[1:]
-            a = block.attrs
-            attrs = {
-                "url": url,
-                "element_id": a.get("id") or None,
-                "element_name": a.get("name") or None,
-                "role": a.get("role"),
-                "nested_tables": 0,
-            }
-            yield (page_id, "block", idx, 0, [text], attrs)
+            yield (page_id, "block", idx, 0, 1, None, [text], _attrs(url, block.attrs, 0))
+
+
+def _readable(page_id, url: str | None, source: str, want: str) -> Iterator[tuple]:
+    """Rows of a page; one that cannot be read leaves its neighbours alone, and says why in a scan for everything."""
+    try:
+        yield from _records(page_id, url, source, want)
+    except (ValueError, ArithmeticError, LookupError, RecursionError, MemoryError) as why:
+        reason = f"{type(why).__name__}: {why}"
+        if want == "both":
+            yield (page_id, "error", 0, 0, 1, None, [reason], _attrs(url, {}, 0))
 
 
 def _scanner(schema: pa.Schema, want: str, batch_cells: int = BATCH_CELLS):
@@ -323,9 +354,9 @@ def _scanner(schema: pa.Schema, want: str, batch_cells: int = BATCH_CELLS):
                 source = sources[i].as_py()
                 if source is None:
                     continue
-                for record in _records(ids[i].as_py(), urls[i].as_py(), source, want):
+                for record in _readable(ids[i].as_py(), urls[i].as_py(), source, want):
                     rows.append(record)
-                    cells += len(record[4]) + 4
+                    cells += len(record[6]) + 4
                     if cells >= batch_cells:
                         yield flush()
                         rows, cells = [], 0
@@ -349,29 +380,46 @@ def _scan(pages: DataFrame, want: str, needles: list[str], batch_cells: int) ->
             T.StructField("kind", T.StringType()),
             T.StructField("table_idx", T.IntegerType()),
             T.StructField("row_idx", T.LongType()),
-            T.StructField("cells", T.ArrayType(T.StringType())),
+            T.StructField("width", T.LongType()),
+            T.StructField("at", T.ArrayType(T.LongType())),
+            T.StructField("texts", T.ArrayType(T.StringType())),
             T.StructField("attrs", ATTRS),
         ]
     )
     return source.mapInArrow(_scanner(to_arrow_schema(out), want, batch_cells), out)
 
 
-def extract_html_tables(pages: DataFrame, batch_cells: int = BATCH_CELLS) -> DataFrame:
-    """Grid rows of every table with more than one row; ``attrs`` is set on row 0.
+def extract_html_runs(pages: DataFrame, batch_cells: int = BATCH_CELLS) -> DataFrame:
+    """Grid rows of every table with more than one row, as runs; ``attrs`` is set on row 0.
 
-    ``table_idx`` is the position of the element in document order.
+    A row has ``width`` columns, of which ``at`` (null: the first ones) hold ``texts`` and the rest are blank, so a row
+    costs what it holds however far its spans reach.  ``table_idx`` is the position of the element in document order.
     """
     return _scan(pages, "table", ["<table"], batch_cells)
 
 
+def extract_html_tables(pages: DataFrame, batch_cells: int = BATCH_CELLS) -> DataFrame:
+    """The same with ``cells``, one text per column, which are laid out where a plan asks for them."""
+    return dense_grid(extract_html_runs(pages, batch_cells))
+
+
+def page_errors(found: DataFrame) -> DataFrame:
+    """``page_id, reason`` of the pages that a scan (:func:`extract_all`) could not read."""
+    return found.where(F.col("kind") == "error").select("page_id", F.get("texts", F.lit(0)).alias("reason"))
+
+
 def extract_code_blocks(pages: DataFrame) -> DataFrame:
     """``page_id, block_idx, text, attrs`` of every pre and code element."""
-    found = _scan(pages, "block", ["<pre", "<code"], BATCH_CELLS)
-    return found.select(
-        "page_id", F.col("table_idx").alias("block_idx"), F.get("cells", F.lit(0)).alias("text"), "attrs"
+    return code_blocks(_scan(pages, "block", ["<pre", "<code"], BATCH_CELLS))
+
+
+def code_blocks(found: DataFrame) -> DataFrame:
+    """The code blocks among the rows of a scan."""
+    return found.where(F.col("kind") == "block").select(
+        "page_id", F.col("table_idx").alias("block_idx"), F.get("texts", F.lit(0)).alias("text"), "attrs"
     )
 
 
 def extract_all(pages: DataFrame) -> DataFrame:
-    """Tables (kind ``html``) and raw blocks (kind ``block``) in one scan of the pages."""
+    """Tables (kind ``html``), raw blocks (``block``) and unreadable pages (``error``) in one scan of the pages."""
     return _scan(pages, "both", ["<table", "<pre", "<code"], BATCH_CELLS)

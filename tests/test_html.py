@@ -2,18 +2,32 @@ import random
 
 from pyspark.sql import functions as F
 
-from gridlake.plans.detect import detect_tables, read_grid, read_tables, write_catalogue
+from conftest import as_tables
+from gridlake.operators.catalogue import table_sizes
+from gridlake.operators.clean import clean_tables
+from gridlake.operators.grid import dense_grid
+from gridlake.operators.types import infer_types
+from gridlake.plans.detect import detect_tables, read_grid, read_tables, scan_pages, tables_of, write_catalogue
 from gridlake.sources.html import (
     extract_code_blocks,
+    extract_html_runs,
     extract_html_tables,
     grid_rows,
+    page_errors,
     read_page,
 )
 
 
 def tables(html):
     page = read_page(html)
-    return [list(grid_rows(page, t)) for t in page.tables]
+    return [[laid_out(*row) for row in grid_rows(page, t)] for t in page.tables]
+
+
+def laid_out(width, at, texts):
+    line = [""] * width
+    for c, text in zip(range(width) if at is None else at, texts):
+        line[c] = text
+    return line
 
 
 def test_plain_and_implied_end_tags():
@@ -150,3 +164,67 @@ def test_detect_write_read(spark, tmp_path):
     assert set(ids) == {("html", 0), ("csv", 0), ("csv", 1), ("markdown", 2)}
     assert ids["markdown", 2] == "markdown_md_2" and ids["html", 0].startswith("html_")
     assert read_grid(spark, str(tmp_path / "cat")).where("kind = 'csv'").count() == 6
+
+
+HUGE = "<table><tr><td colspan=200000000>a<td>b<tr><td> <td rowspan=2>c<td colspan=3> d </table>"
+
+
+def test_huge_spans_stay_runs_until_cells_are_asked_for(spark):
+    rows = [(1, "u", HUGE), (2, "u", "<table><tr><td>x<td>y<tr><td>1</table>")]
+    runs = extract_html_runs(spark.createDataFrame(rows, PAGES))
+    got = {(r.page_id, r.row_idx): (r.width, r["at"], r.texts) for r in runs.collect()}
+    assert got == {
+        (1, 0): (200_000_001, [0, 200_000_000], ["a", "b"]),
+        (1, 1): (200_000_001, [1, 2], ["c", "d"]),
+        (1, 2): (200_000_001, [1], ["c"]),
+        (2, 0): (2, None, ["x", "y"]),
+        (2, 1): (2, None, ["1"]),
+    }
+    tidy = clean_tables(runs)
+    assert {(r.page_id, r.row_idx): r.cells for r in tidy.collect()} == {
+        (1, 0): ["a", "", "", "b"], (1, 1): ["", "c", "d", ""], (1, 2): ["", "c", "", ""],
+        (2, 0): ["x", "y"], (2, 1): ["1", ""],
+    }
+    sizes = {r.page_id: (r.n_rows, r.n_cols, r.filled_cells, r.total_cells) for r in table_sizes(runs).collect()}
+    assert sizes == {1: (3, 200_000_001, 5, 600_000_003), 2: (2, 2, 3, 4)}
+    header = infer_types(runs).where("page_id = 1").collect()
+    assert [(r.col_idx, r.header) for r in header] == []  # no column has both a header text and a body cell
+    wide = dense_grid(runs.where("page_id = 2")).orderBy("row_idx")
+    assert [r.cells for r in wide.collect()] == [["x", "y"], ["1", ""]]
+
+
+def test_runs_lay_out_as_cells(spark):
+    rng = random.Random(8)
+
+    def cell():
+        spans = "".join(f" {n}={rng.randrange(1, 5)}" for n in ("colspan", "rowspan") if rng.random() < 0.3)
+        return f"<td{spans}>{rng.choice(['', 'x', 'y', ' '])}"
+
+    pages = [(i, "u", "<table>" + "".join("<tr>" + "".join(cell() for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(2, 6))) + "</table>") for i in range(150)]
+    df = spark.createDataFrame(pages, PAGES)
+    want = {i: tables(html)[0] for i, _, html in pages}
+    got = as_tables(extract_html_tables(df))
+    assert got == want
+    assert as_tables(clean_tables(extract_html_runs(df))) == as_tables(clean_tables(extract_html_tables(df)))
+
+
+def test_unreadable_pages_give_error_rows(spark):
+    rows = [
+        (1, "u", "<table><tr><td>k<td>v<tr><td>1<td>2</table>"),
+        (2, "u", f"<table><tr><td colspan={'9' * 6000}>a<tr><td>b</table>"),
+        (3, "u", f"<table><tr><td colspan={1 << 62}>a<td colspan={1 << 62}>b<tr><td>c</table>"),
+        (4, "u", "<table><tr><td>k<td>v<tr><td>3<td>4</table>"),
+    ]
+    pages = spark.createDataFrame(rows, PAGES).coalesce(1)
+    found = scan_pages(pages)
+    errors = {r.page_id: r.reason for r in page_errors(found).collect()}
+    assert set(errors) == {2, 3} and all(x.startswith("ValueError: ") for x in errors.values())
+    assert {r.page_id for r in tables_of(found).collect()} == {1, 4}
+    assert {r.page_id for r in extract_html_tables(pages).collect()} == {1, 4}
+
+
+def test_runs_reach_the_catalogue_sizes(spark):
+    found = detect_tables(spark.createDataFrame([(1, "u", HUGE + "<pre>a,b\n1,2</pre>")], PAGES), runs=True)
+    got = {(r.kind, r.row_idx): r.width for r in found.collect()}
+    assert got == {("html", 0): 200_000_001, ("html", 1): 200_000_001, ("html", 2): 200_000_001, ("csv", 0): 2, ("csv", 1): 2}
+    assert {r.kind: r.n_cols for r in table_sizes(found).collect()} == {"html": 200_000_001, "csv": 2}
