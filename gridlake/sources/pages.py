@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let, route, squeeze_out_spaces
+from ..functions.text import route, squeeze_out_spaces
+
 
 def route_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("route", route("url"))
@@ -15,71 +16,62 @@ def _leading_int(text: Column) -> Column:
     return F.regexp_extract(text, r"^([+-]?[0-9]+)", 1).try_cast("bigint")
 
 
-def parse_page_ranges(
+def page_intervals(
     specs: DataFrame, key: str = "spec_id", spec: str = "spec", max_pages: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(pages, errors)`` of texts such as ``"1-3,5"``.
-
-    ``pages`` is (key, page) with 0-based distinct pages; ``errors`` is (key, error).
-    ``max_pages`` refuses specifications that name more pages; their number is worked out on
-    the interval ends, so ``1-999999999999`` is refused without ever being expanded.
-    """
-    cleaned = F.coalesce(squeeze_out_spaces(spec), F.lit(""))
-
-    def interval(p: Column) -> Column:
-        ends = F.split(p, "-")
-        given = F.struct(
-            _leading_int(F.get(ends, F.lit(0))).alias("a"),
-            F.when(F.size(ends) > 1, _leading_int(F.get(ends, F.lit(1)))).alias("b"),
-            (F.size(ends) > 1).alias("dash"),
-        )
-
-        def judge(e: Column) -> Column:
-            b = F.when(e["dash"], e["b"]).otherwise(e["a"])
-            bad = e["a"].isNull() | b.isNull() | (e["a"] < 1) | (b < 1)
-            label = F.when(e["dash"], F.lit("Invalid range: ")).otherwise(F.lit("Invalid page: "))
-            return F.struct(
-                F.least(e["a"], b).alias("lo"),
-                F.greatest(e["a"], b).alias("hi"),
-                F.when(bad, F.concat(label, p)).alias("error"),
-            )
-
-        return let(given, judge)
-
-    zero = F.lit(0).cast("bigint")
+    """``(intervals, errors)`` of texts such as ``"1-3,5"``.
 
-    def cover(acc: Column, x: Column) -> Column:
-        fresh = F.greatest(zero, x["hi"] - F.greatest(acc["end"] + 1, x["lo"]) + 1)
-        return F.struct((acc["n"] + fresh).alias("n"), F.greatest(acc["end"], x["hi"]).alias("end"))
+    ``intervals`` is (key, first, last): the 0-based pages a specification names, as merged intervals that neither
+    touch nor overlap; ``errors`` is (key, error).  Nothing is ever expanded to pages, so ``1-999999999999`` costs
+    one row.  ``max_pages`` refuses specifications that name more pages.
 
-    def summary(intervals: Column) -> Column:
-        bad = F.get(F.filter(intervals, lambda x: x["error"].isNotNull()), F.lit(0))["error"]
-        start = F.struct(zero.alias("n"), zero.alias("end"))
-        n = F.aggregate(F.array_sort(intervals), start, cover)["n"]
-        return F.struct(intervals.alias("iv"), bad.alias("bad"), n.alias("n"))
-
-    def verdict(clean: Column) -> Column:
-        parts = F.filter(F.split(clean, ","), lambda p: p != "")
-
-        def close(s: Column) -> Column:
-            over = F.concat(
-                F.lit(f"More than {max_pages} pages specified ("), s["n"].cast("string"), F.lit(")")
-            )
-            error = (
-                F.when(clean == "", F.lit("Empty input"))
-                .when(s["bad"].isNotNull(), s["bad"])
-                .when(s["n"] > max_pages if max_pages is not None else F.lit(False), over)
-            )
-            pages = F.flatten(F.transform(s["iv"], lambda x: F.sequence(x["lo"] - 1, x["hi"] - 1)))
-            return F.struct(
-                error.alias("error"), F.when(error.isNull(), F.array_distinct(pages)).alias("pages")
-            )
-
-        return let(F.transform(parts, interval), lambda iv: let(summary(iv), close))
-
-    judged = specs.select(F.col(key), let(cleaned, verdict).alias("_v"))
-    errors = judged.select(key, F.col("_v.error").alias("error")).where(F.col("error").isNotNull())
-    return judged.select(key, F.explode("_v.pages").alias("page")), errors
+    One exchange by key: parts are judged, sorted and merged as gaps and islands there.
+    """
+    text = F.coalesce(squeeze_out_spaces(spec), F.lit(""))
+    named = specs.select(F.col(key), text.alias("_text"))
+    parts = F.filter(F.split("_text", ","), lambda p: p != "")
+    named = named.select(key, "_text", F.posexplode_outer(parts).alias("_pos", "_part"))
+    ends = F.split("_part", "-")
+    a = _leading_int(F.get(ends, F.lit(0)))
+    dash = F.size(ends) > 1
+    named = named.select(key, "_text", "_pos", "_part", a.alias("_a"), F.when(dash, _leading_int(F.get(ends, F.lit(1)))).otherwise(a).alias("_b"), dash.alias("_dash"))
+    bad = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_a") < 1) | (F.col("_b") < 1)
+    label = F.when(F.col("_dash"), F.lit("Invalid range: ")).otherwise(F.lit("Invalid page: "))
+    # wide enough for any sum of page numbers
+    number = "decimal(38,0)"
+    named = named.select(
+        key,
+        "_text",
+        "_pos",
+        F.when(F.col("_part").isNotNull() & bad, F.concat(label, "_part")).alias("_bad"),
+        F.least("_a", "_b").cast(number).alias("_lo"),
+        F.greatest("_a", "_b").cast(number).alias("_hi"),
+    )
+    whole = Window.partitionBy(key, "_text")
+    in_order = whole.orderBy("_lo", "_hi", "_pos")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    merged = named.withColumn("_until", F.max("_hi").over(before))
+    start = F.coalesce(F.col("_lo") > F.col("_until") + 1, F.lit(True))
+    fresh = F.greatest(F.lit(0).cast(number), F.col("_hi") - F.greatest(F.coalesce(F.col("_until") + 1, F.col("_lo")), F.col("_lo")) + 1)
+    merged = merged.withColumn("_start", start.cast("int")).withColumn("_fresh", fresh)
+    merged = (
+        merged.withColumn("_island", F.sum("_start").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_n", F.sum("_fresh").over(whole))
+        .withColumn("_first_bad", F.min_by("_bad", F.when(F.col("_bad").isNotNull(), F.col("_pos"))).over(whole))
+    )
+    over = F.concat(F.lit(f"More than {max_pages} pages specified ("), F.col("_n").cast("string"), F.lit(")"))
+    error = F.when(F.col("_text") == "", F.lit("Empty input")).when(F.col("_first_bad").isNotNull(), F.col("_first_bad"))
+    if max_pages is not None:
+        error = error.when(F.col("_n") > max_pages, over)
+    merged = merged.withColumn("error", error)
+    errors = merged.where(F.col("error").isNotNull() & (F.coalesce("_pos", F.lit(0)) == 0)).select(key, "error")
+    intervals = (
+        merged.where(F.col("error").isNull() & F.col("_lo").isNotNull())
+        .groupBy(key, "_text", "_island")
+        .agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
+        .select(key, (F.col("_lo") - 1).cast("bigint").alias("first"), (F.col("_hi") - 1).cast("bigint").alias("last"))
+    )
+    return intervals, errors
 
 
 def select_page_ranges(
@@ -90,6 +82,12 @@ def select_page_ranges(
     spec: str = "spec",
     max_pages: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``pages`` (key, page_no, ...) that their document's specification names."""
-    chosen, errors = parse_page_ranges(specs, key, spec, max_pages)
-    return pages.join(chosen.withColumnRenamed("page", page_no), [key, page_no], "left_semi"), errors
+    """Rows of ``pages`` (key, page_no, ...) that their document's specification names.
+
+    A page meets the intervals of its own document only; those are as many as its specification has parts at most.  A
+    document with a large share of all pages is split by Spark's skew join.
+    """
+    chosen, errors = page_intervals(specs, key, spec, max_pages)
+    chosen = chosen.withColumnsRenamed({key: "_key", "first": "_first", "last": "_last"})
+    inside = (F.col(key) == F.col("_key")) & F.col(page_no).between(F.col("_first"), F.col("_last"))
+    return pages.join(chosen, inside, "left_semi"), errors

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions.classes import is_money
 from ..functions.dates import next_reset, parse_date
 from ..functions.numbers import format_number, parse_number
 from ..functions.text import js_trim, site_name
-from ..operators import charts, export, filters, retention, sorting, stats, usage
+from ..operators import charts, export, filters, retention, search, sidecar, sorting, stats, usage
 from ..operators.catalogue import (
     fingerprints,
     get_table,
@@ -40,10 +41,11 @@ from ..operators.types import (
 )
 from ..plans.detect import detect_tables, read_grid, read_tables, write_catalogue
 from ..plans.staging import stage, staging_root
+from ..plans.saved_views import AppliedViews, apply_saved_views
 from ..plans.view import ViewSpec, apply_view, wide_fingerprint
-from ..sources.html import extract_code_blocks, extract_html_tables
+from ..sources.html import extract_code_blocks, extract_html_runs, extract_html_tables
 from ..sources.json_tables import normalize_table_json, table_json_errors
-from ..sources.pages import parse_page_ranges, route_pages, select_page_ranges
+from ..sources.pages import page_intervals, route_pages, select_page_ranges
 from ..sources.render import csv_text, escape_html, html_page, html_row, markdown_text
 from ..sources.text_tables import (
     extract_block_tables,
@@ -219,6 +221,24 @@ def table_search_rows(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id")
 
 
+def _folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared staging area."""
+    return f"{staging_root(spark)}/gridlake/{label}-{uuid.uuid4().hex}"
+
+
+@query
+def table_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Three queries over the stored trigram index: in a row, across a row end, too short for a trigram."""
+    grid, path = _sheet_grid(spark, sf), _folder(spark, "index")
+    search.write_search_index(grid, path)
+    tables = stage(list_tables(grid), "tables")
+    found = [
+        search.search_index(spark, path, tables, q).select(F.lit(name).alias("query"), "page_id")
+        for name, q in (("row", " Building "), ("rows", "household \n 1"), ("short", "9 "))
+    ]
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 def _some_unseen() -> Column:
     """The customer of an order; odd orders name customers that no table has."""
     shift = F.when(F.col("o_orderkey") % 2 == 1, F.lit(10_000_000)).otherwise(F.lit(0))
@@ -359,9 +379,24 @@ def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return chosen.select("spec_id", "page", "l_partkey", "l_quantity")
 
 
+@query
+def page_ranges_unlimited(spark: SparkSession, sf: str) -> DataFrame:
+    """Specifications of ten thousand million pages, without a limit."""
+    pages = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("spec_id"), (F.col("l_linenumber") - 1).cast("bigint").alias("page"), "l_partkey"
+    )
+    chosen, _ = select_page_ranges(pages, _range_specs(spark, sf))
+    return chosen
+
+
+@query
+def page_range_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return page_intervals(_range_specs(spark, sf))[0]
+
+
 @query
 def page_range_errors(spark: SparkSession, sf: str) -> DataFrame:
-    _, errors = parse_page_ranges(_range_specs(spark, sf), max_pages=20)
+    _, errors = page_intervals(_range_specs(spark, sf), max_pages=20)
     return errors
 
 
@@ -384,9 +419,7 @@ def site_names(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def catalogue_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Detect, store by kind, read back, and count rows per table through the catalogue."""
-    import uuid
-
-    path = f"{staging_root(spark)}/gridlake/catalogue-{uuid.uuid4().hex}"
+    path = _folder(spark, "catalogue")
     write_catalogue(detect_tables(_block_pages(spark, sf)), path)
     sizes = read_grid(spark, path).groupBy("page_id", "kind", "table_idx").agg(F.count("*").alias("stored_rows"))
     return (
@@ -630,6 +663,19 @@ def filter_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return filters.filter_grid(grid, spec, {1: ","}).select("page_id", "row_idx", _line())
 
 
+@query
+def filter_sidecar(spark: SparkSession, sf: str) -> DataFrame:
+    """The filters of ``filter_corpus`` and a date range, with ranges read from stored parsed values."""
+    grid, path = _order_grid(spark, sf), _folder(spark, "sidecar")
+    sidecar.write_sidecar(grid, infer_types(grid), path)
+    spec = {
+        1: {"type": "numeric", "min": "250000"},
+        2: {"type": "date", "from": "1996-01-01"},
+        4: {"type": "categorical", "selected": ["3-MEDIUM", "1-URGENT"]},
+    }
+    return sidecar.filter_with_sidecar(grid, path, spec).select("page_id", "row_idx", _line())
+
+
 @query
 def distinct_column_values(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "part").select(
@@ -840,6 +886,38 @@ def _spec() -> ViewSpec:
     )
 
 
+#: what readers saved, by page: two filters and a sort, a date range, a sort alone
+SAVED_STATES = (
+    '{"fingerprint": "@", "types": {"Total": "money", "Priority": "categorical"}, "formats": {"Total": {"thousand": ".", "decimal": ","}}, '
+    '"filters": {"Total": {"type": "numeric", "min": "250000"}, "Buyer": {"type": "numeric", "min": " "}, '
+    '"Priority": {"type": "categorical", "selected": ["3-MEDIUM", "1-URGENT"]}}, '
+    '"sort": {"column": "Total", "direction": "desc"}, "stats": {"Total": "max"}}',
+    '{"fingerprint": "@", "types": {"Date": "date"}, "filters": {"Date": {"type": "date", "from": "1996-01-01", "to": "1998-12-31"}}, '
+    '"sort": {"column": "Date", "direction": "none"}, "stats": {"Date": "earliest"}}',
+    '{"fingerprint": "@", "types": {"Priority": "categorical"}, "sort": {"column": "Priority", "direction": "asc"}, "stats": {"Priority": "unique"}}',
+)
+
+
+def _applied(spark: SparkSession, sf: str) -> AppliedViews:
+    """A saved view for every order book, kept with the fingerprint of its table."""
+    grid = _order_grid(spark, sf)
+    marks = stage(fingerprints(grid), "marks")
+    states = F.array(*(F.lit(x) for x in SAVED_STATES))
+    state = F.replace(F.get(states, (F.col("page_id") % 3).cast("int")), F.lit("@"), F.col("fingerprint"))
+    saved = marks.select(F.concat(F.lit("v"), text("page_id")).alias("view_id"), state.alias("state"))
+    return apply_saved_views(grid, saved)
+
+
+@query
+def saved_view_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _applied(spark, sf).positioned().select("view_id", "page_id", "row_idx", "pos")
+
+
+@query
+def saved_view_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _applied(spark, sf).stats().select("view_id", "page_id", "header", "stat", "num_value", "date_value")
+
+
 @query
 def apply_view_rows(spark: SparkSession, sf: str) -> DataFrame:
     view = apply_view(_orders_wide(spark, sf), ViewSpec.from_json(_spec().to_json()))
@@ -948,6 +1026,20 @@ def html_wide_span(spark: SparkSession, sf: str) -> DataFrame:
     return extract_html_tables(pages).select("page_id", "row_idx", F.size("cells").cast("bigint").alias("n_cells"))
 
 
+@query
+def html_huge_span(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of two hundred million columns, of which cleaning leaves those that hold text."""
+    k = F.col("s_suppkey")
+    html = F.concat(
+        F.lit("<table><tr><td colspan="), (k % 7 + 200_000_000).cast("string"), F.lit(">a</td><td>b</td></tr><tr><td></td><td>"),
+        k.cast("string"), F.lit("</td></tr></table>"),
+    )
+    pages = table(spark, sf, "supplier").select(k.alias("page_id"), F.lit("https://a.example.com/").alias("url"), html.alias("html"))
+    runs = stage(extract_html_runs(pages), "runs")
+    widths = runs.where("row_idx = 0").select("page_id", "width")
+    return clean_tables(runs).join(widths, "page_id").select("page_id", "row_idx", "width", _line())
+
+
 @query
 def view_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return wide_fingerprint(_orders_wide(spark, sf), ORDER_HEADER)

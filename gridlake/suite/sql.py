@@ -259,6 +259,12 @@ WITH {CUST},
 blob AS (SELECT page_id, lower(string_agg(c0 || ' ' || c1 || ' ' || c2 || ' ' || c3, ' ' || chr(10) || ' ' ORDER BY row_idx)) AS t
   FROM sheet GROUP BY 1)
 SELECT page_id FROM blob WHERE contains(t, 'household ' || chr(10) || ' 1')""",
+    "table_search_indexed": f"""
+WITH {CUST},
+blob AS (SELECT page_id, lower(string_agg(c0 || ' ' || c1 || ' ' || c2 || ' ' || c3, ' ' || chr(10) || ' ' ORDER BY row_idx)) AS t
+  FROM sheet GROUP BY 1)
+SELECT q AS query, page_id FROM blob, (VALUES ('row', 'building'), ('rows', 'household ' || chr(10) || ' 1'), ('short', '9')) x(q, s)
+WHERE contains(t, s)""",
     "merge_table_lists": """
 WITH e AS (SELECT 't' || c_custkey AS table_id, 'kept' AS origin, c_custkey AS position FROM customer),
 i AS (SELECT 't' || (o_custkey + CASE WHEN o_orderkey % 2 = 1 THEN 10000000 ELSE 0 END) AS table_id, o_orderkey FROM orders)
@@ -288,6 +294,18 @@ FROM sheet WHERE page_id % 5 <> 4""",
 WITH {RANGE_SPECS}
 SELECT k AS spec_id, l_linenumber - 1 AS page, l_partkey, l_quantity FROM lineitem JOIN specs ON l_orderkey = k
 WHERE error IS NULL AND (l_linenumber BETWEEN least(a, b) AND greatest(a, b) OR l_linenumber IN (1, c))""",
+    "page_ranges_unlimited": f"""
+WITH {RANGE_SPECS}
+SELECT k AS spec_id, l_linenumber - 1 AS page, l_partkey FROM lineitem JOIN specs ON l_orderkey = k
+WHERE (error IS NULL AND (l_linenumber BETWEEN least(a, b) AND greatest(a, b) OR l_linenumber IN (1, c)))
+  OR (error LIKE 'More%' AND l_linenumber >= 3)""",
+    "page_range_intervals": f"""
+WITH {RANGE_SPECS},
+named AS (SELECT DISTINCT * FROM (SELECT k, unnest([least(a, b), 1, c]) AS lo, unnest([greatest(a, b), 1, c]) AS hi FROM specs WHERE error IS NULL)),
+starts AS (SELECT *, coalesce(lo > 1 + max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE)::INT AS s FROM named),
+islands AS (SELECT *, sum(s) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS i FROM starts)
+SELECT k AS spec_id, min(lo) - 1 AS first, max(hi) - 1 AS last FROM islands GROUP BY k, i
+UNION ALL SELECT k, 2, 10000000000 + k % 9 - 1 FROM specs WHERE error LIKE 'More%'""",
     "page_range_errors": f"WITH {RANGE_SPECS} SELECT k AS spec_id, error FROM specs WHERE error IS NOT NULL",
     "page_route": """
 SELECT page_id, CASE WHEN page_id % 4 = 0 OR contains(url, '.pdf') THEN 'pdf' ELSE 'web' END AS route FROM pages""",
@@ -390,6 +408,11 @@ WITH {OW}
 SELECT DISTINCT page_id, 0 AS row_idx, 'Order|Total|Date|Level|Priority|Buyer|Share' AS line FROM ow
 UNION ALL SELECT page_id, r, "Order" || '|' || "Total" || '|' || "Date" || '|' || "Level" || '|' || "Priority" || '|' || "Buyer" || '|' || "Share"
 FROM ow WHERE total0 >= 250000 AND "Priority" IN ('3-MEDIUM', '1-URGENT')""",
+    "filter_sidecar": f"""
+WITH {OW}
+SELECT DISTINCT page_id, 0 AS row_idx, 'Order|Total|Date|Level|Priority|Buyer|Share' AS line FROM ow
+UNION ALL SELECT page_id, r, "Order" || '|' || "Total" || '|' || "Date" || '|' || "Level" || '|' || "Priority" || '|' || "Buyer" || '|' || "Share"
+FROM ow WHERE total0 >= 250000 AND day >= DATE '1996-01-01' AND "Priority" IN ('3-MEDIUM', '1-URGENT')""",
     "distinct_column_values": "SELECT DISTINCT p_name AS value FROM part",
     "stats_numeric": f"""
 WITH {OW}, long AS ({_long(_numeric("Total", "price", "ok % 13 <> 0") + _numeric("Share", "share0") + _numeric("Buyer", "buyer0"), "ow", "page_id")})
@@ -516,6 +539,25 @@ UNION ALL SELECT r, concat_ws('|', {", ".join(f'"{c}"' for c in VIEW_COLUMNS)})
     "html_wide_span": """
 SELECT s_suppkey AS page_id, x.i AS row_idx, s_suppkey % 7 * 300 + 2 AS n_cells
 FROM supplier, (VALUES (0), (1)) x(i)""",
+    "html_huge_span": """
+SELECT s_suppkey AS page_id, x.i AS row_idx, 200000001 + s_suppkey % 7 AS width,
+  CASE WHEN x.i = 0 THEN 'a||b' ELSE '|' || s_suppkey || '|' END AS line
+FROM supplier, (VALUES (0), (1)) x(i)""",
+    "saved_view_rows": f"""
+WITH {OW}
+SELECT 'v' || page_id AS view_id, page_id, r AS row_idx, row_number() OVER (PARTITION BY page_id ORDER BY total0 DESC, r) AS pos
+FROM ow WHERE page_id % 3 = 0 AND total0 >= 250000 AND "Priority" IN ('3-MEDIUM', '1-URGENT')
+UNION ALL SELECT 'v' || page_id, page_id, r, row_number() OVER (PARTITION BY page_id ORDER BY r)
+FROM ow WHERE page_id % 3 = 1 AND day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
+UNION ALL SELECT 'v' || page_id, page_id, r, row_number() OVER (PARTITION BY page_id ORDER BY "Priority", r)
+FROM ow WHERE page_id % 3 = 2""",
+    "saved_view_stats": f"""
+WITH {OW}
+SELECT 'v' || page_id AS view_id, page_id, 'Total' AS header, 'max' AS stat, max(price)::DOUBLE AS num_value, NULL::DATE AS date_value
+FROM ow WHERE page_id % 3 = 0 AND total0 >= 250000 AND "Priority" IN ('3-MEDIUM', '1-URGENT') GROUP BY page_id
+UNION ALL SELECT 'v' || page_id, page_id, 'Date', 'earliest', NULL, min(day)
+FROM ow WHERE page_id % 3 = 1 AND day BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' GROUP BY page_id
+UNION ALL SELECT 'v' || page_id, page_id, 'Priority', 'unique', count(DISTINCT "Priority"), NULL FROM ow WHERE page_id % 3 = 2 GROUP BY page_id""",
     "view_fingerprint": f"""
 WITH {OW} SELECT 'Order|Total|Date|Level|Priority|Buyer|Share_' || (SELECT count(*) FROM ow) || 'x7_' ||
   replace("Order" || '|' || "Total" || '|' || "Date", ' ', '') AS fingerprint FROM ow WHERE row_idx = 1""",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_tables
 from gridlake.sources.json_tables import normalize_table_json
-from gridlake.sources.pages import parse_page_ranges, select_page_ranges
+from gridlake.sources.pages import page_intervals, select_page_ranges
 from gridlake.sources.text_tables import (
     csv_rows,
     extract_block_tables,
@@ -141,10 +141,10 @@ RANGES = {
 
 def test_page_ranges(spark):
     specs = spark.createDataFrame(list(enumerate(RANGES)), "spec_id int, spec string")
-    pages, errors = parse_page_ranges(specs, max_pages=20)
+    intervals, errors = page_intervals(specs, max_pages=20)
     got = {i: [] for i in range(len(RANGES))}
-    for r in pages.collect():
-        got[r.spec_id].append(r.page)
+    for r in intervals.collect():
+        got[r.spec_id] += range(r["first"], r["last"] + 1)
     for r in errors.collect():
         assert got[r.spec_id] == []
         got[r.spec_id] = r.error
@@ -161,6 +161,21 @@ def test_select_pages(spark):
 @pytest.mark.parametrize("limit", [1, 3])
 def test_page_limit_is_a_parameter(spark, limit):
     specs = spark.createDataFrame([(1, "1-2"), (2, "1")], "spec_id int, spec string")
-    pages, errors = parse_page_ranges(specs, max_pages=limit)
+    intervals, errors = page_intervals(specs, max_pages=limit)
     assert errors.count() == (1 if limit == 1 else 0)
-    assert pages.count() == (1 if limit == 1 else 3)
+    assert sorted(map(tuple, intervals.collect())) == ([(2, 0, 0)] if limit == 1 else [(1, 0, 1), (2, 0, 0)])
+
+
+def test_page_intervals_are_merged_and_never_expanded(spark):
+    texts = ["1-999999999999", "5,1-3,4,10-8,9223372036854775807,2-9", "9223372036854775806-9223372036854775807,1", "3,3,3"]
+    specs = spark.createDataFrame(list(enumerate(texts)), "spec_id int, spec string")
+    intervals, errors = page_intervals(specs)
+    assert errors.isEmpty() and "sequence" not in intervals._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, intervals.collect())) == [
+        (0, 0, 999_999_999_998), (1, 0, 9), (1, 2**63 - 2, 2**63 - 2), (2, 0, 0), (2, 2**63 - 3, 2**63 - 2), (3, 2, 2)
+    ]
+    pages = spark.createDataFrame([(0, 7), (0, 999_999_999_999), (1, 9), (1, 10), (3, 2), (4, 0), (None, 0)], "spec_id int, page long")
+    chosen, _ = select_page_ranges(pages, specs)
+    assert sorted(map(tuple, chosen.collect())) == [(0, 7), (1, 9), (3, 2)]
+    _, refused = page_intervals(specs, max_pages=20)
+    assert {r.spec_id: r.error for r in refused.collect()}[0] == "More than 20 pages specified (999999999999)"
