@@ -38,12 +38,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 CHUNK = 1 << 20
 #: words whose ids a Python worker remembers, in two generations
 WORDS = 600_000
+#: new words encoded in one call
+TOGETHER = 512
 #: penalties in ids of padding: a cut at a sentence end, a cut elsewhere, one more sequence
 SENTENCE, INSIDE, SEQUENCE = 16, 96, 8
 #: stretches without a sentence end get a cut at every so many ids
 STEP = 512
 #: a single comma or stop after a letter or digit, before white space or the end
-MARK = re.compile(rb"(?<=[A-Za-z0-9])[,.](?=[ \n]|\Z)")
+MARK = re.compile(rb"[,.](?<=[A-Za-z0-9].)(?=[ \n]|\Z)")
 SENTENCE_ENDS = (".", "!", "?", "…", "。")
 
 SCHEMA = (
@@ -63,13 +65,52 @@ def _tokenizer(source: str):
         pattern, special = special_strings(source)
         vocab = tok.get_vocab(with_added_tokens=True)
         ends = np.zeros(max(vocab.values()) + 1, bool)
+        last = np.zeros(len(ends), bool)
         for piece, i in vocab.items():
             ends[i] = piece.removesuffix("</w>").endswith(SENTENCE_ENDS)
+            last[i] = piece.endswith("</w>")
+        between = Tokenizer.from_str(source)  # reads the special strings that keep words apart
         memo.clear()
-        memo.update(source=source, tok=tok, ends=ends, pattern=pattern, special=special, words={}, older={})
+        memo.update(source=source, tok=tok, between=between, ends=ends, last=last, pattern=pattern, special=special, words={}, older={})
     return memo
 
 
+def encode_apart(memo: dict, words: list[bytes]) -> list[bytes]:
+    """Little-endian ids of each word, ``TOGETHER`` words encoded in one call.
+
+    Words of letters alone are one piece each, so the ids that end a piece tell them apart.  Others are kept apart by a
+    special string between them.
+    """
+    letters = [x for x in map(bytes.decode, words) if x.isalpha() and x.lower().isalpha()]
+    known = dict(_in_turn(memo, letters, " ", memo["last"]))
+    rest = [x for x in map(bytes.decode, words) if x not in known]
+    mark = next(iter(memo["special"]), b"")[1:]
+    plain = [x for x in rest if mark and not memo["pattern"].search(x.encode())]
+    only_mark = np.zeros(len(memo["last"]), bool)
+    if mark:
+        only_mark[np.frombuffer(memo["special"][b" " + mark], "<u4")] = True
+    known.update(_in_turn(memo, plain, mark.decode(), only_mark))
+    odd = [x for x in rest if x not in known]  # words that look like a special string, once in lower case
+    for x, c in zip(odd, memo["tok"].encode_batch_fast(odd, add_special_tokens=False)):
+        known[x] = struct.pack(f"<{len(c.ids)}I", *c.ids)
+    return [known[w.decode()] for w in words]
+
+
+def _in_turn(memo: dict, words: list[str], between: str, ends: np.ndarray) -> Iterator[tuple[str, bytes]]:
+    """Words with their ids, from calls on many joined by ``between``; ``ends`` marks the ids that end one, of it or after it."""
+    for i in range(0, len(words), TOGETHER):
+        some = words[i : i + TOGETHER]
+        coded = memo["between"].encode_batch_fast([between.join(some)], add_special_tokens=False)[0]
+        ids = np.array(coded.ids, "<u4")
+        after = 0 if between == " " else 4  # the string between words has an id of its own
+        stops = np.flatnonzero(ends[ids])
+        if not after:
+            stops = stops[:-1] + 1
+        if len(stops) + 1 == len(some):
+            cuts, data = (stops * 4).tolist(), ids.tobytes()
+            yield from zip(some, (data[a:b] for a, b in zip([0, *(c + after for c in cuts)], [*cuts, len(data)])))
+
+
 def special_strings(source: str) -> tuple[re.Pattern | None, dict[bytes, bytes]]:
     """A pattern of the tokenizer's special strings, and the ids of their parts (see ``split_words``)."""
     added = json.loads(source).get("added_tokens") or []
@@ -109,11 +150,7 @@ def encode_words(memo: dict, documents: list[list[bytes]]) -> list[bytes]:
                 known[w] = older[w]
             else:
                 new.append(w)
-    for i in range(0, len(new), 20_000):
-        part = new[i : i + 20_000]
-        coded = memo["tok"].encode_batch([w.decode() for w in part], add_special_tokens=False)
-        for w, c in zip(part, coded):
-            known[w] = struct.pack(f"<{len(c.ids)}I", *c.ids)
+    known.update(zip(new, encode_apart(memo, new)))
     return [b"".join(map(known.__getitem__, words)) for words in documents]
 
 

@@ -99,7 +99,6 @@ def check_packing(rows, expected, most=4096):
 
 def test_packing_keeps_every_id(awkward):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     docs = awkward.dropDuplicates(["doc_id"]).where("doc_id IS NOT NULL")
     expected = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
     rows = packing.pack_documents(docs, WORDS).collect()
@@ -163,3 +162,19 @@ def test_empty_text_digest(spark):
     for r in bpe.encode_documents(docs, RANKS, tokenizers.PATTERN).collect():
         assert (r.n_tokens, r.ids, bytes(r.decoded)) == (0, "", b"")
         assert hashlib.sha256(bytes(r.decoded)).hexdigest().startswith("e3b0c442")
+
+
+def test_packing_codes_random_words_as_the_library():
+    import random
+
+    rng = random.Random(4)
+    tok = Tokenizer.from_file(WORDS)
+    memo = packing._tokenizer(open(WORDS, encoding="utf-8").read())
+    alphabet = "abzABZéÉßİıǅ日한가0٣²Ⅷ'.,-_#<|>\u0301\u200d🙂\xa0\x85\x1c\u3000 \n"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 40))) for _ in range(4000)]
+    texts += ["<|ENDOFTEXT|>", "a<|Endoftext|>b", "don't I'll x's", "İstanbul", "\u1100\u1161", "." * 3000, "é" * 3000]
+    for i in range(0, len(texts), 500):
+        some = texts[i : i + 500]
+        got = packing.encode_words(memo, [packing.split_words(t.encode(), memo["pattern"]) for t in some])
+        for t, data in zip(some, got):
+            assert np.frombuffer(data, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, ascii(t)
