@@ -6,7 +6,8 @@ with its rank.  New pieces of a batch become token-position rows; a recursive qu
 neighbours with the merge table and contracts the leftmost pair of least rank of every
 piece until none is left; a piece that is a token skips the query.  Pieces repeat, so the ids of
 recent units are remembered, ``UNITS`` per worker at most.  Decoding starts from the ids of each
-document as they are returned: it looks all of them up in the vocabulary and joins the bytes in order.
+document as they are returned: their token-position rows join the vocabulary, and an ordered aggregate
+per document puts the bytes together.
 
 Defined results: null and empty texts have no tokens and decode to nothing; ties take the
 leftmost pair; long pieces contract all places of the least pair at once where that cannot
@@ -30,8 +31,10 @@ from .arrow import process_memo, slices, texts
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: units (a space and what follows it) a worker remembers, in two generations
-UNITS = 800_000
+#: units (a space and what follows it, cut before punctuation after a letter) a worker remembers, in two generations
+UNITS = 1_200_000
+#: a mark after one of these letters starts a piece in any case
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!\"#$%&()*+,./:;<=>?@\[\\\]^`{|}~\-"
 #: pieces of more bytes than this contract many places in one round
 LONG = 48
 #: pieces handed to one recursive query
@@ -84,6 +87,11 @@ WITH RECURSIVE state(w, p, t, live) AS (
 SELECT w, p, t FROM state WHERE NOT live
 """
 
+#: bytes travel as the characters of the same numbers
+DECODE = """
+SELECT d, string_agg(v.bytes, '' ORDER BY p) AS decoded FROM ids JOIN vocabulary v USING (t) GROUP BY d
+"""
+
 IDS = "SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids FROM coded GROUP BY w"
 
 
@@ -112,18 +120,27 @@ class _Coder:
 
         white = pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
         self.pieces = regex.compile(white).findall
-        self.units = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        rest = f"[^{WHITE}{MARKS}]*+(?:(?<![{LETTERS}])[{MARKS}][^{WHITE}{MARKS}]*+)*+"
+        # a tokenizer whose pattern runs on from letters into marks gets units cut at white space only
+        marked = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'_")
+        if any(regex.match(white, f"{before}{c}{after}").end() > len(before) for c in marked for before in ("ab", " é") for after in ("", "x", c)):
+            rest = f"[^{WHITE}]*+"
+        self.units = re.compile(f" ?[^{WHITE}]{rest}|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        word = regex.compile(white)
+        self.whole = all(word.fullmatch(f"{a}{b}") for a in ("", " ") for b in ("a", "aZ", "éß", "ab日"))
         self.ranks = ranks
-        self.tokens = {b"%d" % rank: token for token, rank in ranks.items()}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "150MB"})
+        # nothing goes to a machine's own disk
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
         a, b, r, many = zip(*merge_rows(ranks))
         int32 = pa.int32()
         merges = pa.table({"a": pa.array(a, int32), "b": pa.array(b, int32), "r": pa.array(r, int32), "many": pa.array(many)})
-        self.db.register("incoming", merges)
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM incoming")
-        self.db.unregister("incoming")
+        vocabulary = pa.table({"t": pa.array(ranks.values(), int32), "bytes": pa.array([k.decode("latin-1") for k in ranks])})
+        for name, table in (("merges", merges), ("vocabulary", vocabulary)):
+            self.db.register("incoming", table)
+            self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM incoming")
+            self.db.unregister("incoming")
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
 
     def _rows(self, query: str, pieces: list[tuple[int, bytes]]) -> pa.Table:
@@ -137,7 +154,7 @@ class _Coder:
             }
         )
         self.db.register("start_rows", table)
-        return self.db.execute(query).to_arrow_table()
+        return self.db.sql(query).to_arrow_table()
 
     def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece, joined by commas."""
@@ -156,20 +173,29 @@ class _Coder:
         if not coded:
             return out
         self.db.register("coded", pa.concat_tables(coded))
-        got = self.db.execute(IDS).to_arrow_table()
+        got = self.db.sql(IDS).to_arrow_table()
         for w, ids in zip(*(got.column(c).to_pylist() for c in ("w", "ids"))):
             out[w] = ids.encode()
         return out
 
-    def decode(self, line: bytes) -> bytes:
-        """The bytes of ids joined by commas, in their order."""
-        return b"".join(map(self.tokens.__getitem__, line.split(b","))) if line else b""
+    def decode(self, lines: list[bytes], counts: list[int]) -> list[bytes]:
+        """The bytes of each document's ids, given joined by commas."""
+        n = np.array(counts, np.int64)
+        ids = np.fromstring(b",".join(x for x in lines if x), np.int32, sep=",") if n.sum() else np.zeros(0, np.int32)
+        documents = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        self.db.register("ids", pa.table({"d": documents, "p": np.arange(len(ids), dtype=np.int32), "t": ids}))
+        got = self.db.sql(DECODE).to_arrow_table()
+        self.db.unregister("ids")
+        out = [b""] * len(n)
+        for d, decoded in zip(got.column("d").to_pylist(), got.column("decoded").to_pylist()):
+            out[d] = decoded.encode("latin-1")
+        return out
 
     def learn(self, units: set[str]) -> None:
         if len(self.known) > UNITS // 2:
             self.older, self.known = self.known, {}
         new = [u for u in units if not self._remembered(u)]
-        split = [self.pieces(u) for u in new]
+        split = [[u] if self.whole and u[u[0] == " " :].isalpha() else self.pieces(u) for u in new]
         order = [p for p in {p: None for parts in split for p in parts} if not self._remembered(p)]
         self.known.update(zip(order, self.encode_pieces([p.encode() for p in order])))
         for unit, parts in zip(new, split):
@@ -199,13 +225,10 @@ def _encoder(rank_file: bytes, pattern: str, batch_bytes: int):
         for batch in slices(batches, 1, batch_bytes):
             found = [coder.units(t) for t in texts(batch.column(1))]
             coder.learn(set().union(*found))
-            counts, ids, decoded = [], [], []
-            for units in found:
-                line = b",".join([coder.known[u] for u in units])
-                counts.append(line.count(b",") + 1 if line else 0)
-                ids.append(line)
-                decoded.append(coder.decode(line))
+            ids = [b",".join(map(coder.known.__getitem__, units)) for units in found]
+            counts = [line.count(b",") + 1 if line else 0 for line in ids]
             del found
+            decoded = coder.decode(ids, counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.binary()).cast(pa.string()), pa.array(decoded, pa.binary())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
