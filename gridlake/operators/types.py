@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -113,14 +114,10 @@ def _headers(grid: DataFrame) -> DataFrame:
     return names.select(*KEY, "col_idx", F.coalesce("value", F.lit("")).alias("header"))
 
 
-def infer_types(
-    grid: DataFrame, overrides: DataFrame | None = None, sample_rows: int | None = None
-) -> DataFrame:
-    """``profile``: one row per column of every table with at least one body row.
-
-    Number formats are read from all rows, or from the first ``sample_rows`` if asked for.
+def column_evidence(grid: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """What types and formats are decided from: counts and extremes by column, which add up over parts of a table.
 
-    ``overrides`` pins columns: KEY, col_idx, type, thousand, decimal (null = keep).
+    ``KEY, col_idx``, the header where the part holds the header row, the counts, and ``last_row``.
     """
     row = F.col("row_idx")
     measures = _measures(F.col("_v"), F.col("_cls"), row, sample_rows)
@@ -131,14 +128,48 @@ def infer_types(
         .groupBy(*KEY, "col_idx")
         .agg(F.max(row).alias("last_row"), *[m.alias(name) for name, m in measures.items()])
     )
+    counts = [c for c in stats.columns if c not in (*KEY, "col_idx")]
+    bare = _headers(grid).select(
+        *KEY, "col_idx", "header", *(F.lit(None).cast(stats.schema[c].dataType).alias(c) for c in counts)
+    )
+    body = stats.select(*KEY, "col_idx", F.lit(None).cast("string").alias("header"), *counts)
+    return merge_evidence(bare, body)
+
+
+def merge_evidence(*parts: DataFrame) -> DataFrame:
+    """The evidence of all parts together: counts add, extremes stay; the order of parts does not matter."""
+    every = reduce(DataFrame.unionByName, parts)
+    merged = []
+    for c in every.columns:
+        if c not in (*KEY, "col_idx"):
+            add = F.min if c in ("odd_lo", "header") else F.max if c in ("odd_hi", "last_row") else F.sum
+            merged.append(add(c).alias(c))
+    return every.groupBy(*KEY, "col_idx").agg(*merged)
+
+
+def decide_profile(evidence: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """``profile`` of every column with a header and at least one body row; ``overrides`` as in :func:`infer_types`."""
     profile = (
-        join_null_safe(_headers(grid), stats, [*KEY, "col_idx"]).withColumn("type", _decide_type())
+        evidence.where(F.col("header").isNotNull() & F.col("last_row").isNotNull())
+        .withColumn("type", _decide_type())
         .withColumn("fmt", _decide_format(F.col("type")))
         .select(*KEY, "col_idx", "header", "type", "fmt", "n_values", "last_row")
     )
     return _pin(profile, overrides, [*KEY, "col_idx"]) if overrides is not None else profile
 
 
+def infer_types(
+    grid: DataFrame, overrides: DataFrame | None = None, sample_rows: int | None = None
+) -> DataFrame:
+    """``profile``: one row per column of every table with at least one body row.
+
+    Number formats are read from all rows, or from the first ``sample_rows`` if asked for.
+
+    ``overrides`` pins columns: KEY, col_idx, type, thousand, decimal (null = keep).
+    """
+    return decide_profile(column_evidence(grid, sample_rows), overrides)
+
+
 def attach_profile(grid: DataFrame, profile: DataFrame) -> DataFrame:
     """Body rows with ``cols``: per column header, type and decimal separator.
 

@@ -13,8 +13,18 @@ _TABLE = (
 )
 
 
+#: all up to the next number that stands outside quotes, and that number; possessive, so no text is read twice
+_NEXT_NUMBER = r'\G((?:[^"0-9-]++|"(?:[^"\\]++|\\.)*+")*+)(-?[0-9][0-9.eE+-]*+)'
+
+
+def numbers_as_texts(text: Column) -> Column:
+    """The same JSON with every number in quotes, so that its digits stay as they were written."""
+    return F.regexp_replace(text, _NEXT_NUMBER, '$1"$2"')
+
+
 def _elements(text: Column) -> Column:
     """The tables of an answer as raw JSON texts, so that one odd element spoils no other; else null."""
+    text = numbers_as_texts(text)
     as_array = F.from_json(text, "array<string>")
     as_object = F.from_json(text, "struct<tables: array<string>>")
     return F.when(F.ltrim(text).startswith("["), as_array).otherwise(as_object["tables"])

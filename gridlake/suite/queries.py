@@ -33,8 +33,11 @@ from ..operators.clean import (
 from ..operators.grid import number_rows
 from ..operators.types import (
     ColumnProfile,
+    column_evidence,
+    decide_profile,
     detect_column_types,
     infer_types,
+    merge_evidence,
     profile_wide,
     typed_cells,
     typed_rows,
@@ -367,6 +370,18 @@ def _range_specs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(k.alias("spec_id"), spec.alias("spec"))
 
 
+@query
+def json_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells that are JSON numbers keep the digits they were written with, also beside texts that look like JSON."""
+    k = text("o_orderkey")
+    answer = F.concat(
+        F.lit('[{"rows":[["n", "t"],['), k, F.lit('.50,"a, -5.0]: \\"7.10\\""],[-'), k, F.lit('e+03 , "x"],[0.'), k,
+        F.lit('0, true]],"page":2.0,"table_index":'), k, F.lit("}]"),
+    )
+    answers = table(spark, sf, "orders").select(F.col("o_orderkey").alias("page_id"), answer.alias("json"))
+    return normalize_table_json(answers).select("page_id", "service_page", "service_index", "row_idx", _line())
+
+
 @query
 def page_ranges(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "lineitem").select(
@@ -503,6 +518,15 @@ def infer_types_corpus(spark: SparkSession, sf: str) -> DataFrame:
     return infer_types(_order_grid(spark, sf)).select("page_id", "col_idx", "header", "type", "n_values")
 
 
+@query
+def merged_profiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Types from the evidence of two halves of every table, stored apart and merged."""
+    grid = _order_grid(spark, sf)
+    halves = [stage(column_evidence(grid.where((F.col("row_idx") == 0) | (F.col("row_idx") % 2 == i))), "half") for i in (0, 1)]
+    profile = decide_profile(merge_evidence(*halves))
+    return profile.select("page_id", "col_idx", "header", "type", "n_values")
+
+
 @query
 def number_formats(spark: SparkSession, sf: str) -> DataFrame:
     grid = stage(extract_html_tables(data.customer_pages(spark, sf)), "sheets")
@@ -696,23 +720,19 @@ def _corpus_stats(spark: SparkSession, sf: str, names: tuple[str, ...]) -> DataF
 @query
 def stats_numeric(spark: SparkSession, sf: str) -> DataFrame:
     long = _corpus_stats(spark, sf, stats.NUMERIC_STATS)
-    return long.where(F.col("header").isin("Total", "Share", "Buyer")).select(
-        "page_id", "header", "stat", F.round("num_value", 4).alias("num_value")
-    )
+    return long.select("page_id", "header", "stat", F.round("num_value", 4).alias("num_value"))
 
 
 @query
 def stats_date(spark: SparkSession, sf: str) -> DataFrame:
     long = _corpus_stats(spark, sf, stats.DATE_STATS)
-    return long.where(F.col("header") == "Date").select(
-        "page_id", "stat", "date_value", F.col("num_value").cast("int").alias("num_value")
-    )
+    return long.select("page_id", "header", "stat", "date_value", F.col("num_value").cast("int").alias("num_value"))
 
 
 @query
 def stats_categorical(spark: SparkSession, sf: str) -> DataFrame:
     long = _corpus_stats(spark, sf, ("unique", "mode"))
-    return long.where(F.col("header").isin("Priority", "Level", "Buyer")).select(
+    return long.select(
         "page_id", "header", "stat", F.col("num_value").cast("int").alias("num_value"), "text_value", "extra"
     )
 
@@ -848,6 +868,17 @@ def export_md(spark: SparkSession, sf: str) -> DataFrame:
     return _export(spark, sf, "md")
 
 
+@query
+def export_written(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of a written export, read back; one of its tables has no page id."""
+    grid = stage(_awkward_grid(spark, sf).withColumn("page_id", F.nullif("page_id", F.lit(0))), "awkward")
+    sizes = grid.groupBy("page_id", "kind", "table_idx").agg(F.max(F.col("row_idx") + 1).alias("n_rows"))
+    tables = sizes.select("*", F.lit(1).alias("position"), F.lit("https://a.example.com/").alias("url"))
+    path = _folder(spark, "export")
+    export.export_all(grid, tables, path, "2024-01-31", "csv", folders=False)
+    return spark.read.parquet(f"{path}/tables").select("page_id", "line_no", "line")
+
+
 @query
 def export_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """One site per customer; each order is a table of its list, some without data."""

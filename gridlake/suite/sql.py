@@ -290,6 +290,10 @@ SELECT page_id, 0 AS table_idx, CASE WHEN page_id % 5 <= 1 THEN page_id % 7 END
   CASE WHEN page_id % 5 <= 2 THEN page_id % 5 + 1 END AS service_index, row_idx,
   CASE WHEN row_idx = 0 THEN 'Key' ELSE c0 END || '|' || c1 || '|' || c2 || '|' || c3 AS line
 FROM sheet WHERE page_id % 5 <> 4""",
+    "json_numbers": """
+SELECT o_orderkey AS page_id, 2 AS service_page, o_orderkey AS service_index, x.i AS row_idx, CASE x.i WHEN 0 THEN 'n|t'
+  WHEN 1 THEN o_orderkey || '.50|a, -5.0]: "7.10"' WHEN 2 THEN '-' || o_orderkey || 'e+03|x' ELSE '0.' || o_orderkey || '0|true' END AS line
+FROM orders, (SELECT unnest([0, 1, 2, 3]) AS i) x""",
     "page_ranges": f"""
 WITH {RANGE_SPECS}
 SELECT k AS spec_id, l_linenumber - 1 AS page, l_partkey, l_quantity FROM lineitem JOIN specs ON l_orderkey = k
@@ -351,6 +355,7 @@ SELECT page_id, 3 AS n_rows, 2 AS n_cols, FALSE AS is_rectangular, 1 AS first_ba
 UNION ALL SELECT page_id, max(n) + 1, 5, min(r) FILTER (c_custkey % 4 <= 1) IS NULL, min(r) FILTER (c_custkey % 4 <= 1)
 FROM cust WHERE page_id % 9 <> 0 GROUP BY page_id""",
     "infer_types_corpus": ORDER_TYPES.format(cells=OCELLS),
+    "merged_profiles": ORDER_TYPES.format(cells=OCELLS),
     "number_formats": f"""
 WITH {CUST}
 SELECT DISTINCT page_id, 'Key' AS header, 'numeric' AS type, ',' AS thousand, '.' AS decimal FROM cust
@@ -415,18 +420,19 @@ UNION ALL SELECT page_id, r, "Order" || '|' || "Total" || '|' || "Date" || '|' |
 FROM ow WHERE total0 >= 250000 AND day >= DATE '1996-01-01' AND "Priority" IN ('3-MEDIUM', '1-URGENT')""",
     "distinct_column_values": "SELECT DISTINCT p_name AS value FROM part",
     "stats_numeric": f"""
-WITH {OW}, long AS ({_long(_numeric("Total", "price", "ok % 13 <> 0") + _numeric("Share", "share0") + _numeric("Buyer", "buyer0"), "ow", "page_id")})
+WITH {OW}, long AS ({_long(_numeric("Total", "price", "ok % 13 <> 0") + _numeric("Share", "share0") + _numeric("Buyer", "buyer0") + _numeric("Order", "ok") + _numeric("Level", '"Level"::INT') + [("Date", "count", "count(*)::DOUBLE"), ("Priority", "count", "count(*)::DOUBLE")], "ow", "page_id")})
 SELECT page_id, header, stat, round(num_value, 4) AS num_value FROM long""",
     "stats_date": f"""
 WITH {OW}
-SELECT page_id, 'count' AS stat, NULL::DATE AS date_value, count(*)::INT AS num_value FROM ow GROUP BY 1
-UNION ALL SELECT page_id, 'earliest', min(day), NULL FROM ow GROUP BY 1
-UNION ALL SELECT page_id, 'latest', max(day), NULL FROM ow GROUP BY 1
-UNION ALL SELECT page_id, 'range', NULL, CASE WHEN count(*) < 2 THEN 0 ELSE (max(day) - min(day))::INT END FROM ow GROUP BY 1""",
+SELECT page_id, h AS header, 'count' AS stat, NULL::DATE AS date_value, (count(*) FILTER (h <> 'Total' OR ok % 13 <> 0))::INT AS num_value
+FROM ow, (SELECT unnest(['Order', 'Total', 'Date', 'Level', 'Priority', 'Buyer', 'Share']) AS h) GROUP BY 1, 2
+UNION ALL SELECT page_id, 'Date', 'earliest', min(day), NULL FROM ow GROUP BY 1
+UNION ALL SELECT page_id, 'Date', 'latest', max(day), NULL FROM ow GROUP BY 1
+UNION ALL SELECT page_id, 'Date', 'range', NULL, CASE WHEN count(*) < 2 THEN 0 ELSE (max(day) - min(day))::INT END FROM ow GROUP BY 1""",
     "stats_categorical": f"""
 WITH {OCELLS}, {MODES.format(by="page_id, header")}
-SELECT page_id, header, 'unique' AS stat, u::INT AS num_value, NULL AS text_value, NULL::INT AS extra FROM modes WHERE header IN ('Priority', 'Level', 'Buyer')
-UNION ALL SELECT page_id, header, 'mode', NULL, mode, others::INT FROM modes WHERE header IN ('Priority', 'Level', 'Buyer')""",
+SELECT page_id, header, 'unique' AS stat, u::INT AS num_value, NULL AS text_value, NULL::INT AS extra FROM modes
+UNION ALL SELECT page_id, header, 'mode', NULL, mode, others::INT FROM modes""",
     "stats_wide": f"""
 WITH {OCELLS}, {MODES.format(by="header")},
 long AS ({_long(_numeric("Order", "ok") + _numeric("Total", "price", "ok % 13 <> 0") + _numeric("Level", '"Level"::INT') + _numeric("Buyer", "buyer0") + _numeric("Share", "share0") + [("Date", "count", "count(*)"), ("Date", "range", "max(day) - min(day)"), ("Priority", "count", "count(*)")], "ow")})
@@ -478,6 +484,11 @@ UNION ALL SELECT 'Buyer', row_idx, "Date", buyer0::DOUBLE FROM f""",
     "scatter_points": f"WITH {OW} SELECT 'Total' AS series, row_idx, share0::DOUBLE AS x, total0 AS y FROM ow",
     "export_csv": """
 SELECT o_orderkey // 50 AS page_id, o_orderkey % 50 AS line_no,
+  o_orderkey || ',"a,' || o_orderpriority || '",' ||
+  CASE o_orderkey % 3 WHEN 0 THEN '"say ""x""' || '"' WHEN 1 THEN '"p|q' || chr(13) || chr(10) || 'r"' ELSE 't' || chr(9) || 'u' END ||
+  ',' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS line FROM orders""",
+    "export_written": """
+SELECT nullif(o_orderkey // 50, 0) AS page_id, o_orderkey % 50 AS line_no,
   o_orderkey || ',"a,' || o_orderpriority || '",' ||
   CASE o_orderkey % 3 WHEN 0 THEN '"say ""x""' || '"' WHEN 1 THEN '"p|q' || chr(13) || chr(10) || 'r"' ELSE 't' || chr(9) || 'u' END ||
   ',' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS line FROM orders""",

@@ -179,3 +179,16 @@ def test_page_intervals_are_merged_and_never_expanded(spark):
     assert sorted(map(tuple, chosen.collect())) == [(0, 7), (1, 9), (3, 2)]
     _, refused = page_intervals(specs, max_pages=20)
     assert {r.spec_id: r.error for r in refused.collect()}[0] == "More than 20 pages specified (999999999999)"
+
+
+def test_json_numbers_stay_as_written(spark):
+    cells = ["2.50", "-0", "1e5", "0.10", "12345678901234567890.10"]
+    tricky = ["a, 5.0, 1: 2", "x\\\\", 'q\\"7.10', "[1, 2]"]
+    text = '[{"rows": [[%s, "%s"], [7.00, true]], "index": 3.0, "page":-1}]' % (", ".join(cells), '", "'.join(tricky))
+    long = '[{"rows": [[%s 1.50], ["z"]]}]' % ('"t\\n5", ' * 50_000)
+    df = spark.createDataFrame([(1, text), (2, long), (3, "{"), (4, None), (5, "7.0")], "page_id int, json string")
+    rows = {(r.page_id, r.row_idx): r for r in normalize_table_json(df).collect()}
+    assert rows[1, 0].cells == [*cells, "a, 5.0, 1: 2", "x\\", 'q"7.10', "[1, 2]"]
+    assert rows[1, 1].cells == ["7.00", "true"]
+    assert (rows[1, 0].service_index, rows[1, 0].service_page) == (3, -1)
+    assert rows[2, 0].cells[-1] == "1.50" and len(rows[2, 0].cells) == 50_001 and rows[2, 0].cells[0] == "t\n5"
