@@ -27,19 +27,22 @@ def pad_rows(grid: DataFrame) -> DataFrame:
 WORD = 62
 
 
-def _word(filled: Column, word: Column | int = 0) -> Column:
-    """The filled columns of one word as bits."""
-    return F.aggregate(
-        F.filter(filled, lambda c: F.floor(c / WORD) == word),
-        F.lit(0).cast("bigint"),
-        lambda bits, c: bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (c % WORD).cast("int"))),
-    )
+def _bits(columns: Column, first: Column | int = 0) -> Column:
+    """The columns from ``first`` on, up to a word's length, as bits."""
+    one = F.lit(1).cast("bigint")
+
+    def add(bits: Column, c: Column) -> Column:
+        place = c - first
+        held = F.call_function("shiftleft", one, place.cast("int"))
+        return F.when((place >= 0) & (place < WORD), bits.bitwiseOR(held)).otherwise(bits)
+
+    return F.aggregate(columns, F.lit(0).cast("bigint"), add)
 
 
-def _columns(bits: Column, word: Column | int = 0) -> Column:
+def _columns(bits: Column, first: Column | int = 0) -> Column:
     """The columns of a word's bits, in order."""
     places = F.sequence(F.lit(0).cast("bigint"), F.lit(WORD - 1).cast("bigint"))
-    return F.transform(F.filter(places, lambda i: F.getbit(bits, i.cast("int")) == 1), lambda i: i + word * F.lit(WORD).cast("bigint"))
+    return F.transform(F.filter(places, lambda i: F.getbit(bits, i.cast("int")) == 1), lambda i: i + first)
 
 
 def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
@@ -57,16 +60,17 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
     own = [c for c in grid.columns if c not in ("width", "at")]
     own = ["cells" if c == "texts" else c for c in own]
     held = "texts" if runs else "cells"
-    column = run_columns() if runs else F.transform(held, lambda _, i: i.cast("bigint"))
-    filled = F.transform(
-        F.filter(F.zip_with(held, column, lambda t, c: F.when(has_text(t), c)), lambda c: c.isNotNull()), lambda c: c
-    )
+    if runs:
+        filled = F.zip_with(held, run_columns(), lambda t, c: F.when(has_text(t), c))
+    else:
+        filled = F.transform(held, lambda t, i: F.when(has_text(t), i.cast("bigint")))
+    filled = F.filter(filled, lambda c: c.isNotNull())
     width = F.col("width") if runs else F.size(held).cast("bigint")
     marked = grid.withColumn("_bucket", bucket(size=bucket_rows))
     seen = marked.select(*KEY, "row_idx", "_bucket", width.alias("_w"), filled.alias("_filled"))
     alive = (F.col("row_idx") == 0) | (F.size("_filled") > 0)
     per_bucket = stage(
-        seen.select(*KEY, "_bucket", "_w", alive.alias("_alive"), _word(F.col("_filled")).alias("_bits"))
+        seen.select(*KEY, "_bucket", "_w", alive.alias("_alive"), _bits(F.col("_filled")).alias("_bits"))
         .groupBy(*KEY, "_bucket")
         .agg(
             F.bit_or("_bits").alias("_bits"),
@@ -76,17 +80,17 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
         ),
         "clean",
     )
-    further = F.array_distinct(F.transform(F.filter("_filled", lambda c: c >= WORD), lambda c: F.floor(c / WORD)))
+    further = F.array_distinct(F.transform(F.filter("_filled", lambda c: c >= WORD), lambda c: c - c % WORD))
     words = (
         seen.where(F.col("_w") > WORD)
-        .select(*KEY, "_filled", F.explode(further).alias("_word"))
-        .groupBy(*KEY, "_word")
-        .agg(F.bit_or(_word(F.col("_filled"), F.col("_word"))).alias("_bits"))
+        .select(*KEY, "_filled", F.explode(further).alias("_first"))
+        .groupBy(*KEY, "_first")
+        .agg(F.bit_or(_bits(F.col("_filled"), F.col("_first"))).alias("_bits"))
         .groupBy(*KEY)
-        .agg(F.sort_array(F.collect_list(F.struct("_word", "_bits"))).alias("_words"))
+        .agg(F.sort_array(F.collect_list(F.struct("_first", "_bits"))).alias("_words"))
     )
     kept = per_bucket.groupBy(*KEY).agg(F.bit_or("_bits").alias("_bits"), F.max("_w").alias("_width"))
-    more = F.flatten(F.transform("_words", lambda x: _columns(x["_bits"], x["_word"])))
+    more = F.flatten(F.transform("_words", lambda x: _columns(x["_bits"], x["_first"])))
     keep = F.concat(_columns(F.col("_bits")), F.coalesce(more, F.array().cast("array<bigint>")))
     kept = join_null_safe(kept, words, KEY, "left").select(*KEY, "_width", keep.alias("_keep"))
     before = (

@@ -89,7 +89,7 @@ def _line(cells: str | Column = "cells") -> Column:
 @query
 def html_order_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Pages -> tables -> clean -> types -> typed amounts -> total per order."""
-    grid = stage(extract_html_tables(data.shipment_pages(spark, sf)), "shipments")
+    grid = stage(extract_html_runs(data.shipment_pages(spark, sf)), "shipments")
     tidy = stage(clean_tables(grid), "tidy")
     rows = typed_rows(tidy, stage(infer_types(tidy), "profile"))
     return (
