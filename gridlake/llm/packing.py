@@ -191,11 +191,17 @@ def choose_ends(cuts: np.ndarray, penalty: np.ndarray, most: int) -> list[int]:
     return ends[::-1]
 
 
+def _rising(positions: np.ndarray) -> np.ndarray:
+    """Distinct positions in order; sorting beats hashing here."""
+    positions = np.sort(positions)
+    return positions[np.append(True, positions[1:] != positions[:-1])]
+
+
 def _candidates(total: int, doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    soft = np.unique(np.concatenate([[0], doc_ends, sentence_ends, [total]])).astype(np.int64)
+    soft = _rising(np.concatenate([[0], doc_ends, sentence_ends, [total]]).astype(np.int64))
     gaps = np.flatnonzero(np.diff(soft) > 2 * STEP)
     hard = [np.arange(soft[g] + STEP, soft[g + 1], STEP) for g in gaps]
-    cuts = np.unique(np.concatenate([soft, *hard])) if hard else soft
+    cuts = _rising(np.concatenate([soft, *hard])) if hard else soft
     penalty = np.full(len(cuts), float(INSIDE))
     penalty[np.searchsorted(cuts, sentence_ends)] = SENTENCE
     penalty[np.searchsorted(cuts, doc_ends)] = 0
@@ -246,7 +252,7 @@ class _Stream:
         stop = ends[-1]
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         doc_starts = doc_ends - lengths
-        pieces = np.unique(np.concatenate([starts, doc_starts[doc_starts < stop]]))
+        pieces = _rising(np.concatenate([starts, doc_starts[doc_starts < stop]]))
         doc = np.searchsorted(doc_starts, pieces, "right") - 1
         seq = np.searchsorted(starts, pieces, "right") - 1
         until = np.append(pieces[1:], stop)
