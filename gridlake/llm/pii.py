@@ -42,7 +42,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-LOGIN = re.compile(r"[^\s/@:?#]{1,64}(?::[^\s/@]{0,128})?@")
+LOGIN = re.compile(r"[^\s/@:?#]++(?::[^\s/@]*+)?@")
 # what may stand between a cue and its identifier; a filler in capitals could be part of the identifier, so it ends there
 FILLER = r"(?:[ ]?(?:(?i:number|no\.?|nr\.?|id)(?![A-Za-z0-9])|number|no\.?|nr\.?|id))?(?:[ ](?i:is)(?![A-Za-z0-9]))?[ ]?[:=#]?[ ]?"
 # digits in groups, eight or more in all, or an identifier without spaces

@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.col(label_col).cast("double")).alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(known), "id").select("label", "text")  # at most `sample` pairs of numbers
+    rows = rows.join(F.broadcast(known), "id")  # at most `sample` pairs of numbers
+    rows = rows.groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")  # and texts
     got = rows.mapInArrow(_sampler, "label double, own binary, swapped binary").toArrow()
     labels = np.asarray(got.column("label").to_numpy(), np.float64)
     return train(labels, _batches(got.column("own")), _batches(got.column("swapped")))

@@ -252,3 +252,21 @@ def test_features_are_sets_of_words_and_beginnings():
 
     owner, feature = toxicity.features(*text_bytes(pa.array(["Idiotic, idiotic!", None, "...", "idiotic"])))
     assert (feature[owner == 0] == feature[owner == 3]).all() and set(np.unique(owner)) == {0, 3}
+
+
+def test_logins_of_any_length_are_found(spark):
+    user, password = "u" * 70, "p" * 130
+    texts = [f"see https://{user}@host.example and ftp://bob:{password}@h/x", "http://" + "a" * 200_000, "https://a:b/c@d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in pii.find_personal_data(docs).collect()}
+    found = {i: {texts[i][int(a) : int(b)] for kind, a, b in s if kind not in ("email", "ip", "card", "phone")} for i, s in spans.items()}
+    assert {user, f"bob:{password}"} <= found[0] and not found[1] and not found[2]
+
+
+def test_toxicity_learns_from_one_row_per_id(spark):
+    words = ["fine day", "awful idiot"]
+    rows = [(i, words[i % 2]) for i in range(40)] + [(1, words[1])] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model, once = (toxicity.fit(d, labels) for d in (docs, docs.dropDuplicates(["doc_id"])))
+    assert np.allclose(model.weights, once.weights, atol=1e-6) and abs(model.bias - once.bias) < 1e-6
