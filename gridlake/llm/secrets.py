@@ -11,7 +11,8 @@ splits.  Texts are read once and never exchanged; the scan's spans are written t
 shared folder.
 
 Defined results: null counts as an empty text and has no spans; null repositories or owners
-count as one; repeated rows are separate rows; an empty table gives no rows.
+count as one; repeated rows are separate rows; an empty table gives no rows; other columns, whatever
+their names, are never read.  The places of n matches in one text, however long, take n log n steps.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ HEX = r"([0-9a-f]{16,})"
 # Marks of providers' own credentials.
 PROVIDER = (
     r"(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}"
-    r"|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
 )
 GENERIC = r"([A-Za-z0-9+/_-]{24,})"
 KINDS = ("assign", "access", "hex", "provider", "generic")
@@ -41,36 +42,47 @@ VARIED = 10
 _SPANS = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
+def _running(values: Column, combine, least: Column) -> Column:
+    """Running totals of an array: each step combines values twice as far apart, so n values take n log n steps."""
+    steps = F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int")
+    shifts = F.transform(F.sequence(F.lit(0), steps), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.aggregate(
+        shifts,
+        values,
+        lambda sums, shift: F.transform(sums, lambda x, i: combine(x, F.coalesce(F.get(sums, i - shift), least))),
+    )
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _spans(text: Column, rank: int, pattern: str, group: int = 1, gate: Column | None = None) -> Column:
     """All matches of a pattern: leftmost, not overlapping, in code points."""
+    found = F.struct(
+        F.split(text, pattern, -1).alias("parts"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"),
+    )
 
-    def of(parts: Column, matches: Column, values: Column) -> Column:
-        def at(i: Column) -> Column:
-            before = F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda s, x: s + F.length(x))
-            return before + F.aggregate(F.slice(matches, 1, i), F.lit(0), lambda s, x: s + F.length(x))
+    def ends(x: Column) -> Column:
+        steps = F.transform(x["matches"], lambda m, i: F.length(F.get(x["parts"], i)) + F.length(m))
+        return F.struct(x["matches"].alias("matches"), x["values"].alias("values"), _running(steps, lambda a, b: a + b, F.lit(0)).alias("ends"))
 
+    def spans(x: Column) -> Column:
         return F.transform(
-            F.transform(F.sequence(F.lit(0), F.size(matches) - 1), lambda i: F.struct(i.alias("i"), at(i).alias("start"))),
-            lambda m: F.struct(
-                m["start"].alias("start"),
+            x["ends"],
+            lambda end, i: F.struct(
+                (end - F.length(F.get(x["matches"], i))).alias("start"),
                 F.lit(rank).alias("rank"),
-                (m["start"] + F.length(F.element_at(matches, m["i"] + 1))).alias("end"),
-                F.element_at(values, m["i"] + 1).alias("value"),
+                end.alias("end"),
+                F.get(x["values"], i).alias("value"),
             ),
         )
 
-    found = F.transform(
-        F.array(
-            F.struct(
-                F.split(text, pattern, -1).alias("parts"),
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
-                F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"),
-            )
-        ),
-        lambda x: of(x["parts"], x["matches"], x["values"]),
-    )
     hit = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
-    return F.when(hit, F.flatten(found)).otherwise(F.array().cast(_SPANS))
+    return F.when(hit, _bound(_bound(found, ends), spans)).otherwise(F.array().cast(_SPANS))
 
 
 def candidates(text: Column) -> Column:
@@ -89,6 +101,27 @@ def candidates(text: Column) -> Column:
     )
 
 
+def _unmarked(found: Column) -> Column:
+    """Spans in order, without the high-entropy ones that overlap a base span."""
+    generic = len(KINDS) - 1
+    never = F.lit((1 << 31) - 1)
+    ends = F.transform(found, lambda s: F.when(s["rank"] < BASE, s["end"]).otherwise(F.lit(0)))
+    starts = F.transform(F.reverse(found), lambda s: F.when(s["rank"] < BASE, s["start"]).otherwise(never))
+    lined = F.struct(
+        found.alias("found"),
+        _running(ends, F.greatest, F.lit(0)).alias("ended"),  # furthest end of base spans so far
+        F.reverse(_running(starts, F.least, never)).alias("begins"),  # first start of base spans from here
+    )
+    free = _bound(
+        lined,
+        lambda x: F.filter(
+            x["found"],
+            lambda s, i: (s["rank"] < generic) | ((F.get(x["ended"], i) <= s["start"]) & (F.get(x["begins"], i) >= s["end"])),
+        ),
+    )
+    return F.when(F.exists(found, lambda s: s["rank"] == generic), free).otherwise(found)
+
+
 def _looks_random(value: Column) -> Column:
     varied = F.size(F.array_distinct(F.split(value, ""))) >= VARIED
     return varied & value.rlike("[0-9]") & ~F.lower(value).rlike("example|sample|placeholder|changeme|xxxx|12345678")
@@ -155,14 +188,8 @@ def find_secrets(
     entry = F.struct("start", "rank", "end", "owners", "repositories", "verdict")
     found = judged.groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("found"))
     out = scanned.select("row", "doc_id").join(found, "row", "left")
-    base = F.filter("found", lambda s: s["rank"] < BASE)
-    marked_by = F.filter(
-        "found",
-        lambda g: (g["rank"] < len(KINDS) - 1)
-        | ~F.exists("base", lambda b: (b["start"] < g["end"]) & (g["start"] < b["end"])),
-    )
     out = out.withColumn("found", F.coalesce("found", F.filter(F.array(entry_of_nothing()), lambda s: F.lit(False))))
-    out = out.withColumn("base", base).withColumn("found", marked_by)
+    out = out.withColumn("base", F.filter("found", lambda s: s["rank"] < BASE)).withColumn("found", _unmarked(F.col("found")))
     count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
     verdicts = lambda v: F.size(F.filter("found", lambda s: s["verdict"] == v)).cast("long")
     return out.select(
