@@ -1,16 +1,19 @@
 """Winnowed fingerprints of texts, in DataFrame functions only.
 
-Tokens are runs of at most eight characters that are not white space, in lower case, so a
-text without spaces is cut evenly.  Hashes of ``k`` neighbouring tokens are slid over by a
-window of ``w``; each window keeps its least hash, the rightmost of equal ones.  Any
-passage of ``w + k - 1`` tokens that two texts share therefore gives both a common hash.
-A kept value holds 39 bits of hash above 24 bits of reversed position, so that the least
-value is the least hash and, among equals, the rightmost; every kept position can be read
-back from it.
+Tokens, in lower case, are words (runs of characters that are not white space) of at most
+sixteen characters, and every single character of longer runs, so that a shift inside a text
+without spaces moves all tokens alike.  Each token is hashed once; hashes of ``k`` neighbouring
+tokens roll over the text, and a window of ``w`` of them slides along; each window keeps its
+least hash, the rightmost of equal ones.  Any passage of ``w + k - 1`` tokens that two texts
+share therefore gives both a common hash.  A kept value holds 32 bits of hash above 31 bits of
+reversed position, more than an array has elements, so that the least value is the least hash
+and, among equals, the rightmost; every kept position can be read back from it.
 
 Defined results: null counts as an empty text, which keeps nothing; two empty fingerprints
 are alike (1), an empty and another are not (0); a text with fewer tokens than ``k`` is one
-hash; equal texts have equal fingerprints.
+hash; equal texts have equal fingerprints; texts of any length are read whole, in linear time;
+repeated rows stay rows of their own, each followed by the next; an empty table gives no rows;
+other columns, whatever their names, are never read.
 """
 
 from __future__ import annotations
@@ -18,16 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-POSITION_BITS = 24
+from ..operators.grid import number_rows
+from ..plans.staging import stage
+
+POSITION_BITS = 31
+HASH_BITS = 63 - POSITION_BITS
 _TOP = (1 << POSITION_BITS) - 1
 #: texts of 2 ** BLOCK_BITS neighbouring ids are lined up in one window
 BLOCK_BITS = 6
-#: one window finds the order of 2 ** CHAIN_BITS blocks
-CHAIN_BITS = 12
+#: runs of more characters are taken character by character
+WORD = 16
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([^\s]{1,8})"))
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"((?<!\S)\S{{1,{WORD}}}+(?!\S)|\S)"))
 
 
 def winnow(text: Column, k: int = 5, w: int = 12) -> Column:
@@ -47,14 +54,14 @@ def winnow(text: Column, k: int = 5, w: int = 12) -> Column:
         return slide(
             items,
             k,
-            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.slice(items, i + 1, F.lit(k))), 25), POSITION_BITS)
-            + (F.lit(_TOP) - i % F.lit(_TOP + 1)),
+            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(*(F.get(items, i + j) for j in range(k))), 64 - HASH_BITS), POSITION_BITS)
+            + (F.lit(_TOP) - i),
         )
 
     def least(values: Column) -> Column:
         return F.array_distinct(slide(values, w, lambda i: F.array_min(F.slice(values, i + 1, F.lit(w)))))
 
-    return named(named(tokens(text), grams), least)
+    return named(named(F.transform(tokens(text), lambda t: F.xxhash64(t)), grams), least)
 
 
 def hashes(kept: Column) -> Column:
@@ -68,7 +75,7 @@ def positions(kept: Column) -> Column:
 def fingerprint(kept: Column) -> Column:
     """Kept hashes as hexadecimal text, in order of position."""
     return F.array_join(
-        F.transform(kept, lambda v: F.lower(F.lpad(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), 10, "0"))), ","
+        F.transform(kept, lambda v: F.lower(F.lpad(F.hex(F.shiftrightunsigned(v, POSITION_BITS)), HASH_BITS // 4, "0"))), ","
     )
 
 
@@ -79,42 +86,54 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
+BLOCK = ["block", "part", "slice"]
+
+
+def _blocks(base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``base`` with its block of neighbouring ids, and all blocks.
+
+    A block has no more rows than ids unless ids repeat or are null; such a block is split by id and
+    by hash of the text, so that no id gathers all its rows in one task.
+    """
+    base = base.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
+    sizes = stage(base.groupBy("block").agg(F.count("*").alias("rows")), "blocks")
+    crowded = sizes.where(F.col("rows") > 1 << BLOCK_BITS).select("block", F.lit(True).alias("crowded"))
+    nothing = [F.lit(0).cast("long").alias(c) for c in BLOCK[1:]]
+    if crowded.isEmpty():
+        return base.select("*", *nothing), sizes.select("block", *nothing)
+    base = base.join(crowded, "block", "left")  # a written table of its crowded blocks: Spark checks its size
+    part = F.when(F.col("crowded"), F.coalesce(F.col("doc_id").bitwiseAND((1 << BLOCK_BITS) - 1), F.lit(0)))
+    piece = F.when(F.col("crowded"), F.shiftrightunsigned(F.xxhash64("text"), 52))
+    base = base.withColumns({"part": F.coalesce(part, F.lit(0)), "slice": F.coalesce(piece, F.lit(0))}).drop("crowded")
+    return base, base.select(*BLOCK).distinct()
+
+
 def _chain(blocks: DataFrame) -> DataFrame:
-    """``block, after`` in falling order; the last is followed by the first."""
-    grouped = blocks.withColumn("chain", F.shiftright("block", CHAIN_BITS))
-    inner = Window.partitionBy("chain").orderBy(F.desc("block"))
-    tops = grouped.groupBy("chain").agg(F.max("block").alias("top"))
-    outer = Window.orderBy(F.desc("chain"))  # a row for 2 ** (CHAIN_BITS + BLOCK_BITS) ids
-    tops = tops.select(
-        "chain",
-        F.coalesce(
-            F.lead("top").over(outer),
-            F.first("top").over(outer.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        ).alias("next_top"),
-    )
-    lined = grouped.withColumn("after", F.lead("block").over(inner)).join(tops, "chain")
-    return lined.select("block", F.coalesce("after", "next_top").alias("after"))
+    """Each block and the one ``after`` it, in falling order of ids; the last is followed by the first."""
+    lined = number_rows(blocks, [F.desc("block"), F.desc("part"), F.asc("slice")], "at")
+    follows = (F.pmod(F.col("at"), F.lit(max(lined.count(), 1))) + 1).alias("next_at")
+    after = lined.select(F.col("at").alias("next_at"), F.struct(*BLOCK).alias("after"))
+    return lined.select(*BLOCK, follows).join(after, "next_at").select(*BLOCK, "after")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, values: dict[str, Column]) -> DataFrame:
     """``doc_id, text``, each of ``values`` (computed from ``text``), and ``next_`` of all, in falling id order.
 
     Texts are exchanged once, by blocks of neighbouring ids; of each block only the first text travels
-    again.  Rows of one id are ordered by text; null ids come last, as one block.
+    again.  Rows of one id are ordered by text, in blocks of more rows than ids by its hash first; null ids come last.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = base.withColumn("block", F.coalesce(F.shiftright("doc_id", BLOCK_BITS), F.lit(-(1 << 62))))
-    order = Window.partitionBy("block").orderBy(F.desc_nulls_last("doc_id"), "text")
+    base, blocks = _blocks(base)
+    order = Window.partitionBy(*BLOCK).orderBy(F.desc_nulls_last("doc_id"), "text")
     heads = base.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
     heads = heads.select("*", *(v.alias(c) for c, v in values.items()))
     names = ["text", *values]
-    chain = _chain(base.select("block").distinct())
-    firsts = heads.select(F.col("block").alias("after"), *(F.col(c).alias(f"first_{c}") for c in names))
-    firsts = chain.join(firsts, "after").drop("after")
+    firsts = heads.select(F.struct(*BLOCK).alias("after"), *(F.col(c).alias(f"first_{c}") for c in names))
+    firsts = _chain(blocks).join(firsts, "after").drop("after")
     lined = base.withColumn("next_text", F.lead("text").over(order))
     lined = lined.select("*", *(v.alias(c) for c, v in values.items()))
     lined = lined.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in values))
-    joined = lined.join(firsts, "block")
+    joined = lined.join(firsts, BLOCK)
     return joined.select("doc_id", *names, *(F.coalesce(f"next_{c}", f"first_{c}").alias(f"next_{c}") for c in names))
 
 

@@ -3,10 +3,13 @@
 import math
 import random
 import re
+import struct
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from gridlake.llm import licenses, pii, secrets, toxicity, winnowing
 from gridlake.llm.words import text_bytes
 from pyspark.sql import functions as F
@@ -61,6 +64,23 @@ def test_ownership_separates_copied_from_live(spark):
     assert got[100].spans == "assign:0:22,generic:23:48"
 
 
+def test_many_secrets_in_one_text(spark):
+    rng = random.Random(8)
+    values = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(100_000)]
+    mixed = " ".join(f"token={v.replace('a', 'Q')}" for v in values[:20_000])
+    docs = spark.createDataFrame([(1, " ".join(values)), (2, mixed)], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(docs, F.lit("r"), F.lit("o")).select("doc_id", "base", "n_hex").collect()}
+    assert time.time() - began < 30
+    assert got[1].n_hex == 100_000 and all(got[i].base == base_secrets(t) for i, t in docs.collect())
+
+
+def test_private_keys_of_any_heading(spark):
+    text = "-----BEGIN VERY LONG AND WELL GUARDED RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.find_secrets(docs, F.lit("r"), F.lit("o")).first().spans == f"provider:0:{len(text)}"
+
+
 def test_secrets_use_no_python(awkward):
     plan = awkward.select(secrets.candidates(F.col("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -117,16 +137,38 @@ def test_account_numbers_in_their_written_forms(text, number):
     assert [text[s:e] for s, r, e in pii.Finder().find(text) if pii.KINDS[r] == "account"] == ([number] if number else [])
 
 
+def plain_tokens(text):
+    words = re.findall(r"\S+", (text or "").lower(), re.ASCII)
+    return [t for word in words for t in ([word] if len(word) <= 16 else word)]
+
+
 def plain_winnow(text, k, w):
-    found = re.findall(r"[^\s]{1,8}", (text or "").lower(), re.ASCII)
-    grams = [tuple(found[i : i + k]) for i in range(max(1, len(found) - k + 1))] if found else []
-    return grams, w
+    """Positions kept, and the hash at each, chosen one window after the other."""
 
+    def chained(parts):
+        h = 42
+        for part in parts:
+            h = xxhash.xxh64(part, seed=h).intdigest()
+        return h
 
-def test_winnowing_guarantee_and_edits(spark, awkward):
+    found = [struct.pack("<Q", chained([t.encode()])) for t in plain_tokens(text)]
+    grams = [chained(found[i : i + k]) >> 32 for i in range(max(1, len(found) - k + 1))] if found else []
+    kept = {}
+    for start in range(max(1, len(grams) - w + 1)) if grams else []:
+        least = min((h, -p) for p, h in enumerate(grams[start : start + w], start))
+        kept[-least[1]] = least[0]
+    return kept
+
+
+def plain_likeness(a, b):
+    a, b = set(a.values()), set(b.values())
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_winnowing_matches_windows_one_by_one(spark, awkward):
     k, w = 5, 12
     docs = awkward.dropDuplicates(["doc_id"])
-    rows = winnowing.compare_edited(docs, k, w).collect()
+    rows = winnowing.compare_edited(docs, k, w).withColumn("positions", winnowing.positions(F.col("kept"))).collect()
     order = sorted((r for r in docs.collect() if r.doc_id is not None), key=lambda r: -r.doc_id)
     order += [r for r in docs.collect() if r.doc_id is None]
     got = {r.doc_id: r for r in rows}
@@ -134,20 +176,42 @@ def test_winnowing_guarantee_and_edits(spark, awkward):
     for i, r in enumerate(order):
         text, after = r.text or "", order[(i + 1) % len(order)].text or ""
         n = len(text) // 3
-        assert got[r.doc_id].edited == text[: len(text) - n] + after[:n]
-        grams, _ = plain_winnow(text, k, w)
-        at = [winnowing._TOP - (v & winnowing._TOP) for v in got[r.doc_id].kept]
-        assert at == sorted(at)
-        hashes = dict(zip(at, (v >> winnowing.POSITION_BITS for v in got[r.doc_id].kept)))
-        for start in range(max(1, len(grams) - w + 1)) if grams else []:
-            inside = [p for p in at if start <= p < start + w]
-            assert inside  # every window keeps a hash
-        assert len({(grams[p], h) for p, h in hashes.items()}) == len({grams[p] for p in hashes})
+        mine = got[r.doc_id]
+        assert mine.edited == text[: len(text) - n] + after[:n]
+        own, edited, following = (plain_winnow(t, k, w) for t in (text, mine.edited, after))
+        assert mine.positions == sorted(own)
+        assert mine.fingerprint == ",".join(f"{own[p]:08x}" for p in sorted(own))
+        assert mine.edited_fingerprint == ",".join(f"{edited[p]:08x}" for p in sorted(edited))
+        assert mine.near_edited == pytest.approx(plain_likeness(own, edited))
+        assert mine.near_next == pytest.approx(plain_likeness(own, following))
     assert got[0].fingerprint == got[1].fingerprint
-    assert got[0].near_next == 0 or got[1].near_next >= 0
     assert got[5].fingerprint == "" and got[4].fingerprint == ""
 
 
+def test_winnowing_sees_shifts_in_texts_without_spaces(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000))
+    docs = spark.createDataFrame([(2, text), (1, "x" + text)], "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in winnowing.compare_edited(docs).collect()}
+    assert got[2] > 0.9 and got[1] > 0.9
+
+
+def test_winnowing_splits_repeated_ids_and_lines_up_sparse_ones(spark):
+    """Rows of one id, and of none, are many; each row is followed by one other row, in a single ring."""
+    rows = [(7, f"seven {i}") for i in range(200)] + [(None, f"none {i}") for i in range(150)]
+    rows += [(i * 10**12, f"far {i}") for i in range(-3, 4)] + [(i, f"near {i}") for i in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = winnowing.with_next(docs, "doc_id", "text", {}).collect()
+    after = {r.text: r.next_text for r in got}
+    assert len(got) == len(rows) and sorted(after) == sorted(after.values()) == sorted(t for _, t in rows)
+    ids, at, ring = dict((t, i) for i, t in rows), "far 3", []
+    for _ in rows:
+        ring.append(ids[at])
+        at = after[at]
+    known = [i for i in ring if i is not None]
+    assert at == "far 3" and known == sorted(known, reverse=True) and ring[len(known) :] == [None] * 150
+
+
 def test_winnowing_keeps_the_rightmost_of_equal_hashes(spark):
     row = spark.sql("SELECT 'aa bb aa bb aa bb aa bb aa bb aa bb' AS text").select(winnowing.winnow(F.col("text"), 2, 4).alias("k")).first()
     at = [winnowing._TOP - (v & winnowing._TOP) for v in row.k]
