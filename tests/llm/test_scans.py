@@ -229,27 +229,58 @@ def test_winnowing_finds_shared_passages(spark):
 
 
 def test_license_scores_match_plain_tf_idf(spark):
-    said = ["Licensed under the MIT License.", "licensed under CC BY-NC 4.0", "Copyright 2020 nobody.", "This license is odd."]
-    frame = spark.createDataFrame([(s,) for s in said], "statement string")
-    tokens = lambda s: re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", s.lower())
-    every = [*said, *(t for _, t in licenses.TEMPLATES)]
-    df = Counter(t for s in every for t in set(tokens(s)))
+    said = ["Licensed under the MIT License.", "licensed under CC BY-NC 4.0", "Copyright 2020 nobody.", "This licence is odd.", "", prose(1, 60)]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    tokens = lambda s: re.findall(r"[a-z0-9]+", s.lower().replace("licence", "license"))
+    df = Counter(t for s in said for t in set(tokens(s)))
+    holders = {}
+    for name, text in licenses.TEMPLATES:
+        for t in tokens(text):
+            holders.setdefault(t, set()).add(name)
+    n = len({name for name, _ in licenses.TEMPLATES})
 
     def vector(s):
-        return {t: n * (math.log((len(every) + 1) / (df[t] + 1)) + 1) for t, n in Counter(tokens(s)).items()}
+        rare = {t: math.log((len(said) + 1) / (df[t] + 1)) + 1 for t in tokens(s)}
+        return {t: c * rare[t] * (math.log((n + 1) / (len(holders.get(t, ())) + 1)) + 0.1) for t, c in Counter(tokens(s)).items()}
 
     def cosine(a, b):
         dot = sum(x * b.get(t, 0) for t, x in a.items())
-        return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+        return dot / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if dot else 0
 
     want = {}
-    for s in said:
-        score, name = max(((round(cosine(vector(s), vector(t)), 9), n) for n, t in licenses.TEMPLATES), key=lambda x: (x[0], x[1]))
-        if score >= licenses.COSINE:
-            want[s] = (name, score)
-    got = {r.statement: (r.license, r.score) for r in licenses.score_statements(spark, frame).collect()}
+    for i, s in enumerate(said):
+        score, name = min((-round(cosine(vector(s), vector(t)), 9), name) for name, t in licenses.TEMPLATES)
+        want[i] = (name, -score) if -score >= licenses.COSINE else (None, None)
+    got = {r.doc_id: (r.own_license, r.own_score) for r in licenses.scan_licenses(docs, F.lit(None).cast("string")).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
-    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want if want[k][0])
+    assert want[0][0] == "MIT" and want[1][0] == "CC-BY-NC-4.0" and want[5][0] is None
+
+
+def test_licenses_in_their_written_forms(spark):
+    grant = licenses._MIT_GRANT
+    said = {
+        "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0",
+        "MIT License": "MIT",
+        grant: "MIT",
+        "\n".join(grant[i : i + 60] for i in range(0, len(grant), 60)): "MIT",
+        "GPL-3.0-or-later": "GPL-3.0",
+        "SPDX-License-Identifier: Nobodys-Own-7.3": None,
+        "All rights reserved.": "Proprietary",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+        "Released under the MIT Licence.": "MIT",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "The lease may be renewed under the conditions that the owner of the house has set out.": None,
+    }
+    rows = [(i, text) for i, text in enumerate(said)] + [(100 + i, prose(i, 200)) for i in range(40)]
+    rows += [(200, f"{prose(7, 150)}. Released under the MIT License. {prose(8, 90)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scan_licenses(docs, F.lit(None).cast("string")).collect()}
+    assert [got[i] for i in range(len(said))] == list(said.values())
+    assert got[200] == "MIT" and {got[100 + i] for i in range(40)} == {None}
 
 
 def test_license_inheritance(spark):
