@@ -11,7 +11,9 @@ fails its test is dropped without another try.  Further kinds are ``login`` (use
 address with a scheme), ``account`` (digits after a cue) and ``iban`` (valid check digits).
 
 Defined results: null counts as an empty text; offsets are code points; spans of different
-kinds may overlap; a null id stays null; other columns are never read.
+kinds may overlap; a null id stays null; other columns, whatever their names, are never read; repeated
+rows are separate rows; an empty table gives no rows.  Texts, runs of digits and identifiers of any
+length are read whole, in linear time.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "konto"
 
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9]){11,}")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN = re.compile(r"[^\s/@:?#]++(?::[^\s/@]*+)?@")
@@ -47,8 +49,14 @@ LOGIN = re.compile(r"[^\s/@:?#]++(?::[^\s/@]*+)?@")
 FILLER = r"(?:[ ]?(?:(?i:number|no\.?|nr\.?|id)(?![A-Za-z0-9])|number|no\.?|nr\.?|id))?(?:[ ](?i:is)(?![A-Za-z0-9]))?[ ]?[:=#]?[ ]?"
 # digits in groups, eight or more in all, or an identifier without spaces
 GROUPED = r"(?=[0-9](?:[ .-]?[0-9]){7})[0-9]{2,6}(?:[ -][0-9]{2,11}|\.[0-9]{3,11})+(?!-?[A-Za-z0-9])"
-COMPACT = r"(?=[A-Z0-9-]*[0-9]{4})[A-Z0-9][A-Z0-9-]{4,33}[A-Z0-9](?![A-Za-z0-9])"
-ACCOUNT = re.compile(f"{FILLER}({GROUPED}|{COMPACT})")
+GROUPED_ACCOUNT = re.compile(GROUPED)
+FILLERS = re.compile(f"{FILLER}[A-Z0-9]")  # and the first character of the identifier
+#: " number is : " is the longest filler
+FILLER_LENGTH = len(" number is : ")
+RUN = re.compile(r"[A-Z0-9-]+")
+QUAD = re.compile(r"[0-9]{4}")
+#: least characters of an identifier without spaces
+COMPACT = 6
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -87,6 +95,34 @@ def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
+class _Compact:
+    """Identifiers of capitals, digits and hyphens with four digits in a row; each run of them is looked at once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, 0, 0
+
+    def at(self, start: int) -> int:
+        """The end of the identifier that starts at ``start``, or 0."""
+        if not self.start <= start < self.end:
+            run = RUN.match(self.text, start)
+            if run is None:
+                return 0
+            self.start, self.end = run.span()
+            after = self.text[self.end : self.end + 1]
+            stop = self.text.rfind("-", self.start, self.end) if after and "a" <= after <= "z" else self.end
+            while stop > self.start and self.text[stop - 1] == "-":
+                stop -= 1
+            self.stop = stop
+            self.quad = self._last_quad(run[0])
+        fits = self.text[start] != "-" and self.stop - start >= COMPACT and self.quad >= start
+        return self.stop if fits else 0
+
+    def _last_quad(self, run: str) -> int:
+        """Where the last four digits in a row start."""
+        found = QUAD.search(run[::-1])
+        return self.start + len(run) - found.end() if found else -1
+
+
 class Finder:
     """Spans of one text after the other, as (start, rank, end)."""
 
@@ -100,9 +136,21 @@ class Finder:
             self.anchors.add_word(cue.lower(), ("cue", len(cue)))
         self.anchors.make_automaton()
 
+    @staticmethod
+    def _account(text: str, at: int, compact: _Compact) -> tuple[int, int] | None:
+        """The identifier behind a cue that ends at ``at``: after the longest filler that leaves one."""
+        for start in range(min(at + FILLER_LENGTH, len(text) - 1), at - 1, -1):
+            if FILLERS.fullmatch(text, at, start + 1):
+                grouped = GROUPED_ACCOUNT.match(text, start)
+                end = grouped.end() if grouped else compact.at(start)
+                if end:
+                    return start, end
+        return None
+
     def find(self, text: str) -> list[tuple[int, int, int]]:
         out = []
-        after_email = after_phone = 0
+        after_email = after_phone = after_account = 0
+        compact = _Compact(text)
         for last, (what, _) in self.anchors.iter(lower_in_place(text)):
             if what == "@":
                 hit = _email(text, last, after_email)
@@ -120,9 +168,10 @@ class Finder:
                 if hit:
                     out.append((last + 1, 4, hit.end() - 1))
             else:
-                hit = ACCOUNT.match(text, last + 1)
-                if hit:
-                    out.append((hit.start(1), 5, hit.end(1)))
+                hit = self._account(text, last + 1, compact)
+                if hit and hit[0] >= after_account:
+                    out.append((hit[0], 5, hit[1]))
+                    after_account = hit[1]
         for m in IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))

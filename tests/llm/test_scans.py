@@ -137,6 +137,18 @@ def test_account_numbers_in_their_written_forms(text, number):
     assert [text[s:e] for s, r, e in pii.Finder().find(text) if pii.KINDS[r] == "account"] == ([number] if number else [])
 
 
+def test_long_runs_of_personal_data_take_linear_time():
+    find = pii.Finder().find
+    number = "AB" + "1234567890" * 6
+    assert [(s, e) for s, r, e in find(f"account {number}, then") if r == 5] == [(8, 8 + len(number))]
+    assert [(s, e) for s, r, e in find(f"account {number}-78-xy") if r == 5] == [(8, 11 + len(number))]
+    began = time.time()
+    assert find("1" * 200_000 + ".2") == [] and find("IBAN" * 50_000) == []
+    assert find("IBAN" * 50_000 + "1234") == [(4, 5, 200_004)]
+    assert find("IBAN" * 50_000 + "1234x") == [] and find("1.2.3." + "4" * 100_000 + " 7.7.7.7")[-1][1] == 1
+    assert time.time() - began < 20
+
+
 def plain_tokens(text):
     words = re.findall(r"\S+", (text or "").lower(), re.ASCII)
     return [t for word in words for t in ([word] if len(word) <= 16 else word)]
