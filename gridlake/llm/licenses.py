@@ -6,10 +6,12 @@ compared with every template: names and identifiers of each licence, its usual s
 notice or permission text.  A term weighs its count, times its rarity over all documents, times its
 rarity over the licences, so that words that all licences share tell nothing.
 
-A first scan counts, for every term, the documents that hold it.  A template is then sorted by
-weight; a unit without any of its first terms cannot reach the cosine, because the rest of the
-template is too short (prefix filter, which loses nothing).  A second scan keeps the units with such
-terms; equal units are scored once, by joins on terms.
+A first scan counts, for every term, the documents that hold it.  A second scan keeps the units that
+may reach the cosine, by bounds that lose nothing: a unit needs one of a template's first terms by
+weight, the rest of the template being too short (prefix filter); the terms that some template has
+must make up enough of the unit's length, other terms being counted at their least weight; and the
+terms shared with one template must make up enough of that one's length.  Equal units are scored once, by
+joins on terms.  The second scan is the only Python stage; a task holds one batch of texts.
 
 A file's own licence is its best unit's.  A file that is a licence file (by name, or because named
 units make up enough of its words) licenses its directory, and a file without a licence takes that of
@@ -26,14 +28,27 @@ length are read whole; other columns, whatever their names, are never read.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+import sys
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.staging import stage
+from .arrow import forget, give_back, slices, texts
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BATCH = 4 << 20
 
 # Identifiers and names of licences.
 NAMES = (
@@ -124,10 +139,6 @@ COSINE, SHARE = 0.6, 0.5
 PLAIN = 0.1
 
 
-def words(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""))
-
-
 def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.replace(F.lower(text), F.lit("licence"), F.lit("license")), F.lit("([a-z0-9]+)"))
 
@@ -142,7 +153,8 @@ class Models(NamedTuple):
     """Weights of the templates' terms, bounded by the list of templates."""
 
     rows: list[tuple[int, str, str, float, float]]  # template, license, term, weight, length of the template
-    first: list[str]  # a unit without any of these reaches no template
+    first: frozenset[str]  # a unit without any of these reaches no template
+    weights: dict[str, float]  # of one occurrence of a template's term
     shared: list[tuple[str, float]]  # rarity of a term over the licences
     unshared: float  # and of a term that no licence has
     documents: int
@@ -164,8 +176,9 @@ def learn_models(spark: SparkSession, frequencies: DataFrame, documents: int, te
     licenses = len({name for _, name, _ in said})
     shared = {t: math.log((licenses + 1.0) / (len(h) + 1.0)) + PLAIN for t, h in holders.items()}
     rows, first = [], set()
+    single = {t: rarity(documents, df.get(t, 0)) * w for t, w in shared.items()}
     for template, name, found in said:
-        weights = {t: n * rarity(documents, df.get(t, 0)) * shared[t] for t, n in Counter(found).items()}
+        weights = {t: n * single[t] for t, n in Counter(found).items()}
         length = math.sqrt(sum(w * w for w in weights.values()))
         rest = length * length
         for term, weight in sorted(weights.items(), key=lambda x: (-x[1], x[0])):
@@ -174,27 +187,85 @@ def learn_models(spark: SparkSession, frequencies: DataFrame, documents: int, te
             first.add(term)
             rest -= weight * weight
         rows += [(template, name, t, w, length) for t, w in weights.items()]
-    return Models(rows, sorted(first), sorted(shared.items()), math.log(licenses + 1.0) + PLAIN, documents)
-
-
-def units(text: Column, path: Column, models: Models) -> Column:
-    """Lines and sentences (kind 0), paragraphs (1) and the whole of a licence file (2) that may name a licence."""
-    first = F.array(*(F.lit(t) for t in models.first))
-
-    def of(kind: int, parts: Column) -> Column:
-        found = F.transform(parts, lambda s: F.struct(F.lit(kind).alias("kind"), words(s).alias("words"), terms(s).alias("terms")))
-        return F.filter(found, lambda u: F.arrays_overlap(u["terms"], first))
-
-    said = F.concat(
-        of(0, F.split(text, r"\n|(?<=[.!?])\s+")),
-        of(1, F.split(text, r"\n[ \t\r]*\n\s*")),
-        F.when(path.rlike(FILE_NAME), of(2, F.array(text))).otherwise(of(2, F.array().cast("array<string>"))),
-    )
-    named = F.transform(
-        said, lambda u: F.struct(u["kind"].alias("kind"), u["words"].alias("words"), F.md5(F.array_join(u["terms"], " ")).alias("unit"), u["terms"].alias("terms"))
-    )
-    nothing = F.array().cast("array<struct<kind:int,words:int,unit:string,terms:array<string>>>")
-    return F.when(F.arrays_overlap(terms(text), first), named).otherwise(nothing)
+    return Models(rows, frozenset(first), single, sorted(shared.items()), math.log(licenses + 1.0) + PLAIN, documents)
+
+
+LINE = re.compile(r"\n|(?<=[.!?])\s+", re.ASCII)
+PARAGRAPH = re.compile(r"\n[ \t\r]*\n\s*", re.ASCII)
+TERM = re.compile("[a-z0-9]+")
+LICENSE_FILE = re.compile(FILE_NAME)
+UNITS = "array<struct<kind:int,words:int,unit:string,terms:array<string>>>"
+
+
+class Reader:
+    """Units of texts that may reach a template."""
+
+    def __init__(self, models: Models, least: float):
+        self.models, self.least = models, least * least * (1 - 1e-9)
+        self.shares = defaultdict(list)
+        for template, _, term, weight, length in models.rows:
+            self.shares[term].append((template, (weight / length) ** 2))
+
+    def may_reach(self, found: list[str]) -> bool:
+        if self.models.first.isdisjoint(found):
+            return False
+        known, inside, outside = [], 0.0, 0.0
+        for term, n in Counter(found).items():
+            weight = self.models.weights.get(term)
+            if weight is None:
+                outside += (n * self.models.unshared) ** 2
+            else:
+                inside += (n * weight) ** 2
+                known.append(term)
+        if inside < self.least * (inside + outside):
+            return False
+        shared = defaultdict(float)
+        for term in known:
+            for template, share in self.shares[term]:
+                shared[template] += share
+        return max(shared.values()) >= self.least
+
+    def units(self, text: str, path: str | None) -> list[tuple[int, int, str, list[str]]]:
+        low = text.lower().replace("licence", "license")
+        if self.models.first.isdisjoint(TERM.findall(low)):
+            return []
+        parts = [(0, p) for p in LINE.split(low)] + [(1, p) for p in PARAGRAPH.split(low)]
+        if path is not None and LICENSE_FILE.search(path):
+            parts.append((2, low))
+        out = []
+        for kind, part in parts:
+            found = TERM.findall(part)
+            if self.may_reach(found):
+                out.append((kind, len(part.split()), hashlib.md5(" ".join(found).encode()).hexdigest(), found))
+        return out
+
+
+def _reading(models: Models, least: float, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        reader = Reader(models, least)
+        for batch in slices(batches, 0, BATCH):
+            values = texts(batch.column(0))
+            found = [reader.units(t, p) for t, p in zip(values, batch.column(3).to_pylist())]
+            named = ("kind", "words", "unit", "terms")
+            columns = [
+                *batch.columns[1:],
+                pa.array([len(t.split()) if u else 0 for t, u in zip(values, found)], pa.int32()),
+                pa.array([[dict(zip(named, u)) for u in us] for us in found], schema.field("units").type),
+            ]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        give_back()
+
+    return run
+
+
+def read_units(source: DataFrame, models: Models, least: float = COSINE) -> DataFrame:
+    """``row, doc_id, path, words`` and ``units``: lines and sentences (kind 0), paragraphs (1) and the whole of a
+    licence file (2) that may name a licence; ``words`` of the text, 0 without units.
+    """
+    out = T.StructType.fromDDL(f"row long, doc_id long, path string, words int, units {UNITS}")
+    rows = source.select("text", F.monotonically_increasing_id().alias("row"), "doc_id", "path")
+    return rows.mapInArrow(_reading(models, least, to_arrow_schema(out)), out)
 
 
 def score_units(said: DataFrame, frequencies: DataFrame, models: Models, least: float = COSINE) -> DataFrame:
@@ -236,10 +307,7 @@ def scan_licenses(files: DataFrame, path: Column, share: float = SHARE, template
     )
     frequencies = stage(document_frequencies(source), "frequencies")
     models = learn_models(files.sparkSession, frequencies, source.count(), templates)
-    scanned = source.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "path", units(F.col("text"), F.col("path"), models).alias("units"),
-        F.when(F.arrays_overlap(terms(F.col("text")), F.array(*(F.lit(t) for t in models.first))), words(F.col("text"))).otherwise(0).alias("words"),
-    )
+    scanned = read_units(source, models)
     scanned = stage(scanned.withColumn("directory", F.regexp_replace("path", r"/?[^/]*$", "")), "licenses")
     said = scanned.select("row", F.inline("units"))
     known = stage(score_units(said.select("unit", "terms"), frequencies, models), "statements")
