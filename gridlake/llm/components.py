@@ -8,18 +8,29 @@ from pyspark.sql import functions as F
 from ..plans.staging import stage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Link every neighbour of a node to the least node of its neighbourhood."""
-    if large:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    joined = both.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-    if large:
-        moved = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        moved = joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+#: the neighbours of a node are dealt to this many parts
+PARTS = 32
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link every greater neighbour of a node to the least node of its neighbourhood.
+
+    A hub meets its neighbours in parts, each of which learns the least node of all parts.
+    """
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = both.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    parts = both.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = parts.groupBy("u").agg(F.least(F.col("u"), F.min("m")).alias("m"))
+    least = parts.select("u", "part").join(least, "u")
+    moved = both.join(least, ["u", "part"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.where(F.col("u") != F.col("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link a node and its lesser neighbours to the least of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    moved = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return moved.where(F.col("u") != F.col("v"))
 
 
@@ -34,12 +45,12 @@ def _unsettled(edges: DataFrame) -> bool:
 def connected(edges: DataFrame) -> DataFrame:
     """``node, component`` (the least node reachable) of every node with a link; ``edges`` has ``u, v``.
 
-    A hub with very many links is spread by Spark's skew join; nothing gathers a neighbourhood.
+    A hub with very many links is dealt in parts; nothing gathers a neighbourhood.
     Each round is written to the shared folder, which cuts lineage, and rounds end when all links
     go from a node to its root.  Their number grows with the logarithm of the longest path.
     """
     edges = stage(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while _unsettled(edges):
-        edges = stage(_star(_star(edges, True), False).distinct(), "stars")
+        edges = stage(_small_star(_large_star(edges)).distinct(), "stars")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(roots)
