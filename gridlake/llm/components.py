@@ -12,25 +12,28 @@ from ..plans.staging import stage
 PARTS = 32
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every greater neighbour of a node to the least node of its neighbourhood.
+def _with_least(rows: DataFrame) -> DataFrame:
+    """``u, v`` and the least ``m`` of ``u`` and all its ``v``.
 
     A hub meets its neighbours in parts, each of which learns the least node of all parts.
     """
-    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = both.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
-    parts = both.groupBy("u", "part").agg(F.min("v").alias("m"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    parts = rows.groupBy("u", "part").agg(F.min("v").alias("m"))
     least = parts.groupBy("u").agg(F.least(F.col("u"), F.min("m")).alias("m"))
-    least = parts.select("u", "part").join(least, "u")
-    moved = both.join(least, ["u", "part"]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return rows.join(parts.select("u", "part").join(least, "u"), ["u", "part"])
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link every greater neighbour of a node to the least node of its neighbourhood."""
+    both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    moved = _with_least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.where(F.col("u") != F.col("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its lesser neighbours to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    moved = _with_least(down).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
     return moved.where(F.col("u") != F.col("v"))
 
 
