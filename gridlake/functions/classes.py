@@ -15,9 +15,11 @@ CODES = (
 )
 
 # The shapes of numbers, rates and amounts.
-NUMERIC = rf"^[+-]?[0-9.,{WS}]+\z"
-RATE = rf"^[+-]?[0-9.,{WS}]+%\z"
-MONEY = rf"^[{CUR}]?[{WS}]*[+-]?[0-9.,{WS}]+[{CUR}]?\z"
+# Plain digits and marks are tried before the long list of white space.
+_FIGURES = rf"(?=[0-9.,{WS}])[0-9.,]*+[0-9.,{WS}]*+"
+NUMERIC = rf"^[+-]?{_FIGURES}\z"
+RATE = rf"^[+-]?{_FIGURES}%\z"
+MONEY = rf"^[{CUR}]?[{WS}]*[+-]?{_FIGURES}[{CUR}]?\z"
 PERCENT_SAMPLE = rf"^[0-9]+\.?[0-9]*[{WS}]*%\z"
 
 _AMOUNT = rf"[+-]?[0-9.{WS}]+(?:[,.][0-9]{{2}})?"

@@ -116,7 +116,15 @@ def parse_date(value: Column | str, dayfirst: bool = True) -> Column:
             F.substring_index(c, "-", -1),
         ).try_cast("date")
 
-    return let(js_trim(col(value)), lambda v: let(_canonical(v, dayfirst), assemble))
+    # the commonest shape needs no month name and no second look
+    numbers_only = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})\z"
+    ordered = "$3-$2-$1" if dayfirst else "$3-$1-$2"
+
+    def parse(v: Column) -> Column:
+        common = F.regexp_replace(v, numbers_only, ordered).try_cast("date")
+        return F.when(v.rlike(numbers_only), common).otherwise(let(_canonical(v, dayfirst), assemble))
+
+    return let(js_trim(col(value)), parse)
 
 
 def next_reset(moment: Column | str) -> Column:

@@ -30,7 +30,9 @@ def parse_number(value: Column | str, decimal: Column | str = ".", on_bad: str =
         plain = F.when(decimal == ",", comma).otherwise(digits("."))
     size = plain.try_cast("double")
     minus = text.contains("-") & text.rlike(f"^[{WS}{CUR}%]*-")
-    number = size * F.when(minus, F.lit(-1.0)).otherwise(F.lit(1.0)) + 0.0
+    signed = F.when(minus, size * -1.0 + 0.0).otherwise(size)
+    # nothing to drop from digits alone
+    number = F.when(text.rlike(r"^[0-9]+\z"), text.try_cast("double")).otherwise(signed)
     return number if on_bad == "null" else F.coalesce(number, F.lit(0.0))
 
 
@@ -87,10 +89,14 @@ def decide_format(comma_dec: Column, dot_dec: Column, dot_group: Column, comma_g
     return F.when(comma_dec + dot_dec > 0, with_dec).otherwise(without)
 
 
+def core_evidence(core: Column) -> dict[str, Column]:
+    """Boolean Columns, one per evidence kind, for a :func:`number_core`; only a core that holds the mark meets the pattern."""
+    return {name: core.contains("," if name.startswith("comma") else ".") & core.rlike(pattern) for name, pattern in FORMAT_EVIDENCE.items()}
+
+
 def format_evidence(value: Column) -> dict[str, Column]:
     """Boolean Columns, one per evidence kind, for one trimmed sample value."""
-    core = number_core(value)
-    return {name: core.rlike(pattern) for name, pattern in FORMAT_EVIDENCE.items()}
+    return core_evidence(number_core(value))
 
 
 __all__ = [
@@ -98,6 +104,7 @@ __all__ = [
     "format_number",
     "number_core",
     "decide_format",
+    "core_evidence",
     "format_evidence",
     "FORMAT_EVIDENCE",
     "js_trim",

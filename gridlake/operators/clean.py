@@ -39,40 +39,22 @@ def _bits(columns: Column, first: Column | int = 0) -> Column:
     return F.aggregate(columns, F.lit(0).cast("bigint"), add)
 
 
-def _columns(bits: Column, first: Column | int = 0) -> Column:
-    """The columns of a word's bits, in order."""
-    places = F.sequence(F.lit(0).cast("bigint"), F.lit(WORD - 1).cast("bigint"))
+def _columns(bits: Column, first: Column | int = 0, width: Column | None = None) -> Column:
+    """The columns of a word's bits, in order; no more than ``width`` are looked at."""
+    last = F.lit(WORD) if width is None else F.greatest(F.least(F.lit(WORD), width), F.lit(1))
+    places = F.sequence(F.lit(0).cast("bigint"), (last - 1).cast("bigint"))
     return F.transform(F.filter(places, lambda i: F.getbit(bits, i.cast("int")) == 1), lambda i: i + first)
 
 
-def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
-    """Pad, drop columns that are empty everywhere, drop empty body rows, renumber rows.
+def _all_visible(held: Column) -> Column:
+    """True only if every text begins with a visible ASCII character: one pattern over the row, no loop over cells."""
+    return F.coalesce(F.array_join(held, "\n", "").rlike(r"\A[!-~][^\n]*+(?:\n[!-~][^\n]*+)*+\z"), F.lit(False))
 
-    A row is non-empty in the kept columns exactly when it has any text at all, so one
-    aggregate over (table, bucket) yields the filled columns and the surviving row counts
-    together.  Filled columns are bits of a long, or-ed on the way; only rows that reach past the first
-    word are taken apart, into words.  That aggregate has one row per 65 536 grid rows of a table; it is staged,
-    because both the kept columns of the table and the row offsets of its buckets come
-    from it.  Rows are then renumbered inside their bucket.  A table without any text is
-    only padded.  A grid in runs comes out with ``cells``: its kept columns all hold text.
-    """
-    runs = has_runs(grid)
-    own = [c for c in grid.columns if c not in ("width", "at")]
-    own = ["cells" if c == "texts" else c for c in own]
-    held = "texts" if runs else "cells"
-    if runs:
-        filled = F.zip_with(held, run_columns(), lambda t, c: F.when(has_text(t), c))
-    else:
-        filled = F.transform(held, lambda t, i: F.when(has_text(t), i.cast("bigint")))
-    filled = F.filter(filled, lambda c: c.isNotNull())
-    width = F.col("width") if runs else F.size(held).cast("bigint")
-    marked = grid.withColumn("_bucket", bucket(size=bucket_rows))
-    seen = marked.select(*KEY, "row_idx", "_bucket", width.alias("_w"), filled.alias("_filled"))
-    alive = (F.col("row_idx") == 0) | (F.size("_filled") > 0)
+
+def _bucket_facts(seen: DataFrame) -> DataFrame:
+    """``KEY, _bucket``: rows before the bucket, all and those with text, and width and kept columns of the table."""
     per_bucket = stage(
-        seen.select(*KEY, "_bucket", "_w", alive.alias("_alive"), _bits(F.col("_filled")).alias("_bits"))
-        .groupBy(*KEY, "_bucket")
-        .agg(
+        seen.groupBy(*KEY, "_bucket").agg(
             F.bit_or("_bits").alias("_bits"),
             F.max("_w").alias("_w"),
             F.count("*").alias("_rows"),
@@ -102,28 +84,82 @@ def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
         F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows_before"),
         F.coalesce(F.sum("_live").over(before), F.lit(0)).alias("_live_before"),
     )
-    facts = join_null_safe(offsets, kept, KEY)
-    blank = F.size("_keep") == 0
-    text = F.exists(held, has_text)
+    return join_null_safe(offsets, kept, KEY)
+
+
+def clean_tables(grid: DataFrame, bucket_rows: int | None = None) -> DataFrame:
+    """Pad, drop columns that are empty everywhere, drop empty body rows, renumber rows.
+
+    A row is non-empty in the kept columns exactly when it has any text at all, so the filled columns and the
+    surviving rows are found together.  Filled columns are bits of a long, or-ed on the way.  Rows meet in their
+    (table, bucket) once; a bucket holds 65 536 grid rows at most.  A table of one bucket and one word of columns
+    is settled by a window over it.  Only the others need facts from a pass of their own, staged: the kept
+    columns of the table, whose rows past the first word are taken apart into words, and the row offsets of its
+    buckets.  A table without any text is only padded.  A grid in runs comes out with ``cells``: its kept columns
+    all hold text.
+    """
+    runs = has_runs(grid)
+    own = [c for c in grid.columns if c not in ("width", "at")]
+    own = ["cells" if c == "texts" else c for c in own]
+    held = "texts" if runs else "cells"
+    if runs:
+        filled = F.zip_with(held, run_columns(), lambda t, c: F.when(has_text(t), c))
+    else:
+        filled = F.transform(held, lambda t, i: F.when(has_text(t), i.cast("bigint")))
+    filled = F.filter(filled, lambda c: c.isNotNull())
+    width = F.col("width") if runs else F.size(held).cast("bigint")
+    dense = F.col("at").isNull() if runs else F.lit(True)
+    marked = grid.withColumns(
+        {"_bucket": bucket(size=bucket_rows), "_w": width, "_full": _all_visible(F.col(held)) & dense}
+    )
+    low = F.col("_full") & (F.size(held) <= WORD)
+    ones = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.size(held)) - 1
+    text = F.when(F.col("_full"), F.lit(True)).otherwise(F.exists(held, has_text))
+    marked = marked.withColumns(
+        {"_bits": F.when(low, ones).otherwise(_bits(filled)), "_alive": (F.col("row_idx") == 0) | text}
+    )
+    one_bucket = F.coalesce(bucket(size=bucket_rows) == 0, F.lit(False))
+    large = stage(grid.where(~one_bucket | (width > WORD)).select(*KEY).distinct(), "clean-large")
+    seen = join_null_safe(marked, large, KEY, "left_semi").withColumn("_filled", filled)
+    facts = stage(_bucket_facts(seen), "clean-facts")
+    rows = join_null_safe(marked, facts, [*KEY, "_bucket"], "left")
+
+    ordered = Window.partitionBy(*KEY, "_bucket").orderBy("row_idx")
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns(
+        {
+            "_bits": F.bit_or("_bits").over(every),
+            "_w": F.max("_w").over(every),
+            "_row": F.row_number().over(ordered),
+            "_live": F.count_if("_alive").over(so_far),
+        }
+    )
+    wide = F.coalesce("_width", "_w")
+    blank = F.coalesce(F.size("_keep") == 0, F.col("_bits") == 0)
+    keep = F.coalesce("_keep", _columns(F.col("_bits"), width=wide))
     if runs:
         at = F.when(F.col("at").isNull(), F.lit(None)).otherwise(F.map_from_arrays("at", "texts"))
-        rows = join_null_safe(marked.withColumn("_at", at), facts, [*KEY, "_bucket"])
+        rows = rows.withColumn("_at", at)
         value = lambda i: F.when(F.col("at").isNull(), F.get("texts", i.cast("int"))).otherwise(F.try_element_at("_at", i))
     else:
-        rows = join_null_safe(marked, facts, [*KEY, "_bucket"])
         value = lambda i: F.get(held, i.cast("int"))
-    padded = F.array_repeat(F.lit(""), F.col("_width").cast("int"))
+    padded = F.array_repeat(F.lit(""), wide.cast("int"))
     if not runs:
         padded = F.transform(padded, lambda blank, i: F.coalesce(F.get(held, i), blank))
-    cells = F.when(blank, padded).otherwise(
-        F.transform("_keep", lambda i: F.coalesce(value(i), F.lit("")))
+    # a row that fills its table's width keeps every column
+    cells = (
+        F.when(F.col("_full") & (F.size(held) == wide), F.col(held))
+        .when(blank, padded)
+        .otherwise(F.transform(keep, lambda i: F.coalesce(value(i), F.lit(""))))
+    )
+    place = F.when(blank, F.coalesce("_rows_before", F.lit(0)) + F.col("_row")).otherwise(
+        F.coalesce("_live_before", F.lit(0)) + F.col("_live")
     )
-    within = Window.partitionBy(*KEY, "_bucket").orderBy("row_idx")
-    offset = F.when(blank, F.col("_rows_before")).otherwise(F.col("_live_before"))
     return (
-        rows.where(blank | (F.col("row_idx") == 0) | text)
-        .withColumn("row_idx", offset + F.row_number().over(within) - 1)
+        rows.where(blank | F.col("_alive"))
         .withColumn("cells", cells)
+        .withColumn("row_idx", place - 1)
         .select(*own)
     )
 

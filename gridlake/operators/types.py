@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.classes import PERCENT_SAMPLE, is_numeric_kind, looks_like_money, value_class
 from ..functions.dates import looks_like_date, parse_date
-from ..functions.numbers import FORMAT_EVIDENCE, decide_format, format_evidence, parse_number
+from ..functions.numbers import FORMAT_EVIDENCE, core_evidence, decide_format, format_evidence, number_core, parse_number
 from ..functions.text import CUR, WS, js_trim
 from .grid import KEY, attach, dense_grid, join_null_safe, to_cells
 
@@ -47,11 +47,16 @@ def _class_of(trimmed: Column, row: Column) -> Column:
     return F.when((row > 0) & (trimmed != ""), value_class(trimmed))
 
 
-def _measures(v: Column, cls: Column, row: Column, sample_rows: int | None = None) -> dict[str, Column]:
-    """Aggregates that decide type and format, from the trimmed value and its class."""
-    sample = cls.isNotNull() & v.rlike("[0-9]")
+def _core_of(v: Column, cls: Column, row: Column, sample_rows: int | None = None) -> Column:
+    """The number core of a value that tells a format; one without a comma or a dot tells none."""
+    sample = cls.isNotNull() & (v.contains(",") | v.contains(".")) & v.rlike("[0-9]")
     if sample_rows is not None:
         sample = sample & (row <= sample_rows)
+    return F.when(sample, number_core(v))
+
+
+def _measures(v: Column, cls: Column, core: Column) -> dict[str, Column]:
+    """Aggregates that decide type and format, from the trimmed value, its class and its number core."""
     odd = F.when(cls != "n", F.xxhash64(v))  # numbers keep the aggregate in a hash table
     out = {
         "n_values": F.count(cls),
@@ -62,8 +67,8 @@ def _measures(v: Column, cls: Column, row: Column, sample_rows: int | None = Non
         "odd_lo": F.min(odd),
         "odd_hi": F.max(odd),
     }
-    for name, hit in format_evidence(v).items():
-        out[name] = F.count_if(sample & hit)
+    for name, hit in core_evidence(core).items():
+        out[name] = F.count_if(hit)
     return out
 
 
@@ -120,11 +125,12 @@ def column_evidence(grid: DataFrame, sample_rows: int | None = None) -> DataFram
     ``KEY, col_idx``, the header where the part holds the header row, the counts, and ``last_row``.
     """
     row = F.col("row_idx")
-    measures = _measures(F.col("_v"), F.col("_cls"), row, sample_rows)
+    measures = _measures(F.col("_v"), F.col("_cls"), F.col("_core"))
     stats = (
         to_cells(grid.where(row > 0))
         .withColumn("_v", js_trim(F.col("value")))
         .withColumn("_cls", _class_of(F.col("_v"), row))
+        .withColumn("_core", _core_of(F.col("_v"), F.col("_cls"), row, sample_rows))
         .groupBy(*KEY, "col_idx")
         .agg(F.max(row).alias("last_row"), *[m.alias(name) for name, m in measures.items()])
     )
@@ -170,20 +176,26 @@ def infer_types(
     return decide_profile(column_evidence(grid, sample_rows), overrides)
 
 
-def attach_profile(grid: DataFrame, profile: DataFrame) -> DataFrame:
-    """Body rows with ``cols``: per column header, type and decimal separator.
+def _facts(c: Column) -> Column:
+    """What parsing needs to know of a column, settled once per table and not in every cell."""
+    return F.struct(
+        c["col_idx"].alias("col_idx"),
+        is_numeric_kind(c["type"]).alias("numeric"),
+        (c["type"] == "date").alias("date"),
+        F.coalesce(c["decimal"], F.lit(".")).alias("mark"),
+    )
+
+
+def attach_profile(grid: DataFrame, profile: DataFrame, parsing: bool = False) -> DataFrame:
+    """Body rows with ``cols``: per column header, type and decimal separator; or, for ``parsing``, :func:`_facts`.
 
     The column facts travel as one array per table (as wide as a row), so rows are
     joined once and never exploded for it.
     """
-    facts = profile.groupBy(*KEY).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("col_idx", "header", "type", F.col("fmt.decimal").alias("decimal"))
-            )
-        ).alias("cols"),
-        F.max("last_row").alias("last_row"),
-    )
+    cols = F.sort_array(F.collect_list(F.struct("col_idx", "header", "type", F.col("fmt.decimal").alias("decimal"))))
+    facts = profile.groupBy(*KEY).agg(cols.alias("cols"), F.max("last_row").alias("last_row"))
+    if parsing:
+        facts = facts.withColumn("cols", F.transform("cols", _facts))
     body = dense_grid(grid).where(F.col("row_idx") > 0).select(*KEY, "row_idx", "cells")
     return attach(body, facts)
 
@@ -192,23 +204,21 @@ def typed_rows(
     grid: DataFrame, profile: DataFrame, on_bad: str = "zero", dayfirst: bool = True
 ) -> DataFrame:
     """Body rows with ``nums`` and ``dts``, the typed value of each column (else null)."""
-    rows = attach_profile(grid, profile)
+    rows = attach_profile(grid, profile, parsing=True)
 
-    def number(c: Column) -> Column:
-        value = F.get("cells", c["col_idx"])
-        return F.when(
-            is_numeric_kind(c["type"]), parse_number(value, F.coalesce(c["decimal"], F.lit(".")), on_bad)
-        )
+    def number(c: Column, value: Column) -> Column:
+        return F.when(c["numeric"], parse_number(value, c["mark"], on_bad))
 
-    def day(c: Column) -> Column:
-        return F.when(c["type"] == "date", parse_date(F.get("cells", c["col_idx"]), dayfirst))
+    def day(c: Column, value: Column) -> Column:
+        return F.when(c["date"], parse_date(value, dayfirst))
 
+    rows = rows.withColumn("_values", F.transform("cols", lambda c: F.get("cells", c["col_idx"])))
     return rows.select(
         *KEY,
         "row_idx",
         "cells",
-        F.transform("cols", number).alias("nums"),
-        F.transform("cols", day).alias("dts"),
+        F.zip_with("cols", "_values", number).alias("nums"),
+        F.zip_with("cols", "_values", day).alias("dts"),
     )
 
 
@@ -305,9 +315,12 @@ def profile_wide(
     classed = texts.select(
         "*", *[_class_of(F.col(f"_v{i}"), at).alias(f"_c{i}") for i in range(len(columns))]
     )
+    classed = classed.select(
+        "*", *[_core_of(F.col(f"_v{i}"), F.col(f"_c{i}"), at).alias(f"_n{i}") for i in range(len(columns))]
+    )
     entries = []
     for i, name in enumerate(columns):
-        measures = _measures(F.col(f"_v{i}"), F.col(f"_c{i}"), at)
+        measures = _measures(F.col(f"_v{i}"), F.col(f"_c{i}"), F.col(f"_n{i}"))
         entries.append(
             F.struct(
                 F.lit(i).alias("col_idx"),

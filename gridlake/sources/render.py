@@ -12,18 +12,28 @@ def escape_html(text: Column) -> Column:
 
 
 def html_row(cells: Column, tag: str = "td") -> Column:
+    """A row of cells, null ones left out; cells without anything to escape are joined as they are."""
     body = F.transform(cells, lambda c: F.concat(F.lit(f"<{tag}>"), escape_html(c), F.lit(f"</{tag}>")))
-    return F.concat(F.lit("<tr>"), F.array_join(body, ""), F.lit("</tr>"))
+    texts = F.array_join(cells, "")
+    plain = (texts != "") & ~(texts.contains("&") | texts.contains("<") | texts.contains(">"))
+    bare = F.concat(F.lit(f"<{tag}>"), F.array_join(cells, f"</{tag}><{tag}>"), F.lit(f"</{tag}>"))
+    return F.concat(F.lit("<tr>"), F.when(plain, bare).otherwise(F.array_join(body, "")), F.lit("</tr>"))
+
+
+def html_row_of(*cells: Column) -> Column:
+    """The same of single columns, without an array of them; a null cell is left out there too."""
+    body = [F.coalesce(F.concat(F.lit("<td>"), escape_html(c), F.lit("</td>")), F.lit("")) for c in cells]
+    return F.concat(F.lit("<tr>"), *body, F.lit("</tr>"))
 
 
 def html_table(header: list[str | Column], rows: Column, attributes: str = "") -> Column:
+    return html_table_of(header, F.array_join(F.transform(rows, lambda r: html_row(r)), ""), attributes)
+
+
+def html_table_of(header: list[str | Column], body: Column, attributes: str = "") -> Column:
+    """A table whose ``body`` is the text of its rows."""
     head = F.array(*[F.lit(h) if isinstance(h, str) else h for h in header])
-    return F.concat(
-        F.lit(f"<table{attributes}>"),
-        html_row(head, "th"),
-        F.array_join(F.transform(rows, lambda r: html_row(r)), ""),
-        F.lit("</table>"),
-    )
+    return F.concat(F.lit(f"<table{attributes}>"), html_row(head, "th"), body, F.lit("</table>"))
 
 
 def html_page(*body: Column) -> Column:

@@ -6,11 +6,19 @@ blocks of neighbouring rows of the scan.  The collected lists are bounded by tha
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import format_number
-from ..sources.render import html_page, html_table
+from ..sources.render import html_page, html_row_of, html_table, html_table_of
+
+# executors need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CUSTOMER_BLOCK, ORDER_BLOCK, SHIPMENT_BLOCK = 500, 50, 64
 
@@ -33,9 +41,33 @@ def money(value: Column, eu: Column) -> Column:
     return F.concat(F.lit("$ "), format_number(value, thousand, decimal, 2))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of neighbouring rows with one page_id, joined."""
+    page, held = None, []
+
+    def out(pages: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int64()), pa.array(list(pages.values()), pa.string())], ["page_id", "body"])
+
+    for batch in batches:
+        done = {}
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if key != page:
+                if held:
+                    done[page] = "".join(held)
+                page, held = key, []
+            held.append(text)
+        if done:
+            yield out(done)
+    if held:
+        yield out({page: "".join(held)})
+
+
 def shipment_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Delivery notes: 64 neighbouring lineitems per page."""
-    cells = F.array(
+    """Delivery notes: 64 neighbouring lineitems per page.
+
+    Neighbours come one after the other out of the scan, so their rows are joined as they pass and whole pages are dealt out.
+    """
+    row = html_row_of(
         text("l_orderkey"),
         text("l_linenumber"),
         text(F.col("l_quantity").cast("bigint")),
@@ -44,14 +76,12 @@ def shipment_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.date_format("l_shipdate", "dd/MM/yyyy"),
     )
     at = F.monotonically_increasing_id()
-    rows = table(spark, sf, "lineitem").select(at.alias("at"), cells.alias("cells"))
+    rows = table(spark, sf, "lineitem").select(at.alias("at"), row.alias("row"))
     return (
-        rows.groupBy(F.expr(f"at div {SHIPMENT_BLOCK}").alias("page_id"))
-        .agg(F.sort_array(F.collect_list(F.struct("at", "cells"))).alias("rows"))
-        .select(
-            "page_id",
-            html_page(html_table(SHIPMENT_HEADER, F.transform("rows", lambda r: r["cells"]))).alias("html"),
-        )
+        rows.select(F.expr(f"at div {SHIPMENT_BLOCK}").alias("page_id"), "row")
+        .mapInArrow(_joined, "page_id bigint, body string")
+        .repartition("page_id")
+        .select("page_id", html_page(html_table_of(SHIPMENT_HEADER, F.col("body"))).alias("html"))
     )
 
 
