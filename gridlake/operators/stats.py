@@ -148,7 +148,9 @@ def column_stats(
     facts = [c for c in ("header", "type") if c not in by]  # they belong to the column
     base = typed.groupBy(*by, *facts).agg(*[m.alias(n) for n, m in _basics().items()])
     if any(s in VALUE_STATS for s in names):
-        base = join_null_safe(base, value_modes(typed, by), by, "left")
+        # values are counted only for columns that show such a stat
+        counted = typed if chosen is None else typed.where(chosen.isin(*VALUE_STATS))
+        base = join_null_safe(base, value_modes(counted, by), by, "left")
     numeric, date = is_numeric_kind(F.col("type")), F.col("type") == "date"
     entries = F.array(*[_entries(s, numeric, date) for s in names])
     long = base.select(*by, "header", "type", "n_values", F.explode(entries).alias("_s"))
