@@ -25,3 +25,17 @@ def test_rows_are_rendered_the_same_at_once_and_by_cell(spark):
     assert all(r[0] == r[1] for r in df.select(html_row(F.col("cells")), by_cell).collect())
     two = df.where(F.size("cells") == 2).select(html_row_of(F.get("cells", F.lit(0)), F.get("cells", F.lit(1))), by_cell)
     assert two.count() == 6 and all(r[0] == r[1] for r in two.collect())
+
+
+def test_values_are_counted_for_the_views_that_show_them(spark, monkeypatch):
+    """The stat is a column of its own, as in saved views."""
+    cells = spark.createDataFrame(
+        [("v1", 0, 1, "h", "max", "numeric", "7", 7.0), ("v2", 0, 1, "h", "mode", "numeric", "7", 7.0), ("v3", 0, 1, "h", None, "numeric", "7", 7.0)],
+        "view_id string, col_idx int, row_idx long, header string, chosen_stat string, type string, value string, num double",
+    ).withColumn("dt", F.lit(None).cast("date"))
+    seen = []
+    modes = stats.value_modes
+    monkeypatch.setattr(stats, "value_modes", lambda cells, by, *more: seen.append(cells) or modes(cells, by, *more))
+    found = stats.column_stats(cells, by=["view_id", "col_idx", "chosen_stat"], chosen=F.col("chosen_stat"))
+    assert {(r.view_id, r.stat, r.num_value, r.text_value) for r in found.collect()} == {("v1", "max", 7.0, None), ("v2", "mode", None, "7")}
+    assert [r.view_id for r in seen[0].collect()] == ["v2"]
