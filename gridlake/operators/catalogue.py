@@ -157,13 +157,22 @@ def fingerprint(head: Column, n_rows: Column) -> Column:
     return F.when(n_rows > 0, F.translate(raw, WHITE_SPACE, "")).otherwise(F.lit(""))
 
 
-def fingerprints(grid: DataFrame) -> DataFrame:
-    counts = grid.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
+def table_marks(grid: DataFrame) -> DataFrame:
+    """``KEY, fingerprint, last_row`` and the header rows (``row_idx`` 0) of each table."""
+    header = F.when(F.col("row_idx") == 0, F.lit(1)).otherwise(0)
+    counts = grid.groupBy(*KEY).agg(F.count("*").alias("n_rows"), F.max("row_idx").alias("last_row"), F.sum(header).cast("int").alias("_headers"))
     return join_null_safe(counts, table_heads(grid), KEY).select(
-        *KEY, fingerprint(F.col("head"), F.col("n_rows")).alias("fingerprint")
+        *KEY,
+        fingerprint(F.col("head"), F.col("n_rows")).alias("fingerprint"),
+        "last_row",
+        F.slice("head", F.lit(1), F.col("_headers")).alias("headers"),
     )
 
 
+def fingerprints(grid: DataFrame) -> DataFrame:
+    return table_marks(grid).select(*KEY, "fingerprint")
+
+
 def list_tables(grid: DataFrame, top_k: int | None = None) -> DataFrame:
     """The catalogue: ranked html tables, and every text or service table, with id and preview."""
     metrics = table_metrics(grid)

@@ -17,7 +17,7 @@ from ..functions.classes import is_numeric_kind
 from ..functions.dates import parse_date
 from ..functions.numbers import parse_number
 from ..functions.text import js_trim
-from ..operators.catalogue import fingerprints
+from ..operators.catalogue import table_marks
 from ..operators.grid import KEY, attach, dense_grid, join_null_safe, rank_within
 from ..operators.stats import column_stats
 from .staging import stage
@@ -82,66 +82,79 @@ def apply_saved_views(grid: DataFrame, saved: DataFrame, view_id: str = "view_id
 
 
 def matched_views(grid: DataFrame, views: DataFrame) -> DataFrame:
-    """``view_id, KEY`` and the sort of every view and table with one fingerprint."""
-    marks = fingerprints(grid).where(F.col("fingerprint") != "")
+    """``view_id, KEY`` and the sort of every view and table with one fingerprint, with ``last_row`` and the header rows of the table."""
+    marks = table_marks(grid).where(F.col("fingerprint") != "")
     return views.join(marks, "fingerprint").drop("fingerprint")
 
 
-def predicate_met(value: Column, decimal: Column) -> Column:
-    """Whether a cell meets the predicate beside it: the rules of ``operators.filters.predicate``, on columns."""
-    number, day = parse_number(value, decimal), parse_date(value)
+def predicate_met(value: Column, said: Column) -> Column:
+    """Whether a cell meets a predicate, given as a struct: the rules of ``operators.filters.predicate``, on columns."""
+    number, day = parse_number(value, said["decimal"]), parse_date(value)
     trimmed = F.coalesce(js_trim(value), F.lit(""))
 
     def inside(x: Column, i: int) -> Column:
-        low, high = F.col(f"low_{i}"), F.col(f"high_{i}")
+        low, high = said[f"low_{i}"], said[f"high_{i}"]
         return (low.isNull() | (x >= low)) & (high.isNull() | (x <= high))
 
-    chosen = F.col("selected").isNull() | F.array_contains("selected", trimmed)
-    said = F.col("text").isNull() | F.lower(trimmed).contains(F.col("text"))
+    chosen = said["selected"].isNull() | F.array_contains(said["selected"], trimmed)
+    contained = said["text"].isNull() | F.lower(trimmed).contains(said["text"])
     return (
-        F.when(F.col("test") == "numeric", inside(number, 0))
-        .when(F.col("test") == "date", F.coalesce(inside(day, 1), F.lit(True)))
-        .otherwise(chosen & said)
+        F.when(said["test"] == "numeric", inside(number, 0))
+        .when(said["test"] == "date", F.coalesce(inside(day, 1), F.lit(True)))
+        .otherwise(chosen & contained)
     )
 
 
+def all_met(cells: Column, predicates: Column) -> Column:
+    """Whether a row meets every predicate of a list; one on a column that is not there is never met."""
+    return F.forall(predicates, lambda p: p["col_idx"].isNotNull() & predicate_met(F.get(cells, p["col_idx"]), p))
+
+
 class AppliedViews:
-    """Saved views over the tables they fit; every result is one plan over all of them."""
+    """Saved views over the tables they fit; every result is one plan over all of them.
+
+    What a view asks of a table is one fact row, lists of predicates and choices as long as its state, so that the rows of
+    the tables meet their views in one join and are judged where they lie.
+    """
 
     def __init__(self, grid: DataFrame, saved: SavedViews):
         self.grid, self.saved = dense_grid(grid), saved
         self.matched = stage(matched_views(self.grid, saved.views), "matched-views")
-        head = self.grid.where(F.col("row_idx") == 0).select(*KEY, F.posexplode("cells").alias("col_idx", "_name"))
-        # a column is named by its header; the first of equal names is meant
-        self.headers = head.groupBy(*KEY, F.coalesce(js_trim("_name"), F.lit("")).alias("header")).agg(F.min("col_idx").alias("col_idx"))
-        self.last = self.grid.groupBy(*KEY).agg(F.max("row_idx").alias("last_row"))
 
     def _placed(self, facts: DataFrame, name: str = "header") -> DataFrame:
         """Facts by view and column name, for every table their view fits: with ``col_idx``, null where there is none."""
-        tables = self.matched.select("view_id", *KEY).join(facts.withColumnRenamed(name, "header"), "view_id")
-        tables = join_null_safe(tables, self.headers, [*KEY, "header"], "left")
-        return join_null_safe(tables, self.last, KEY)
+        tables = self.matched.select("view_id", *KEY, "last_row", "headers").join(facts.withColumnRenamed(name, "header"), "view_id")
+        # a column is named by its header; the first of equal names is meant
+        at = F.transform("headers", lambda cells: F.nullif(F.array_position(F.transform(cells, lambda c: F.coalesce(js_trim(c), F.lit(""))), F.col("header")), F.lit(0)))
+        return tables.withColumn("col_idx", (F.array_min(at) - 1).cast("int")).drop("headers")
+
+    def _listed(self, facts: DataFrame, name: str) -> DataFrame:
+        """Placed facts as one list by view and table."""
+        own = [c for c in facts.columns if c not in ("view_id", *KEY, "last_row")]
+        return facts.groupBy("view_id", *KEY, "last_row").agg(F.collect_list(F.struct(*own)).alias(name))
 
     def _cells(self, facts: DataFrame) -> DataFrame:
         """Body rows of the tables with the value of each fact's column; a huge table is split by buckets."""
+        return self._body(facts).withColumn("value", F.get("cells", F.col("col_idx"))).drop("cells")
+
+    def _body(self, facts: DataFrame) -> DataFrame:
         rows = self.grid.where(F.col("row_idx") > 0).select(*KEY, "row_idx", "cells")
-        return attach(rows, facts).withColumn("value", F.get("cells", F.col("col_idx"))).drop("cells")
+        return attach(rows, facts)
 
     def _formats(self, facts: DataFrame) -> DataFrame:
         return facts.join(self.saved.columns, ["view_id", "header"], "left").withColumn("decimal", F.coalesce("decimal", F.lit(".")))
 
+    def _predicates(self) -> DataFrame:
+        """``view_id, KEY, last_row, predicates`` of the views that filter."""
+        wanted = self._placed(self._formats(self.saved.predicates))
+        return self._listed(wanted.drop("header", "type"), "predicates")
+
     def rows(self) -> DataFrame:
         """``view_id, KEY, row_idx``: body rows that meet all predicates of a view."""
-        wanted = self._placed(self._formats(self.saved.predicates))
-        counted = wanted.groupBy("view_id", *KEY).agg(F.count("*").alias("_n"))
-        met = self._cells(wanted).where(F.col("col_idx").isNotNull() & predicate_met(F.col("value"), F.col("decimal")))
-        met = met.groupBy("view_id", *KEY, "row_idx").agg(F.count("*").alias("_met"))
-        kept = join_null_safe(met, counted, ["view_id", *KEY]).where(F.col("_met") == F.col("_n"))
-        free = join_null_safe(self.matched.select("view_id", *KEY), counted, ["view_id", *KEY], "left_anti")
-        free = join_null_safe(free, self.last, KEY)
-        every = attach(self.grid.where(F.col("row_idx") > 0).select(*KEY, "row_idx"), free)
-        columns = ["view_id", *KEY, "row_idx"]
-        return kept.select(*columns).unionAll(every.select(*columns))
+        wanted = self._predicates()
+        free = join_null_safe(self.matched.select("view_id", *KEY, "last_row"), wanted, ["view_id", *KEY], "left_anti")
+        asked = wanted.unionByName(free.withColumn("predicates", F.array().cast(wanted.schema["predicates"].dataType)))
+        return self._body(asked).where(all_met(F.col("cells"), F.col("predicates"))).select("view_id", *KEY, "row_idx")
 
     def positioned(self) -> DataFrame:
         """The rows of every view with their 1-based place ``pos`` in its order; ties keep the order of the table.
@@ -172,7 +185,10 @@ class AppliedViews:
         """The chosen stats of every view over the rows it keeps, by view, table and column."""
         chosen = self._placed(self._formats(self.saved.choices)).where(F.col("col_idx").isNotNull())
         by = ["view_id", *KEY, "col_idx"]
-        cells = join_null_safe(self._cells(chosen), self.rows(), ["view_id", *KEY, "row_idx"], "left_semi")
+        asked = self._listed(chosen, "choices")
+        asked = join_null_safe(asked, self._predicates().drop("last_row"), ["view_id", *KEY], "left")
+        kept = self._body(asked).where(F.col("predicates").isNull() | all_met(F.col("cells"), F.col("predicates")))
+        cells = kept.select("view_id", *KEY, "row_idx", "cells", F.inline("choices")).withColumn("value", F.get("cells", F.col("col_idx")))
         type_ = F.coalesce("type", F.lit("categorical"))
         typed = cells.select(
             *by, "row_idx", "header", F.col("stat").alias("chosen_stat"), type_.alias("type"), "value",

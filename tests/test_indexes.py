@@ -8,7 +8,9 @@ from gridlake.operators import search, sidecar
 from gridlake.operators.catalogue import fingerprints, list_tables, merge_tables, search_tables
 from gridlake.operators.export import export_all
 from gridlake.operators.filters import filter_grid
+from gridlake.operators.grid import KEY
 from gridlake.operators.types import infer_types
+from gridlake.plans import saved_views
 from gridlake.plans.saved_views import apply_saved_views
 from gridlake.plans.view import ViewSpec, apply_view, open_table
 
@@ -191,6 +193,40 @@ def test_one_plan_for_any_number_of_views(spark, typed):
     assert plans[0] == plans[1]
 
 
+def test_rows_meet_their_views_in_one_join(spark, typed, monkeypatch):
+    """No pass over the rows for each predicate, and none that groups them by row."""
+    marks = {r.page_id: r.fingerprint for r in fingerprints(typed).collect()}
+    saved = []
+    for page in (3, 12):
+        for name, spec in STATES.items():
+            spec.fingerprint = marks[page]
+            saved.append((f"{name}{page}", spec.to_json()))
+    applied = apply_saved_views(typed, spark.createDataFrame(saved, "view_id string, state string"))
+    attached = []
+    attach = saved_views.attach
+    monkeypatch.setattr(saved_views, "attach", lambda rows, facts: attached.append(facts) or attach(rows, facts))
+    plan = applied.rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert len(attached) == 1 and not [line for line in plan.splitlines() if "Aggregate" in line and "row_idx" in line]
+    applied.stats()
+    assert len(attached) == 2
+    for facts in attached:
+        assert facts.count() == facts.select("view_id", *KEY).distinct().count()
+
+
+def test_views_and_rows_that_come_twice(spark, make_grid):
+    """A view saved twice keeps a row once for its predicates; without predicates, once for each; its stats count both."""
+    grid = make_grid({1: [["k", "k", "v"], ["a", "x", "1"], ["b", "a", "2"], ["a", "y", "30"]]})
+    mark = fingerprints(grid).first().fingerprint
+    some = ViewSpec(filters={"k": {"type": "categorical", "selected": ["a"]}, "v": {"type": "numeric", "max": "9"}}, stats={"v": "count", "k": "unique"}, types={"v": "numeric"}, fingerprint=mark)
+    none = ViewSpec(filters={"gone": {"type": "numeric", "min": "1"}}, stats={"v": "count"}, fingerprint=mark)
+    every = ViewSpec(stats={"v": "max"}, types={"v": "numeric"}, fingerprint=mark)
+    saved = [("some", some), ("some", some), ("none", none), ("every", every), ("every", every), (None, some)]
+    applied = apply_saved_views(grid, spark.createDataFrame([(i, v.to_json()) for i, v in saved], "view_id string, state string"))
+    assert sorted(((r.view_id or "", r.row_idx) for r in applied.rows().collect())) == [("", i) for i in (1, 2, 3)] + [("every", i) for i in (1, 1, 2, 2, 3, 3)] + [("some", 1)]
+    found = {(r.view_id, r.header, r.stat): r.num_value for r in applied.stats().collect()}
+    assert found == {("some", "v", "count"): 8.0, ("some", "k", "unique"): 1.0, ("every", "v", "max"): 30.0}
+
+
 def test_null_keys_are_keys(spark, corpus, tmp_path):
     tables = list_tables(corpus)
     found = search_tables(tables, corpus, "col none").collect()
