@@ -239,7 +239,12 @@ def whitened_values(x: np.ndarray, model: dict) -> np.ndarray:
     n, centre, rest = model["n"], model["centre"], model["rest"]
     y = (x - centre).astype(np.float64) - rest / n
     scale = np.where(model["values"] > 0, np.sqrt(np.where(model["values"] > 0, model["values"], 1)), np.nan)
-    return y @ model["vectors"].T / scale
+    y = np.ascontiguousarray(y)
+    # summed row by row: a matrix product may add in another order for another number of rows
+    projected = np.empty((len(y), len(model["vectors"])))
+    for k, v in enumerate(model["vectors"]):
+        projected[:, k] = (y * v).sum(axis=1)
+    return projected / scale
 
 
 def deviations(x: np.ndarray, model: dict) -> list[int]:
